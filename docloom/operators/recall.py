@@ -153,7 +153,7 @@ def structured_recall(
     prefixed = valid.withColumn("_n", F.explode_outer(length_list)).withColumn(
         "_prefix", F.when(F.length("standard_no") >= F.col("_n"), F.lower(F.substring("standard_no", F.lit(1), F.col("_n"))))
     )
-    # Tokens of the questions (query_id, terms) are the small side of each join here.
+    # The questions are the small side of each join here and are repeated per salt.
     by_standard = salted_join(
         prefixed.where(F.col("_prefix").isNotNull()).drop("_n"),
         asked.where(F.col("_standard").isNotNull()).withColumn("_prefix", F.lower("_standard")),
@@ -168,7 +168,6 @@ def structured_recall(
         .otherwise(F.lit(4))
     )
     score = F.when(F.col("tier") == 1, 1.0).when(F.col("tier") == 2, 0.95).otherwise(0.9)
-    # Tier 4 of the standard takes any chunk, so the other rows of the same standard count too.
     standard_hits = by_standard.withColumn("tier", tier).withColumn("score", score)
 
     by_clause = salted_join(
