@@ -420,10 +420,14 @@ def language(text) -> Column:
     n = F.greatest(F.length(F.regexp_replace(text, r"\s", "")), F.lit(1))
     share = lambda p: F.regexp_count(text, F.lit(p)) / n
     words = tokens(text)
+
+    def known(profile: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(profile)))
+
     scored = F.array(
         *[
-            F.struct(F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))).alias("s"), F.lit(-i).alias("o"), F.lit(tag).alias("tag"))
-            for i, (tag, ws) in enumerate(LANGUAGE_WORDS.items())
+            F.struct(known(profile).alias("s"), F.lit(-i).alias("o"), F.lit(tag).alias("tag"))
+            for i, (tag, profile) in enumerate(LANGUAGE_WORDS.items())
         ]
     )
     best = F.array_max(scored)

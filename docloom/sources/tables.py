@@ -12,6 +12,8 @@ class Corpus:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        # Unions of differently partitioned branches keep their own partition counts.
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
