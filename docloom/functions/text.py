@@ -20,6 +20,15 @@ def _chain(column: Column, pairs) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, column)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A projection below a lambda is folded into it and would run per element; a lambda
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def first_group(text, pattern: str, group: int = 1) -> Column:
     """Capture group of the first match, null when nothing matches."""
     return F.nullif(F.regexp_extract(_col(text), pattern, group), F.lit(""))
@@ -419,18 +428,21 @@ def language(text) -> Column:
     text = _col(text)
     n = F.greatest(F.length(F.regexp_replace(text, r"\s", "")), F.lit(1))
     share = lambda p: F.regexp_count(text, F.lit(p)) / n
-    words = tokens(text)
 
-    def known(profile: list[str]) -> Column:
+    def known(words: Column, profile: list[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(profile)))
 
-    scored = F.array(
-        *[
-            F.struct(known(profile).alias("s"), F.lit(-i).alias("o"), F.lit(tag).alias("tag"))
-            for i, (tag, profile) in enumerate(LANGUAGE_WORDS.items())
-        ]
-    )
-    best = F.array_max(scored)
+    def rate(words: Column) -> Column:
+        return F.array_max(
+            F.array(
+                *[
+                    F.struct(known(words, profile).alias("s"), F.lit(-i).alias("o"), F.lit(tag).alias("tag"))
+                    for i, (tag, profile) in enumerate(LANGUAGE_WORDS.items())
+                ]
+            )
+        )
+
+    best = bind(tokens(text), rate)
     return (
         F.when(share(r"[぀-ヿ]") > 0.05, "ja")
         .when(share(r"[가-힯]") > 0.2, "ko")

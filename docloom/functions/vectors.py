@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.functions.text import _col, tokens
+from docloom.functions.text import _col, bind, tokens
 
 
 def dot(a, b) -> Column:
@@ -27,16 +27,20 @@ def cosine(a, b) -> Column:
 
 
 def normalize(a, epsilon: float = 1e-8) -> Column:
-    length = norm(a) + epsilon
-    return F.transform(_col(a), lambda x: x.cast("double") / length)
+    a = _col(a)
+    return bind(norm(a) + epsilon, lambda length: F.transform(a, lambda x: x.cast("double") / length))
 
 
 def quantize_int8(a) -> Column:
     """Struct of a scale and bytes: value ~ code * scale / 127."""
     a = _col(a)
-    scale = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
-    codes = F.transform(a, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale * 127)).otherwise(0).cast("byte"))
-    return F.struct(scale.alias("scale"), codes.alias("codes"))
+    largest = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
+
+    def encode_with(scale: Column) -> Column:
+        codes = F.transform(a, lambda x: F.when(scale > 0, F.round(x.cast("double") / scale * 127)).otherwise(0).cast("byte"))
+        return F.struct(scale.alias("scale"), codes.alias("codes"))
+
+    return bind(largest, encode_with)
 
 
 def dequantize_int8(q) -> Column:
@@ -47,11 +51,13 @@ def dequantize_int8(q) -> Column:
 def hashed_words(text, dims: int = 64) -> Column:
     """Dense default encoder: hashed word counts, L2-normalised, without leaving the JVM."""
     slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"),
-    )
-    return normalize(counts)
+
+    def count(held: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double")
+        )
+
+    return bind(bind(slots, count), normalize)
 
 
 Encoder = Callable[[pd.Series], pd.Series]

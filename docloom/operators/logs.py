@@ -224,7 +224,7 @@ def bad_case_causes(cases: DataFrame, known_documents: DataFrame, parents: DataF
     reached = reached.select("case_id").distinct().withColumn("_hit", F.lit(True))
     joined = salted_join(cases, known, ["expected_doc"], "left", spread_by=["case_id"]).join(reached, "case_id", "left")
     cause = F.when(F.col("_known").isNull(), "missing_doc").when(F.col("_hit").isNull(), "embedding").otherwise("reranking")
-    return joined.drop("_known", "_hit").withColumn("root_cause", cause)
+    return joined.withColumn("root_cause", cause).drop("_known", "_hit")
 
 
 def query_kpis(logs: DataFrame, *by: str) -> DataFrame:
@@ -234,7 +234,7 @@ def query_kpis(logs: DataFrame, *by: str) -> DataFrame:
         F.count("*").alias("queries"), F.round(F.avg((F.col("lane") == "slow").cast("double")), 6).alias("slow_share"),
         F.round(F.avg((F.col("retry_count") > 0).cast("double")), 6).alias("retry_rate"),
         F.round(F.avg(F.col("clarified").cast("double")), 6).alias("clarification_rate"),
-        F.percentile_approx("total_time", [0.5, 0.95, 0.99], 10000).alias("_p"),
+        F.percentile_approx("total_time", [0.5, 0.95, 0.99], 100000).alias("_p"),
     ).select(
         *by, "queries", "slow_share", "retry_rate", "clarification_rate", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"),
         (F.col("clarification_rate") > 0.25).alias("clarification_alert"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import bind
 from docloom.operators.skew import best_row, salted_join, top_k
 
 MAX_INLINE_WORDS = 2000
@@ -48,14 +49,20 @@ def passage_matches(documents: DataFrame, passages: DataFrame, key: str, passage
         F.concat_ws(" ", F.slice("_w", F.lit(2), F.least(F.size("_w") - 2, F.lit(run)))).alias("_run"),
     )
     lengths = long.agg(F.collect_set("_len").alias("a")).scalar()
-    words = F.split(text, blank)
-    runs = F.flatten(
-        F.transform(
-            F.filter("_lengths", lambda n: n <= F.size("_w")),
-            lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.struct(n.alias("_len"), F.concat_ws(" ", F.slice("_w", i, n)).alias("_run"))),
+
+    def runs(words: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.filter("_lengths", lambda n: n <= F.size(words)),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.size(words) - n + 1),
+                    lambda i: F.struct(n.alias("_len"), F.concat_ws(" ", F.slice(words, i, n)).alias("_run")),
+                ),
+            )
         )
-    )
-    cut = documents.select(key, text, words.alias("_w"), lengths.alias("_lengths")).select(key, F.explode(F.array_distinct(runs)).alias("_r"))
+
+    cut = documents.select(key, text, lengths.alias("_lengths"))
+    cut = cut.select(key, F.explode(bind(F.split(text, blank), runs)).alias("_r"))
     candidates = cut.select(key, "_r._len", "_r._run").join(long, ["_len", "_run"]).select(key, passage_key, "_passage").distinct()
     hits = candidates.join(documents.select(key, text), key).where(F.col(text).contains(F.col("_passage"))).select(passage_key, key)
     short = split.where(F.size("_w") < 3).select(passage_key, F.col("_passage").alias("_short"))

@@ -105,10 +105,10 @@ def dense_topk(
         v_blocks = max(1, math.ceil(n_vectors / VECTOR_BLOCK))
         q_blocks = max(1, math.ceil(n_queries / max_shipped))
         left = v.withColumn("_vb", F.pmod(F.xxhash64("key"), F.lit(v_blocks))).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long")
+            "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
         )
         right = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-            "_vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).cast("long")
+            "_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))
         )
 
         def pair(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
@@ -149,10 +149,10 @@ def similar_pairs(
     n_left, n_right = blocks(left), blocks(right)
     l = left.select(*on, F.col(left_id).alias("l_id"), F.col(vector).alias("lv")).withColumn(
         "_lb", F.pmod(F.xxhash64("l_id"), F.lit(n_left))
-    ).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).cast("long"))
+    ).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
     r = right.select(*on, F.col(right_id).alias("r_id"), F.col(vector).alias("rv")).withColumn(
         "_rb", F.pmod(F.xxhash64("r_id"), F.lit(n_right))
-    ).withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).cast("long"))
+    ).withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
     schema = T.StructType([
         *[l.schema[c] for c in on],
         T.StructField(left_id, l.schema["l_id"].dataType),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import presets as P
@@ -51,16 +51,21 @@ def two_stage_rerank(
     above the threshold come first; the rest only fill up. The type boost is applied once,
     on the final score.
     """
-    counts = hits.groupBy("query_id").agg(F.count("*").alias("_n"))
-    rows = hits.join(counts, "query_id")
-    skip = rows.where(F.col("_n") <= k).withColumn("_fine", F.col("score").cast("double"))
-    scored = rows.where(F.col("_n") > k).withColumn("_coarse", F.round(coarse(F.col("query_text"), F.col("content")), 6))
-    best = top_k(scored, ["query_id"], [F.desc("_coarse"), F.asc("chunk_id")], coarse_k, "_r")
-    rescored = best.withColumn("_fine", F.round(fine(F.col("query_text"), F.col("content")), 6)).drop("_coarse", "_r")
-    both = rescored.withColumn("_pass", F.col("_fine") >= threshold).unionByName(skip.withColumn("_pass", F.lit(True)))
-    boosted = both.withColumn("final_score", F.round(type_boost(F.col("content_type"), F.col("_fine")), 6))
+    # Candidates come from top-k recall, so a question has few of them and one scan of the
+    # hits serves the count, both stages and the short lists.
+    many = F.col("_n") > k
+    query, text = F.col("query_text"), F.col("content")
+    rows = hits.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    first = rows.withColumn("_coarse", F.when(many, F.round(coarse(query, text), 6)))
+    best = top_k(first, ["query_id"], [F.desc("_coarse"), F.asc("chunk_id")], max(k, coarse_k), "_r")
+    second = best.where(~many | (F.col("_r") <= coarse_k)).withColumn(
+        "_fine", F.when(many, F.round(fine(query, text), 6)).otherwise(F.col("score").cast("double"))
+    )
+    boosted = second.withColumn("_pass", ~many | (F.col("_fine") >= threshold)).withColumn(
+        "final_score", F.round(type_boost(F.col("content_type"), F.col("_fine")), 6)
+    )
     ranked = top_k(boosted, ["query_id"], [F.desc("_pass"), F.desc("final_score"), F.asc("chunk_id")], k)
-    return ranked.drop("_n", "_fine", "_pass")
+    return ranked.drop("_n", "_coarse", "_r", "_fine", "_pass")
 
 
 def recall_order(hits: DataFrame, k: int) -> DataFrame:

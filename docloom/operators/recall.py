@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import presets as P
 from docloom.functions.questions import content_keywords
-from docloom.functions.text import clause_number, squeeze, standard_number
+from docloom.functions.text import bind, clause_number, squeeze, standard_number
 from docloom.operators.skew import best_row, salted_join, top_k
 
 
@@ -256,8 +256,9 @@ def reciprocal_rank_fusion(
     )
     # Order is decided on rounded scores, so equal sums in another order stay ties.
     fused = fused.withColumn("raw", F.round("raw", 12))
-    best = fused.groupBy("query_id").agg(F.max("raw").alias("top"))
-    scored = fused.join(best, "query_id").withColumn("score", F.round(F.col("raw") / F.col("top"), 6))
+    # A question has at most the sum of its list limits here, so its window stays small.
+    top = F.max("raw").over(Window.partitionBy("query_id"))
+    scored = fused.withColumn("score", F.round(F.col("raw") / top, 6))
     order = [F.desc("score"), F.asc("first_seen.list_no"), F.asc("first_seen.rank"), F.asc("chunk_id")]
     kept = top_k(scored, ["query_id"], order, limit)
     return kept.select("query_id", "chunk_id", "score", "sources", "rank")
@@ -319,14 +320,20 @@ def drop_contained(candidates: DataFrame, keys: Sequence[str], content: str, tie
     size = F.size("_w")
     need = F.least(size, F.lit(gram))
     short = words.select(*keys, F.col(tie).alias("_id"), F.concat_ws(" ", "_w").alias("_text"), size.alias("_n"), run(gram).alias("_run"), need.alias("_len"))
-    lengths = F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(size, F.lit(gram))), lambda n: n))
-    grams = F.flatten(
-        F.transform(
-            lengths,
-            lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(n.alias("_len"), F.concat_ws(" ", F.slice("_w", i, n)).alias("_run"))),
+
+    def runs(w: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.least(F.size(w), F.lit(gram))),
+                lambda n: F.transform(
+                    F.sequence(F.lit(1), F.size(w) - n + 1),
+                    lambda i: F.struct(n.alias("_len"), F.concat_ws(" ", F.slice(w, i, n)).alias("_run")),
+                ),
+            )
         )
-    )
-    long = words.select(*keys, F.col(tie).alias("_other"), F.concat_ws(" ", "_w").alias("_whole"), size.alias("_m"), F.explode(F.array_distinct(grams)).alias("_g"))
+
+    grams = bind(F.split(squeeze(content), " "), runs)
+    long = candidates.withColumn("_w", F.split(squeeze(content), " ")).select(*keys, F.col(tie).alias("_other"), F.concat_ws(" ", "_w").alias("_whole"), size.alias("_m"), F.explode(grams).alias("_g"))
     long = long.select(*keys, "_other", "_whole", "_m", "_g._len", "_g._run")
     held = short.join(long, [*keys, "_len", "_run"]).where(
         (F.col("_other") != F.col("_id")) & (F.col("_m") > F.col("_n"))

@@ -115,13 +115,13 @@ def chunk_markdown(c):
     return chunking.chunk_markdown(lines, 200).select("doc_id", "position", "section_no", "group_no", "chunk_type", "content")
 
 
-@query("A21", with_(S.LINES) + """
+@query("A21", "WITH RECURSIVE " + S.LINES + """
 , k AS (SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS i, CAST(length(line) // 4 AS BIGINT) AS t FROM lines),
-RECURSIVE_PLACEHOLDER
-SELECT doc_id, line_no, CAST(g AS INTEGER) AS group_no FROM r""".replace("RECURSIVE_PLACEHOLDER", """r AS (
+r AS (
   SELECT doc_id, line_no, i, 0 AS g, t AS used FROM k WHERE i = 1
   UNION ALL SELECT k.doc_id, k.line_no, k.i, r.g + CASE WHEN r.used + k.t > 200 THEN 1 ELSE 0 END, CASE WHEN r.used + k.t > 200 THEN k.t ELSE r.used + k.t END
-  FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)""").replace("WITH lines", "WITH RECURSIVE lines", 1))
+  FROM r JOIN k ON k.doc_id = r.doc_id AND k.i = r.i + 1)
+SELECT doc_id, line_no, CAST(g AS INTEGER) AS group_no FROM r""")
 def token_budget_groups(c):
     """Consecutive lines grouped within 200 tokens."""
     rows = c.lines().select("doc_id", "line_no", F.floor(F.length("line") / 4).alias("tokens"))
@@ -132,13 +132,13 @@ PARAS = """e AS (SELECT label AS doc_id, vec_id // 10 AS para_no, embedding::DOU
 s AS (SELECT doc_id, para_no, list_dot_product(v, pv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(pv, pv))) AS sim, f FROM (
    SELECT *, lag(v) OVER w AS pv, min(para_no) OVER (PARTITION BY doc_id) AS f FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY para_no)) WHERE pv IS NOT NULL),
 b AS (SELECT doc_id, avg(sim) - 0.5 * stddev_pop(sim) AS bar FROM s GROUP BY 1),
-d AS (SELECT doc_id, para_no - f AS at, f, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS i FROM s JOIN b USING (doc_id) WHERE round(sim, 9) < round(bar, 9))"""
+d AS (SELECT doc_id, para_no - f AS pos, f, row_number() OVER (PARTITION BY doc_id ORDER BY para_no) AS i FROM s JOIN b USING (doc_id) WHERE round(sim, 9) < round(bar, 9))"""
 
 
 @query("W4", "WITH RECURSIVE " + PARAS + """,
-g AS (SELECT doc_id, f, at, i, CASE WHEN at >= 3 THEN at ELSE 0 END AS last, at >= 3 AS keep FROM d WHERE i = 1
-  UNION ALL SELECT d.doc_id, d.f, d.at, d.i, CASE WHEN d.at - g.last >= 3 THEN d.at ELSE g.last END, d.at - g.last >= 3 FROM g JOIN d ON d.doc_id = g.doc_id AND d.i = g.i + 1)
-SELECT doc_id, at + f AS boundary FROM g WHERE keep""")
+g AS (SELECT doc_id, f, pos, i, CASE WHEN pos >= 3 THEN pos ELSE 0 END AS last, pos >= 3 AS keep FROM d WHERE i = 1
+  UNION ALL SELECT d.doc_id, d.f, d.pos, d.i, CASE WHEN d.pos - g.last >= 3 THEN d.pos ELSE g.last END, d.pos - g.last >= 3 FROM g JOIN d ON d.doc_id = g.doc_id AND d.i = g.i + 1)
+SELECT doc_id, pos + f AS boundary FROM g WHERE keep""")
 def para_boundaries(c):
     """Where paragraph similarity drops, at least three paragraphs apart."""
     e = c.table("embeddings").groupBy(F.col("label").alias("doc_id"), F.floor(F.col("vec_id") / 10).alias("para_no")).agg(F.min_by("embedding", "vec_id").alias("vector"))
