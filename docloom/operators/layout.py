@@ -95,8 +95,9 @@ def filter_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, drop_inline
     usable = boxes.where(F.col("label") != "reference")
     inline = F.col("label") == "inline_formula"
     keep_small = F.lit(False) if drop_inline else inline
-    usable = usable.where(~B.is_small(B.box(), min_side) | keep_small)
-    pairs = overlapping_pairs(usable.select(*keys, box_id, "label", *COORDS), keys, box_id, cell)
+    # A tiny box can still push out an earlier one, but not a later one.
+    usable = usable.withColumn("_small", B.is_small(B.box(), min_side) & ~keep_small)
+    pairs = overlapping_pairs(usable.select(*keys, box_id, "label", "_small", *COORDS), keys, box_id, cell).where("NOT l__small")
     ratio = B.overlap_min_area(B.box("l_"), B.box("r_"))
     pairs = pairs.withColumn("_r", ratio).where("_r > 0.5")
     edges = pairs.select(*keys, F.col(f"l_{box_id}").alias("a"), F.col(f"r_{box_id}").alias("b"))
@@ -126,7 +127,7 @@ def filter_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, drop_inline
         return pd.DataFrame({**{k: [v] * len(gone) for k, v in out.items()}, "dropped": list(gone)})
 
     lost = work.groupBy(*keys, "component").applyInPandas(decide, schema).withColumnRenamed("dropped", box_id)
-    return usable.join(lost, [*keys, box_id], "left_anti")
+    return usable.where("NOT _small").drop("_small").join(lost, [*keys, box_id], "left_anti")
 
 
 def merge_nested_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, threshold: float = 0.7, cell: float = 64.0, max_rounds: int = 50) -> DataFrame:

@@ -1 +1,426 @@
-"""Registered queries."""
+"""Registered queries of page layout, over blocks, spans and boxes derived from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docloom.functions import boxes as B
+from docloom.operators import layout as L
+from docloom.plans import sql_tables as S
+from docloom.plans.registry import query
+from docloom.plans.sql_tables import with_
+from docloom.plans.text_queries import mod
+
+PAGE = ["page"]
+IX = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0)"
+IY = "greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+AA, AB = "((a.x1 - a.x0) * (a.y1 - a.y0))", "((b.x1 - b.x0) * (b.y1 - b.y0))"
+TOUCH = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+
+
+@query("C33", with_(S.BOXES) + f"""
+SELECT a.page, a.box_id AS box_a, b.box_id AS box_b, round({IX} * {IY} / ({AA} + {AB} - {IX} * {IY}), 6) AS iou, round({IX} * {IY} / least({AA}, {AB}), 6) AS min_overlap, round({IX} * {IY} / {AA}, 6) AS own_overlap,
+  round({IX} / (a.x1 - a.x0), 6) AS x_projection, round({IY} / least(a.y1 - a.y0, b.y1 - b.y0), 6) AS y_ratio, round(sqrt(pow((a.x0 + a.x1 - b.x0 - b.x1) / 2, 2) + pow((a.y0 + a.y1 - b.y0 - b.y1) / 2, 2)), 6) AS centers
+FROM boxes a JOIN boxes b ON a.page = b.page AND a.box_id < b.box_id AND {TOUCH} WHERE {IX} * {IY} / least({AA}, {AB}) > 0.3""")
+def iou_pairs(c):
+    """Overlapping boxes of every page and how they overlap."""
+    l, r = B.box("l_"), B.box("r_")
+    pairs = L.overlapping_pairs(c.boxes().drop("label", "score"), PAGE, "box_id")
+    return pairs.where(B.overlap_min_area(l, r) > 0.3).select(
+        "page", F.col("l_box_id").alias("box_a"), F.col("r_box_id").alias("box_b"), F.round(B.iou(l, r), 6).alias("iou"), F.round(B.overlap_min_area(l, r), 6).alias("min_overlap"),
+        F.round(B.overlap_own_area(l, r), 6).alias("own_overlap"), F.round(B.x_projection_overlap(l, r), 6).alias("x_projection"),
+        F.round(B.y_overlap_ratio(l, r), 6).alias("y_ratio"), F.round(B.center_distance(l, r), 6).alias("centers"),
+    )
+
+
+@query("C33 C34 C45 F12", with_(S.BOXES) + """
+SELECT page, box_id, CAST(floor(x0) AS BIGINT) AS left_px, CAST(ceil(least(x1, 60)) AS BIGINT) AS right_px, CAST(trunc(x0 * 1000 / 80) AS INTEGER) AS x0_scaled, round(least(1.0, greatest(0.0, (x0 - 10) / 50)), 3) AS x0_relative,
+  round(x0 / 100 * 640, 6) AS x0_pixel, y1 - y0 < 12 OR x1 - x0 < 12 AS small, round(greatest(x0 - 60, 60 - x1, 0), 6) AS gap FROM boxes WHERE ceil(least(x1, 60)) > floor(x0)""")
+def box_functions(c):
+    """Rounded, scaled, relative and pixel forms of every box."""
+    b = B.box()
+    whole = B.integer_box(b, 60, 1000)
+    page = B.page_scale(b, 80, 80)
+    rel = B.relative_box(b, B.Box(F.lit(10.0), F.lit(0.0), F.lit(60.0), F.lit(80.0)))
+    pixel = B.pixel_box(B.Box(b.x0 / 100, b.y0 / 100, b.x1 / 100, b.y1 / 100), 640, 480)
+    wall = B.Box(F.lit(60.0), F.lit(-1000.0), F.lit(60.0), F.lit(1000.0))
+    return c.boxes().where(whole.isNotNull()).select(
+        "page", "box_id", whole["x0"].alias("left_px"), whole["x1"].alias("right_px"), page["x0"].alias("x0_scaled"), rel["x0"].alias("x0_relative"),
+        F.round(pixel["x0"], 6).alias("x0_pixel"), B.is_small(b, 12.0).alias("small"), F.round(B.edge_distance(b, wall), 6).alias("gap"),
+    )
+
+
+@query("J17", with_(S.BOXES) + """
+SELECT page, box_id FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE a.page = b.page AND a.box_id <> b.box_id AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x1 <= b.x1 AND a.y1 <= b.y1)""")
+def containment_dedup(c):
+    """Boxes not inside another."""
+    return L.drop_contained(c.boxes(), PAGE).select("page", "box_id")
+
+
+@query("J18", None)
+def nms_boxes(c):
+    """Boxes left after greedy suppression."""
+    return L.suppress_boxes(c.boxes(), PAGE, "box_id", threshold=0.6).select("page", "box_id")
+
+
+def labelled(c):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("text", "table", "image", "inline_formula", "chart")]), (mod("box_id", 5) + 1).cast("int"))
+    return c.boxes().withColumn("label", kind)
+
+
+@query("J19 F12", None)
+def filtered_boxes(c):
+    """Boxes left after the overlap rules."""
+    return L.filter_boxes(labelled(c), PAGE, "box_id", min_side=11.0).select("page", "box_id", "label")
+
+
+@query("J20", None)
+def nested_unions(c):
+    """Nested boxes united until nothing overlaps."""
+    return L.merge_nested_boxes(c.boxes(), PAGE, "box_id", 0.8).select("page", "box_id", "score", "x0", "y0", "x1", "y1")
+
+
+LABELS = S.BOXES + """, lb AS (SELECT page, box_id, x0, y0, x1, y1, (['text', 'table', 'image', 'inline_formula', 'chart'])[CAST(box_id % 5 AS INTEGER) + 1] AS label FROM boxes)"""
+
+
+@query("J32", with_(LABELS) + f"""
+SELECT a.page, a.box_id, CASE WHEN a.label <> 'inline_formula' THEN a.label WHEN EXISTS (SELECT 1 FROM lb b WHERE b.page = a.page AND b.label NOT IN ('inline_formula') AND {IX} * {IY} / {AA} >= 0.7 AND {TOUCH}) THEN 'inline_formula' ELSE 'display_formula' END AS label FROM lb a""")
+def formula_relabel(c):
+    """Formulas covered by another box are inline."""
+    parents = ~F.col("label").isin("inline_formula", "display_formula", "formula_number", "reference")
+    return L.relabel_covered(labelled(c), PAGE, "box_id", parents).select("page", "box_id", "label")
+
+
+@query("J31", with_(LABELS) + f"""
+SELECT a.page, a.box_id, CASE WHEN EXISTS (SELECT 1 FROM lb b WHERE b.page = a.page AND b.label = 'chart' AND {TOUCH} AND {IX} * {IY} / least({AA}, {AB}) >= 0.5) THEN 'doc_title' ELSE 'paragraph_title' END AS type FROM lb a WHERE a.label = 'text'""")
+def title_split(c):
+    """Titles that overlap a document title."""
+    b = labelled(c)
+    return L.split_titles(b.where("label = 'text'"), b.where("label = 'chart'"), PAGE, "box_id").select("page", "box_id", "type")
+
+
+@query("J30", with_(LABELS) + f""", p AS (SELECT a.page, a.box_id AS member, b.box_id AS parent, {IX} * {IY} / {AA} AS o, {AB} AS ar, (a.x0 - b.x0) / (b.x1 - b.x0) AS rx FROM lb a JOIN lb b ON a.page = b.page AND {TOUCH} WHERE a.label IN ('image', 'chart') AND b.label = 'table' AND {IX} * {IY} / {AA} >= 0.6)
+SELECT page, member, parent, round(least(1.0, greatest(0.0, rx)), 3) AS left_share FROM (SELECT *, row_number() OVER (PARTITION BY page, member ORDER BY o DESC, ar, parent) AS r FROM p) WHERE r = 1""")
+def sub_box_absorb(c):
+    """Pictures inside a composite one."""
+    b = labelled(c)
+    got = L.absorb_members(b.where("label IN ('image', 'chart')"), b.where("label = 'table'"), PAGE, "box_id", 0.6)
+    return got.select("page", "member", "parent", F.col("relative.x0").alias("left_share"))
+
+
+@query("J22", with_(LABELS) + f""", p AS (SELECT a.page, a.box_id AS item, b.box_id AS holder, {IX} * {IY} AS overlap FROM lb a JOIN lb b ON a.page = b.page WHERE a.label = 'inline_formula' AND b.label = 'table'
+  AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1)
+SELECT page, item, holder, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page, item ORDER BY overlap DESC, holder) AS r FROM p) WHERE r = 1""")
+def center_containers(c):
+    """Table holding the centre of each formula."""
+    b = labelled(c)
+    items = b.where("label = 'inline_formula'").withColumnRenamed("box_id", "item")
+    holders = b.where("label = 'table'").withColumnRenamed("box_id", "holder")
+    return L.containers_by_center(items, holders, PAGE, "item", "holder")
+
+
+EDGES = S.BLOCKS + """, e AS (SELECT doc_id, page_idx, block_idx AS box_id, x0, y0, x1, y1,
+  CASE WHEN type = 'page_number' THEN 'number' WHEN block_idx = 1 AND doc_id % 2 = 0 THEN 'footer' WHEN block_idx = 36 AND doc_id % 3 = 0 THEN 'footer' WHEN block_idx = 34 AND doc_id % 5 = 0 THEN 'footnote' WHEN block_idx = 2 AND doc_id % 7 = 0 THEN 'number' ELSE 'text' END AS label FROM blocks)"""
+
+
+def edge_boxes(c):
+    i = F.col("block_idx")
+    label = (
+        F.when(F.col("type") == "page_number", "number").when((i == 1) & (mod("doc_id", 2) == 0), "footer").when((i == 36) & (mod("doc_id", 3) == 0), "footer")
+        .when((i == 34) & (mod("doc_id", 5) == 0), "footnote").when((i == 2) & (mod("doc_id", 7) == 0), "number").otherwise("text")
+    )
+    return c.blocks().select("doc_id", "page_idx", i.alias("box_id"), "x0", "y0", "x1", "y1", label.alias("label"))
+
+
+@query("J29", with_(EDGES) + """, h AS (SELECT *, CASE WHEN label = 'footer' AND (y0 + y1) / 2 < 400 THEN 'header' WHEN label = 'header' AND (y0 + y1) / 2 >= 400 THEN 'footer' ELSE label END AS hl FROM e),
+a AS (SELECT doc_id, page_idx, max(y1) FILTER (hl = 'header') AS hb, arg_min({'y0': y0, 'x0': x0, 'x1': x1}, (y0, box_id)) FILTER (hl = 'footer') AS fa, arg_max(y0, (y1, box_id)) FILTER (hl = 'number' AND (y0 + y1) / 2 <= 240) AS nt,
+  arg_min(y1, (y0, box_id)) FILTER (hl = 'number' AND (y0 + y1) / 2 >= 560) AS nb FROM h GROUP BY 1, 2),
+b AS (SELECT h.*, a.hb, a.fa, a.nt, a.nb, CASE WHEN hl <> 'number' AND hl <> 'header' AND coalesce(y1 <= hb, false) THEN 'header' ELSE hl END AS l1 FROM h JOIN a USING (doc_id, page_idx)),
+c AS (SELECT b.*, CASE WHEN l1 NOT IN ('header', 'footer', 'number', 'footnote') AND EXISTS (SELECT 1 FROM b n WHERE n.doc_id = b.doc_id AND n.page_idx = b.page_idx AND n.l1 = 'footnote' AND b.y0 >= n.y0 AND greatest(least(b.x1, n.x1) - greatest(b.x0, n.x0), 0) / (b.x1 - b.x0) >= 0.7) THEN 'footnote' ELSE l1 END AS l2 FROM b),
+d AS (SELECT *, CASE WHEN l2 NOT IN ('number', 'footer') AND coalesce(y0 >= fa.y0 AND ((fa.x1 - fa.x0) / 600 >= 0.7 OR greatest(least(x1, fa.x1) - greatest(x0, fa.x0), 0) / least(x1 - x0, fa.x1 - fa.x0) >= 0.3), false) THEN 'footer' ELSE l2 END AS l3 FROM c)
+SELECT doc_id, page_idx, box_id, CASE WHEN hl NOT IN ('header', 'footer') AND l3 <> 'number' AND coalesce(y0 >= nb, false) THEN 'footer' WHEN hl NOT IN ('header', 'footer') AND l3 <> 'number' AND coalesce(y1 <= nt, false) THEN 'header' ELSE l3 END AS new_label FROM d""")
+def header_footer_relabel(c):
+    """Labels of the page edges corrected from the page's anchors."""
+    return L.relabel_page_edges(edge_boxes(c), ["doc_id", "page_idx"], 600.0, 800.0).select("doc_id", "page_idx", "box_id", "new_label")
+
+
+@query("J21", with_(S.SPANS) + f""", s AS (SELECT doc_id, page_idx, block_idx * 100000 + span_idx AS span_no, x0, y0, x1, y1 FROM spans),
+p AS (SELECT a.doc_id, a.page_idx, a.span_no, min(b.block_idx) AS block_idx FROM s a JOIN blocks b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx WHERE {IX} * {IY} / nullif({AA}, 0) > 0.5 GROUP BY 1, 2, 3)
+SELECT doc_id, page_idx, span_no, coalesce(block_idx, -1) AS block_idx FROM s LEFT JOIN p USING (doc_id, page_idx, span_no)""")
+def span_blocks(c):
+    """First block covering most of each span."""
+    spans = c.spans().select("doc_id", "page_idx", (F.col("block_idx") * 100000 + F.col("span_idx")).alias("span_no"), "x0", "y0", "x1", "y1", F.lit(0).alias("block_idx"))
+    got = L.assign_spans(spans, c.blocks(), ["doc_id", "page_idx"], "span_no", "block_idx", cell=128.0)
+    return got.select("doc_id", "page_idx", "span_no", F.coalesce("block_idx", F.lit(-1).cast("long")).alias("block_idx"))
+
+
+# ---------------------------------------------------------------- captions and neighbours
+DIST = """sqrt(pow(greatest(m.x0 - o.x1, o.x0 - m.x1, 0), 2) + pow(greatest(m.y0 - o.y1, o.y0 - m.y1, 0), 2))"""
+
+
+@query("J24", with_(S.BLOCKS) + f""", c AS (SELECT *, count(*) FILTER (type = 'caption') OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) AS k FROM blocks),
+p AS (SELECT o.doc_id, o.page_idx, o.block_idx, m.block_idx AS main_idx, CASE WHEN m.block_idx < o.block_idx THEN (o.block_idx - m.block_idx) - (o.k - 1 - m.k) ELSE (m.block_idx - o.block_idx) - (m.k - o.k) END AS eff, {DIST} AS d,
+   sqrt(pow((o.x0 + o.x1 - m.x0 - m.x1) / 2, 2) + pow((o.y0 + o.y1 - m.y0 - m.y1) / 2, 2)) AS cd FROM c o JOIN c m ON o.doc_id = m.doc_id AND o.page_idx = m.page_idx WHERE o.type = 'caption' AND m.type IN ('table', 'title')),
+q AS (SELECT *, min(eff) OVER (PARTITION BY doc_id, page_idx, block_idx) AS me FROM p),
+r AS (SELECT *, max(d) OVER w - min(d) OVER w AS dd, count(*) OVER w AS n FROM q WHERE eff = me WINDOW w AS (PARTITION BY doc_id, page_idx, block_idx)),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx, block_idx ORDER BY CASE WHEN dd > 2 THEN d ELSE cd END, main_idx) AS z FROM r)
+SELECT c.doc_id, c.page_idx, c.block_idx, coalesce(s.main_idx, -1) AS main_idx FROM c LEFT JOIN s ON s.doc_id = c.doc_id AND s.page_idx = c.page_idx AND s.block_idx = c.block_idx AND z = 1 WHERE c.type = 'caption'""")
+def caption_nearest(c):
+    """Table or title each caption belongs to."""
+    got = L.nearest_main(c.blocks(), ["table", "title"], ["caption"])
+    return got.select("doc_id", "page_idx", "block_idx", F.coalesce("main_idx", F.lit(-1).cast("long")).alias("main_idx"))
+
+
+CAPTION_BLOCKS = S.BLOCKS + """, cb AS (SELECT doc_id, page_idx, block_idx, x0, y0, x1, y1, CASE (doc_id + block_idx) % 11 WHEN 0 THEN 'table' WHEN 1 THEN 'caption' WHEN 2 THEN 'caption' WHEN 5 THEN 'image' ELSE 'text' END AS type,
+  CASE WHEN (doc_id + block_idx) % 11 = 6 THEN 'Fig. ' WHEN (doc_id + block_idx) % 11 = 3 THEN 'Table continued' ELSE '' END || CASE WHEN (doc_id + block_idx) % 11 = 3 THEN '' ELSE text END AS text FROM blocks)"""
+
+
+def caption_blocks(c):
+    k = F.pmod(F.col("doc_id") + F.col("block_idx"), F.lit(11))
+    kind = F.when(k == 0, "table").when(k.isin(1, 2), "caption").when(k == 5, "image").otherwise("text")
+    text = F.when(k == 6, F.concat(F.lit("Fig. "), F.col("text"))).when(k == 3, "Table continued").otherwise(F.col("text"))
+    return c.blocks().select("doc_id", "page_idx", "block_idx", "x0", "y0", "x1", "y1", kind.alias("type"), text.alias("text"))
+
+
+@query("W26", with_(CAPTION_BLOCKS) + r""", a AS (SELECT *, lag(type) OVER w AS pt FROM cb WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)),
+b AS (SELECT *, CASE WHEN type = 'text' AND ((pt = 'table' AND regexp_matches(lower(trim(text, ' ')), '^(表|table)')) OR (pt = 'image' AND regexp_matches(lower(trim(text, ' ')), '^(图|fig)'))) THEN 'caption' ELSE type END AS k FROM a),
+d AS (SELECT *, last_value(nullif(k, 'caption') IGNORE NULLS) OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(nullif(k, 'caption') IGNORE NULLS) OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM b)
+SELECT doc_id, page_idx, block_idx, CASE WHEN k <> 'caption' THEN k WHEN p IN ('table', 'image', 'chart') THEN p || '_caption' WHEN n IN ('table', 'image', 'chart') THEN n || '_caption' ELSE 'text' END AS new_type FROM d""")
+def caption_typing(c):
+    """Captions typed by the block they adjoin."""
+    return L.type_captions(caption_blocks(c), bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
+
+
+@query("W25", None)
+def caption_fallback(c):
+    """Text on a caption's line or at the page head becomes caption."""
+    return L.caption_fragments(caption_blocks(c), ["table", "image"], bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
+
+
+@query("J25", with_(S.BLOCKS) + """, f AS (SELECT doc_id, page_idx, block_idx, CASE (doc_id * 3 + block_idx * 7) % 5 WHEN 0 THEN 'equation' WHEN 1 THEN 'formula_number' WHEN 2 THEN 'equation' ELSE 'text' END AS type, CASE WHEN block_idx % 6 = 0 THEN '\\[ \\]' ELSE 'x' || block_idx END AS text FROM blocks),
+n AS (SELECT *, lag(type) OVER w AS pt, lag(text) OVER w AS px, lead(type) OVER w AS nt, lead(text) OVER w AS nx, lead(type, 2) OVER w AS nnt FROM f WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx))
+SELECT doc_id, page_idx, block_idx, CASE WHEN type = 'formula_number' AND NOT coalesce((pt = 'equation' AND px <> '\\[ \\]') OR (coalesce(pt, '') <> 'equation' AND nt = 'equation' AND coalesce(nnt, '') <> 'formula_number' AND nx <> '\\[ \\]'), false) THEN 'text' ELSE type END AS new_type FROM n""")
+def formula_numbers(c):
+    """Formula numbers merged with a neighbour or turned to text."""
+    k = F.pmod(F.col("doc_id") * 3 + F.col("block_idx") * 7, F.lit(5))
+    kind = F.when(k.isin(0, 2), "equation").when(k == 1, "formula_number").otherwise("text")
+    text = F.when(mod("block_idx", 6) == 0, "\\[ \\]").otherwise(F.concat(F.lit("x"), F.col("block_idx").cast("string")))
+    blocks = c.blocks().select("doc_id", "page_idx", "block_idx", kind.alias("type"), text.alias("text"))
+    return L.attach_formula_numbers(blocks, bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
+
+
+# ---------------------------------------------------------------- lines and intervals
+@query("W9", with_(S.SPANS) + """, s AS (SELECT *, block_idx * 100000 + span_idx AS span_no FROM spans), p AS (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM s WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY y0, span_no)),
+o AS (SELECT *, CASE WHEN coalesce(greatest(least(y1, py1) - greatest(y0, py0), 0) / least(y1 - y0, py1 - py0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
+SELECT doc_id, page_idx, span_no, CAST(sum(o) OVER (PARTITION BY doc_id, page_idx ORDER BY y0, span_no) AS BIGINT) AS line_no FROM o""")
+def line_build(c):
+    """Printed line of every span."""
+    spans = c.spans().select("doc_id", "page_idx", (F.col("block_idx") * 100000 + F.col("span_idx")).alias("span_no"), "x0", "y0", "x1", "y1")
+    return L.build_lines(spans, ["doc_id", "page_idx"], "span_no").select("doc_id", "page_idx", "span_no", "line_no")
+
+
+@query("W10", with_(S.BOXES) + """, p AS (SELECT *, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM boxes WINDOW w AS (PARTITION BY page ORDER BY -x1, box_id)),
+o AS (SELECT *, CASE WHEN coalesce(greatest(least(x1, px1) - greatest(x0, px0), 0) / least(x1 - x0, px1 - px0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
+SELECT page, box_id, CAST(sum(o) OVER (PARTITION BY page ORDER BY -x1, box_id) AS BIGINT) AS column_no FROM o""")
+def vertical_lines(c):
+    """Columns of vertical text, right to left."""
+    return L.build_vertical_lines(c.boxes(), PAGE, "box_id").select("page", "box_id", "column_no")
+
+
+@query("W10", with_(S.BOXES) + "SELECT page, avg(((y1 - y0) / (x1 - x0) > 0.6)::INT) > 0.3 AS vertical FROM boxes GROUP BY 1")
+def vertical_blocks(c):
+    """Pages whose boxes are mostly tall."""
+    return L.vertical_blocks(c.boxes(), PAGE, 0.6, 0.3)
+
+
+MERGED = """{n} AS (SELECT key, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(o) OVER (PARTITION BY key ORDER BY "start", "end") AS g FROM (
+  SELECT *, CASE WHEN coalesce(max("end") OVER (PARTITION BY key ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= "start", false) THEN 0 ELSE 1 END AS o FROM {t})) GROUP BY key, g)"""
+
+
+@query("W11", with_(S.INTERVALS, MERGED.format(n="m", t="intervals")) + "SELECT * FROM m")
+def interval_merge(c):
+    """Union of the intervals of every key."""
+    return L.merge_intervals(c.intervals(), ["key"], bucket=32)
+
+
+@query("W12", with_(S.INTERVALS, S.MASKS, MERGED.format(n="mm", t="masks")) + """,
+o AS (SELECT DISTINCT key, "start" AS o_start, "end" AS o_end FROM intervals), h AS (SELECT o.*, mm."start" AS s, mm."end" AS e FROM o JOIN mm ON mm.key = o.key AND mm."start" <= o_end AND mm."end" >= o_start),
+g AS (SELECT key, o_start, o_end, greatest(coalesce(lag(e) OVER (PARTITION BY key, o_start, o_end ORDER BY s) + 1, o_start), o_start) AS "start", s - 1 AS "end" FROM h
+  UNION ALL SELECT o.key, o.o_start, o.o_end, greatest(coalesce(max(e) + 1, o.o_start), o.o_start), o.o_end FROM o LEFT JOIN h ON h.key = o.key AND h.o_start = o.o_start AND h.o_end = o.o_end GROUP BY 1, 2, 3)
+SELECT * FROM g WHERE "start" <= "end\"""")
+def interval_subtract(c):
+    """Parts of every interval outside the masks."""
+    return L.subtract_intervals(c.intervals(), c.masks(), ["key"], bucket=32)
+
+
+@query("W13", with_(S.BOXES) + """, l AS (SELECT *, (max(x1) OVER w - min(x0) OVER w) > (max(y1) OVER w - min(y0) OVER w) * 1.2 AS wide FROM boxes WINDOW w AS (PARTITION BY page)),
+f AS (SELECT page, x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM l WHERE wide GROUP BY 1, 2), o AS (SELECT *, CASE WHEN coalesce(max(x1) OVER (PARTITION BY page ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= x0, false) THEN 0 ELSE 1 END AS o FROM f),
+g AS (SELECT *, sum(o) OVER (PARTITION BY page ORDER BY x0) AS g FROM o)
+SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY page, g UNION ALL SELECT page, x0, y0, x1, y1 FROM l WHERE NOT wide""")
+def line_spans(c):
+    """Overlapping spans of wide lines united."""
+    return L.merge_line_spans(c.boxes(), PAGE, wide=1.2, bucket=16)
+
+
+# ---------------------------------------------------------------- paragraphs
+PARA = """, m AS (SELECT *, last_value(CASE WHEN type IN ('text') THEN {{'o': true, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': text, 'p': page_idx}} WHEN type NOT IN ('image', 'table', 'chart', 'code') THEN {{'o': false, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': text, 'p': page_idx}} END IGNORE NULLS)
+   OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b2),
+j AS (SELECT *, coalesce(type = 'text' AND p.o AND NOT regexp_matches(rtrim(p.t, ' '), '[.!?。！？)）"”:：;；]$') AND NOT regexp_matches(text, '^\\s*[\\p{{Nd}}\\p{{Lu}}]') AND least(x1 - x0, p.x1 - p.x0) > 0
+   AND abs((x1 - x0) - (p.x1 - p.x0)) < least(x1 - x0, p.x1 - p.x0) AND abs(x0 - p.x0) < (y1 - y0) * 5 AND (y0 < p.y1 OR page_idx > p.p), false) AS joined FROM m)"""
+B2 = """b2 AS (SELECT * REPLACE (CASE WHEN line_no % 3 = 0 THEN lower(text) ELSE text END AS text, y0 - CASE WHEN line_no % 2 = 0 THEN 10 ELSE 0 END AS y0) FROM blocks)"""
+
+
+def loose_blocks(c):
+    """Blocks with lower-case openings and overlapping rows, so that some continue."""
+    n = F.col("line_no")
+    return c.blocks().withColumn("text", F.when(n % 3 == 0, F.lower(F.regexp_replace("text", r"[.]\s*$", ""))).otherwise(F.regexp_replace("text", r"[.]\s*$", ""))).withColumn(
+        "y0", F.col("y0") - F.when(n % 2 == 0, 10).otherwise(0)
+    )
+
+
+@query("W14", with_(S.BLOCKS, B2.replace("THEN lower(text) ELSE text", "THEN lower(regexp_replace(text, '[.]\\s*$', '')) ELSE regexp_replace(text, '[.]\\s*$', '')")) + PARA.format() + """
+SELECT doc_id, line_no, joined, CAST(sum((type = 'text' AND NOT joined)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS paragraph FROM j""")
+def para_merge(c):
+    """Paragraph of every block."""
+    return L.merge_paragraphs(loose_blocks(c)).select("doc_id", "line_no", "joined", "paragraph")
+
+
+@query("W14 C4 S9", None)
+def paragraph_texts(c):
+    """Joined text of every paragraph."""
+    return L.paragraph_text(L.merge_paragraphs(loose_blocks(c)))
+
+
+@query("W15", None)
+def vertical_para_merge(c):
+    """Paragraphs of vertical text."""
+    turned = loose_blocks(c).select("doc_id", "page_idx", "line_no", "type", "text", F.col("y0").alias("x0"), F.col("x0").alias("y0"), F.col("y1").alias("x1"), F.col("x1").alias("y1"))
+    return L.merge_paragraphs(turned, vertical=True).select("doc_id", "line_no", "joined", "paragraph")
+
+
+@query("W16", with_(S.BLOCKS) + """, k AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 5 < 3 THEN 'list' ELSE 'text' END AS type FROM blocks), p AS (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY line_no) AS pt FROM k),
+r AS (SELECT *, CAST(sum((type = 'list' AND coalesce(pt, '') <> 'list')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS run FROM p) SELECT doc_id, line_no, run FROM r WHERE type = 'list'""")
+def list_runs(c):
+    """Runs of adjoining list blocks."""
+    kind = F.when(F.pmod(F.col("doc_id") + F.col("line_no"), F.lit(5)) < 3, "list").otherwise("text")
+    return L.merge_runs(c.blocks().select("doc_id", "line_no", kind.alias("type")), "list").select("doc_id", "line_no", "run")
+
+
+CLASS = """, ln AS (SELECT doc_id, page_idx, line_no, x0, y0, x1, y1, CASE WHEN doc_id % 4 = 0 THEN '1' ELSE '' END || text AS text FROM blocks),
+f AS (SELECT doc_id, page_idx, min(x0) AS bx0, max(x1) AS bx1, min(y0) AS by0, max(y1) AS by1, arg_min({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}, line_no) AS fi, arg_max({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}, line_no) AS la FROM ln GROUP BY 1, 2),
+g AS (SELECT *, fi.y1 - fi.y0 AS h, bx1 - bx0 AS w, trim(text, ' ') AS t FROM ln JOIN f USING (doc_id, page_idx)),
+s AS (SELECT doc_id, page_idx, count(*) AS n, count(*) FILTER (x0 - bx0 > 0.7 * h AND bx1 - x1 > 0.7 * h) AS inn, count(*) FILTER (abs((x0 + x1) / 2 - (bx0 + bx1) / 2) < h / 2) AS cen, count(*) FILTER (abs(x0 - bx0) < h / 2) AS lc,
+  count(*) FILTER (x0 - bx0 > h) AS lo, count(*) FILTER (abs(bx1 - x1) < h) AS rc, count(*) FILTER (NOT abs(bx1 - x1) < h AND bx1 - x1 > CASE WHEN w / 600 >= 0.5 THEN 0.26 ELSE 0.36 END * w) AS ro,
+  count(*) FILTER (right(t, 1) IN ('.', '。', ';', '；')) AS en, count(*) FILTER (regexp_matches(left(t, 1), '^\\p{Nd}$')) AS ns, count(*) FILTER (regexp_matches(right(t, 1), '^\\p{Nd}$')) AS ne,
+  bool_or(fi.x0 - bx0 > h / 2 AND abs(la.x0 - bx0) < h / 2 AND bx1 - la.x1 > h) AS sev, any_value((by1 - by0) / w) AS shape FROM g GROUP BY 1, 2)
+SELECT doc_id, page_idx, n, lc AS left_close, rc AS right_close, ro AS right_open, en AS ends, CASE WHEN n < 2 THEN 'text' WHEN (lc / n >= 0.8 OR rc / n >= 0.8) AND (ns / n >= 0.8 OR ne / n >= 0.8) THEN 'index'
+  WHEN inn >= 2 AND cen = n AND inn / n >= 0.5 AND shape > 0.4 THEN 'list' WHEN lc >= 2 AND (ro >= 2 OR en / n >= 0.8 OR lo >= 2) AND NOT sev THEN 'list' ELSE 'text' END AS kind FROM s"""
+
+
+@query("W17", with_(S.BLOCKS) + CLASS)
+def block_class(c):
+    """List, index or text by the lines of every page."""
+    text = F.concat(F.when(mod("doc_id", 4) == 0, "1").otherwise(""), F.col("text"))
+    return L.classify_blocks(c.blocks().withColumn("text", text), ["doc_id", "page_idx"], 600.0)
+
+
+@query("W20", with_(S.BLOCKS) + """, k AS (SELECT doc_id, line_no, CASE WHEN line_no % 13 = 1 THEN 'doc_title' WHEN line_no % 5 = 0 THEN 'paragraph_title' ELSE 'text' END AS type FROM blocks),
+g AS (SELECT *, CAST(sum((type = 'doc_title')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS title_group FROM k) SELECT doc_id, line_no, title_group, CAST(CASE WHEN line_no % 3 = 1 THEN 2 ELSE line_no % 3 END AS BIGINT) AS level FROM g WHERE type = 'paragraph_title'""")
+def title_groups(c):
+    """Paragraph titles grouped between document titles."""
+    n = F.col("line_no")
+    kind = F.when(n % 13 == 1, "doc_title").when(n % 5 == 0, "paragraph_title").otherwise("text")
+    grouped = L.title_groups(c.blocks().select("doc_id", "line_no", kind.alias("type")))
+    return grouped.select("doc_id", "line_no", "title_group", L.offset_title_level(n % 3).alias("level"))
+
+
+@query("A27", with_(S.SPANS) + """, m AS (SELECT doc_id, page_idx, block_idx, avg(CAST(trunc(y1 - y0) AS INTEGER)) AS a FROM spans WHERE span_idx % 2 = 1 GROUP BY 1, 2, 3)
+SELECT doc_id, page_idx, block_idx, round(coalesce(a, greatest(0, y1 - y0)), 6) AS line_avg_height FROM blocks LEFT JOIN m USING (doc_id, page_idx, block_idx)""")
+def title_heights(c):
+    """Mean line height of every block."""
+    keys = ["doc_id", "page_idx", "block_idx"]
+    got = L.title_line_height(c.blocks(), c.spans().where(mod("span_idx", 2) == 1).select(*keys, "y0", "y1"), keys)
+    return got.select(*keys, F.round("line_avg_height", 6).alias("line_avg_height"))
+
+
+@query("A28", with_(S.BLOCKS) + """SELECT doc_id, page_idx, min(x0) AS "left", min(y0) AS top, max(x1) AS "right", max(y1) AS bottom, round(least(1.0::DOUBLE, sum((x1 - x0) * (y1 - y0)) / ((max(x1) - min(x0)) * (max(y1) - min(y0)))), 6) AS density FROM blocks GROUP BY 1, 2""")
+def page_density(c):
+    """Region and density of every page."""
+    return L.page_density(c.blocks(), ["doc_id", "page_idx"])
+
+
+# ---------------------------------------------------------------- order, characters, sinks
+@query("W21", with_(S.BOXES) + """, p AS (SELECT *, lag(y0) OVER w AS py FROM boxes WINDOW w AS (PARTITION BY page ORDER BY y0, x0, box_id)), o AS (SELECT *, sum(CASE WHEN py IS NULL OR y0 - py >= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, x0, box_id) AS row_no FROM p)
+SELECT page, box_id, CAST(row_no AS BIGINT) AS row_no, CAST(row_number() OVER (PARTITION BY page, row_no ORDER BY x0, y0, box_id) AS INTEGER) AS place FROM o""")
+def row_order(c):
+    """Rows of boxes top to bottom, left to right."""
+    return L.row_order(c.boxes(), PAGE, "box_id").select("page", "box_id", "row_no", "place")
+
+
+@query("W22", None)
+def xycut_order(c):
+    """Reading order of every page by recursive cuts."""
+    return L.xycut_order(c.boxes(), PAGE, "box_id")
+
+
+@query("W23", """WITH i AS (SELECT o_custkey AS root_id, o_custkey * 10 + o_orderkey % 2 AS list_id, o_orderkey AS item_no, o_orderkey % 2 AS lv, o_orderpriority AS t FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY item_no) AS k, min(lv) OVER (PARTITION BY root_id) AS r FROM i)
+SELECT root_id, list_id, item_no, repeat('    ', CAST(lv - r AS INTEGER)) || CASE WHEN lv = 0 THEN CAST(3 + k - 1 AS VARCHAR) || '. ' ELSE '- ' END || t AS line FROM n""")
+def nested_lists(c):
+    """Nested lists as flat lines with counters and indents."""
+    lv = mod("o_orderkey", 2)
+    items = c.table("orders").select(
+        F.col("o_custkey").alias("root_id"), (F.col("o_custkey") * 10 + lv).alias("list_id"), F.col("o_orderkey").alias("item_no"), lv.alias("level"),
+        (lv == 0).alias("ordered"), F.lit(3).cast("long").alias("start"), F.col("o_orderpriority").alias("text"),
+    )
+    return L.flatten_list(items)
+
+
+def characters(c):
+    """Characters of every span that has up to forty of them, some raised, lowered or spaced."""
+    words = c.spans().where(F.length("content") > 0)
+    placed = words.select(
+        "doc_id", "page_idx", (F.col("block_idx") * 100000 + F.col("span_idx")).alias("span_idx"), "x0", "y0", F.posexplode(F.array_remove(F.split("content", ""), "")).alias("char_idx", "char")
+    )
+    up = F.when(F.pmod("char_idx", F.lit(7)) == 5, -4).when(F.pmod("char_idx", F.lit(7)) == 6, 4).otherwise(0)
+    small = F.when(F.pmod("char_idx", F.lit(7)) >= 5, 6).otherwise(10)
+    space = F.floor(F.col("char_idx") / 4) * 3
+    return placed.select(
+        "doc_id", "page_idx", "span_idx", "char_idx", "char", (F.col("x0") + 5 * F.col("char_idx") + space).alias("x0"), (F.col("y0") + 1 + up).alias("y0"),
+        (F.col("x0") + 5 * F.col("char_idx") + space + 5).alias("x1"), (F.col("y0") + 1 + up + small).alias("y1"),
+    )
+
+
+@query("C37 C38", None)
+def char_text(c):
+    """Text of every span rebuilt from its characters."""
+    return L.chars_to_text(characters(c), ["doc_id", "page_idx", "span_idx"])
+
+
+@query("J23", None)
+def char_spans(c):
+    """Span of every character."""
+    spans = c.spans().select("doc_id", "page_idx", (F.col("block_idx") * 100000 + F.col("span_idx")).alias("span_idx"), "x0", "y0", "x1", "y1")
+    chars = characters(c).withColumn("char_idx", F.col("span_idx") * 100000 + F.col("char_idx")).drop("span_idx")
+    return L.assign_chars(chars, spans, ["doc_id", "page_idx"])
+
+
+MD = r"""regexp_replace(text, '([*_`~$])', '\\\1', 'g')"""
+
+
+@query("S9 F10", with_(S.BLOCKS) + f""", t AS (SELECT doc_id, line_no, CASE WHEN type = 'title' THEN '# ' || {MD} WHEN type = 'table' THEN text ELSE regexp_replace({MD}, '^([ \\t]{{0,3}})(#{{1,6}}|[+-])([ \\t])', '\\1\\\\\\2\\3') END AS t FROM blocks WHERE type NOT IN ('page_number'))
+SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY line_no) AS markdown FROM t WHERE trim(t, ' ') <> '' GROUP BY 1""")
+def markdown_documents(c):
+    """Every document's blocks as Markdown."""
+    return L.markdown_documents(c.blocks())
+
+
+@query("S10 F10 C34", None)
+def content_list(c):
+    """Typed items of every block as JSON."""
+    return L.content_list(c.blocks(), 600.0, 800.0)
+
+
+@query("S10", None)
+def paged_content_list(c):
+    """Typed items of every page as one JSON array."""
+    return L.paged_content_list(L.content_list(c.blocks(), 600.0, 800.0))

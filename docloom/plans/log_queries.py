@@ -50,8 +50,8 @@ def context_summary(c):
     return logs.context_summary(rows)
 
 
-@query("J27", """WITH l AS (SELECT vec_id AS lookup_id, label % 3 AS fh, embedding::DOUBLE[] AS v, vec_id * 60 AS at FROM embeddings), e AS (SELECT lookup_id AS entry_id, fh, v, at FROM l),
-p AS (SELECT lookup_id, entry_id, round(list_dot_product(l.v, e.v) / sqrt(list_dot_product(l.v, l.v) * list_dot_product(e.v, e.v)), 6) AS similarity, l.at - e.at AS age FROM l JOIN e USING (fh) WHERE entry_id <> lookup_id)
+@query("J27", """WITH l AS (SELECT vec_id AS lookup_id, label % 3 AS fh, embedding::DOUBLE[] AS v, vec_id * 60 AS ts0 FROM embeddings), e AS (SELECT lookup_id AS entry_id, fh, v, ts0 FROM l),
+p AS (SELECT lookup_id, entry_id, round(list_dot_product(l.v, e.v) / sqrt(list_dot_product(l.v, l.v) * list_dot_product(e.v, e.v)), 6) AS similarity, l.ts0 - e.ts0 AS age FROM l JOIN e USING (fh) WHERE entry_id <> lookup_id)
 SELECT lookup_id, entry_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY similarity DESC, entry_id) AS r FROM p WHERE similarity >= 0.3 AND age BETWEEN 0 AND 7200) WHERE r = 1""".replace("WHERE entry_id <> lookup_id", ""))
 def cache_lookup_ttl(c):
     """Most similar fresh cache entry with equal filters."""
