@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ from docloom.functions import boxes as B
 from docloom.functions import presets as P
 from docloom.functions import text as X
 from docloom.operators.components import connected_components, greedy_suppressed
+from docloom.operators.grouped import map_groups
 from docloom.operators.ordered import position_bucket, scan
 from docloom.operators.skew import best_row
 from docloom.session import cut_lineage
@@ -107,26 +107,23 @@ def filter_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, drop_inline
         *keys, "component", F.col(f"l_{box_id}").alias("a"), F.col(f"r_{box_id}").alias("b"), "_r",
         F.col("l_label").alias("la"), F.col("r_label").alias("lb"), B.box("l_").area.alias("aa"), B.box("r_").area.alias("ab"),
     )
-    schema = T.StructType([*[work.schema[k] for k in keys], T.StructField("dropped", work.schema["a"].dataType)])
+    schema = T.StructType([*[work.schema[k] for k in (*keys, "component")], T.StructField("dropped", work.schema["a"].dataType)])
 
-    def decide(pairs: pd.DataFrame) -> pd.DataFrame:
+    def decide(g: dict) -> dict:
         gone: set = set()
-        for row in pairs.sort_values(["a", "b"]).itertuples(index=False):
-            if row.a in gone or row.b in gone:
+        for a, b, ratio, la, lb, aa, ab in zip(g["a"], g["b"], g["_r"], g["la"], g["lb"], g["aa"], g["ab"]):
+            if a in gone or b in gone:
                 continue
-            formulas = [i for i, lab in ((row.a, row.la), (row.b, row.lb)) if lab == "inline_formula"]
-            if formulas:
-                if drop_inline:
-                    gone.update(formulas)
-                continue
-            kinds = {row.la, row.lb}
+            formulas = [i for i, lab in ((a, la), (b, lb)) if lab == "inline_formula"]
+            kinds = {la, lb}
             visual = bool(kinds & VISUAL_LABELS) and len(kinds) > 1
-            if row[pairs.columns.get_loc("_r")] > 0.7 and not (visual and ("table" not in kinds or kinds <= VISUAL_LABELS)):
-                gone.add(row.b if row.aa >= row.ab else row.a)
-        out = {k: pairs[k].iloc[0] for k in keys}
-        return pd.DataFrame({**{k: [v] * len(gone) for k, v in out.items()}, "dropped": list(gone)})
+            if formulas:
+                gone.update(formulas if drop_inline else ())
+            elif ratio > 0.7 and not (visual and ("table" not in kinds or kinds <= VISUAL_LABELS)):
+                gone.add(b if aa >= ab else a)
+        return {"dropped": np.array(sorted(gone), dtype=g["a"].dtype)}
 
-    lost = work.groupBy(*keys, "component").applyInPandas(decide, schema).withColumnRenamed("dropped", box_id)
+    lost = map_groups(work, [*keys, "component"], ["a", "b"], decide, schema).select(*keys, F.col("dropped").alias(box_id))
     return usable.where("NOT _small").drop("_small").join(lost, [*keys, box_id], "left_anti")
 
 
@@ -137,33 +134,28 @@ def merge_nested_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, thres
     score. Each round settles the connected groups; unions may meet new boxes, so it repeats.
     """
     state = cut_lineage(boxes.select(*keys, box_id, "score", *[F.col(c).cast("double").alias(c) for c in COORDS]))
-    schema = T.StructType([*[state.schema[k] for k in keys], state.schema[box_id], T.StructField("score", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in COORDS]])
-
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(box_id).to_dict("records")
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(rows)):
-                for j in range(i + 1, len(rows)):
-                    a, b = rows[i], rows[j]
-                    w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-                    h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-                    area = [(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in (a, b)]
-                    if w < 0 or h < 0 or min(area) == 0 or w * h / min(area) < threshold:
-                        continue
-                    first = area[0] > area[1] or (area[0] == area[1] and a["score"] >= b["score"])
-                    keep, drop = (a, b) if first else (b, a)
-                    keep.update(
-                        x0=np.floor(min(a["x0"], b["x0"])), y0=np.floor(min(a["y0"], b["y0"])), x1=np.ceil(max(a["x1"], b["x1"])),
-                        y1=np.ceil(max(a["y1"], b["y1"])), score=round(max(a["score"], b["score"]), 4),
-                    )
-                    rows.remove(drop)
-                    changed = True
+    fields = [box_id, "score", *COORDS]
+    schema = T.StructType([*[state.schema[k] for k in keys], T.StructField("component", state.schema[box_id].dataType), *[state.schema[c] for c in fields]])
+
+    def unite(g: dict) -> dict:
+        rows = [dict(zip(fields, values)) for values in zip(*(g[c] for c in fields))]
+        at = 0
+        while at < len(rows):
+            a = rows[at]
+            for b in rows[at + 1:]:
+                w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
+                h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+                area_a, area_b = ((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in (a, b))
+                if w >= 0 and h >= 0 and min(area_a, area_b) > 0 and w * h / min(area_a, area_b) >= threshold:
+                    keep, drop = (a, b) if (area_a, a["score"]) >= (area_b, b["score"]) else (b, a)
+                    for c, pick, side in (("x0", min, np.floor), ("y0", min, np.floor), ("x1", max, np.ceil), ("y1", max, np.ceil)):
+                        keep[c] = float(side(pick(a[c], b[c])))
+                    keep["score"] = round(max(a["score"], b["score"]), 4)
+                    rows = [r for r in rows if r is not drop]
+                    at = -1  # every pair is open again
                     break
-                if changed:
-                    break
-        return pd.DataFrame(rows)[[*keys, box_id, "score", *COORDS]]
+            at += 1
+        return {c: np.array([r[c] for r in rows], dtype=g[c].dtype) for c in fields}
 
     for _ in range(max_rounds):
         pairs = overlapping_pairs(state, keys, box_id, cell).where(B.overlap_min_area(B.box("l_"), B.box("r_")) >= threshold)
@@ -173,8 +165,8 @@ def merge_nested_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, thres
         groups = connected_components(edges.select(*keys, F.explode(F.array("a", "b")).alias("node")), edges, keys).withColumnRenamed("node", box_id)
         alone = state.join(groups, [*keys, box_id], "left_anti")
         grouped = state.join(groups, [*keys, box_id])
-        united = grouped.groupBy(*keys, "component").applyInPandas(unite, schema)
-        state = cut_lineage(alone.select(schema.names).unionByName(united))
+        united = map_groups(grouped, [*keys, "component"], [box_id], unite, schema).drop("component")
+        state = cut_lineage(alone.select(united.columns).unionByName(united))
     raise RuntimeError(f"boxes still merging after {max_rounds} rounds")
 
 
@@ -472,7 +464,7 @@ def build_lines(spans: DataFrame, keys: Sequence[str], span_id: str, threshold:
     seen = scan(spans, keys, order, _bucketed(spans, keys, "y0", bucket), previous={"_p": view})
     shared = F.greatest(F.least("y1", F.col("_p.y1")) - F.greatest("y0", F.col("_p.y0")), F.lit(0))
     low = F.least(F.col("y1") - F.col("y0"), F.col("_p.y1") - F.col("_p.y0"))
-    together = (low > 0) & (shared / low > threshold) & ~alone & ~F.col("_p.solo")
+    together = F.col("_p").isNotNull() & (low > 0) & (shared / low > threshold) & ~alone & ~F.col("_p.solo")
     opened = seen.withColumn("_o", (~F.coalesce(together, F.lit(False))).cast("long"))
     return scan(opened, keys, order, _bucketed(opened, keys, "y0", bucket), sums={"line_no": F.col("_o")}).drop("_p", "_o")
 
@@ -483,7 +475,8 @@ def build_vertical_lines(spans: DataFrame, keys: Sequence[str], span_id: str, th
     seen = scan(turned, keys, ["_m", span_id], _bucketed(turned, keys, "_m", bucket), previous={"_p": F.struct("x0", "x1")})
     shared = F.greatest(F.least("x1", F.col("_p.x1")) - F.greatest("x0", F.col("_p.x0")), F.lit(0))
     low = F.least(F.col("x1") - F.col("x0"), F.col("_p.x1") - F.col("_p.x0"))
-    opened = seen.withColumn("_o", (~F.coalesce((low > 0) & (shared / low > threshold), F.lit(False))).cast("long"))
+    together = F.col("_p").isNotNull() & (low > 0) & (shared / low > threshold)
+    opened = seen.withColumn("_o", (~F.coalesce(together, F.lit(False))).cast("long"))
     return scan(opened, keys, ["_m", span_id], _bucketed(opened, keys, "_m", bucket), sums={"column_no": F.col("_o")}).drop("_p", "_o", "_m")
 
 
@@ -712,10 +705,11 @@ def xycut_order(boxes: DataFrame, keys: Sequence[str], box_id: str, beta: float
     """
     schema = T.StructType([*[boxes.schema[k] for k in keys], boxes.schema[box_id], T.StructField("place", T.LongType())])
 
-    def order_page(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[(page["x1"] > page["x0"]) & (page["y1"] > page["y0"])].sort_values(box_id)
-        b = page[list(COORDS)].to_numpy(dtype=float)
+    def order_page(g: dict) -> dict:
+        b = np.column_stack([g[c] for c in COORDS]).astype(float)
         ids = np.arange(len(b))
+        if len(b) == 1:
+            return {box_id: g[box_id], "place": np.array([1])}
         width = b[:, 2] - b[:, 0]
         apart = np.zeros(len(b), dtype=bool)
         if len(b) >= 3:
@@ -732,12 +726,10 @@ def xycut_order(boxes: DataFrame, keys: Sequence[str], box_id: str, beta: float
                 merged.append(across.pop(0))
             merged.append(i)
         merged.extend(across)
-        out = page.iloc[merged][[*keys, box_id]].copy()
-        out["place"] = np.arange(1, len(out) + 1)
-        return out
+        return {box_id: g[box_id][merged], "place": np.arange(1, len(merged) + 1)}
 
-    columns = [*keys, box_id, *COORDS]
-    return boxes.select(*columns).groupBy(*keys).applyInPandas(order_page, schema)
+    solid = boxes.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).select(*keys, box_id, *COORDS)
+    return map_groups(solid, keys, [box_id], order_page, schema)
 
 
 def flatten_list(items: DataFrame, list_id: str = "list_id", order: str = "item_no") -> DataFrame:

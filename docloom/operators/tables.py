@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.operators.grouped import map_groups
 from docloom.operators.ordered import position_bucket, scan
 
 MAX_HEADER_ROWS = 5
@@ -25,26 +26,25 @@ def row_geometry(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         T.StructField("actual_cols", T.IntegerType()), T.StructField("visual_cols", T.IntegerType()),
     ])
 
-    def walk(table: pd.DataFrame) -> pd.DataFrame:
+    def walk(g: dict) -> dict:
         held: dict[int, int] = {}  # column -> rows it stays taken
+        rows, first = np.unique(g["row_no"], return_index=True)
         out = []
-        for row_no, row in table.sort_values(["row_no", "col_no"]).groupby("row_no"):
-            taken, fresh, at = set(held), {}, 0
-            for colspan, rowspan in zip(row["colspan"], row["rowspan"]):
-                while at in taken:
+        for s, e in zip(first, np.append(first[1:], len(g["row_no"]))):
+            reach, at = dict(held), 0
+            for colspan, rowspan in zip(g["colspan"][s:e], g["rowspan"][s:e]):
+                while at in held:
                     at += 1
                 for col in range(at, at + colspan):
-                    taken.add(col)
-                    fresh[col] = max(fresh.get(col, 0), rowspan)
+                    reach[col] = max(reach.get(col, 0), rowspan)
                 at += colspan
-            out.append((int(row_no), max(taken) + 1 if taken else 0, int(row["colspan"].sum()), len(row)))
-            held = {c: n - 1 for c, n in {**held, **{c: max(n, held.get(c, 0)) for c, n in fresh.items()}}.items() if n > 1}
-        result = pd.DataFrame(out, columns=["row_no", "effective_cols", "actual_cols", "visual_cols"])
-        for i, k in enumerate(keys):
-            result.insert(i, k, table[k].iloc[0])
-        return result
-
-    return cells.select(*keys, "row_no", "col_no", "colspan", "rowspan").groupBy(*keys).applyInPandas(walk, schema)
+            out.append((max(reach) + 1 if reach else 0, g["colspan"][s:e].sum(), e - s))
+            held = {col: n - 1 for col, n in reach.items() if n > 1}
+        effective, actual, visual = (np.array(v, dtype=np.int32) for v in zip(*out))
+        return {"row_no": rows.astype(np.int64), "effective_cols": effective, "actual_cols": actual, "visual_cols": visual}
+
+    columns = cells.select(*keys, "row_no", "col_no", "colspan", "rowspan")
+    return map_groups(columns, keys, ["row_no", "col_no"], walk, schema)
 
 
 def table_metrics(geometry: DataFrame, keys: Sequence[str]) -> DataFrame:

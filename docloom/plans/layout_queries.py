@@ -211,7 +211,7 @@ def formula_numbers(c):
 
 # ---------------------------------------------------------------- lines and intervals
 @query("W9", with_(S.SPANS) + """, s AS (SELECT *, block_idx * 100000 + span_idx AS span_no FROM spans), p AS (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM s WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY y0, span_no)),
-o AS (SELECT *, CASE WHEN coalesce(greatest(least(y1, py1) - greatest(y0, py0), 0) / least(y1 - y0, py1 - py0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
+o AS (SELECT *, CASE WHEN py0 IS NOT NULL AND coalesce(greatest(least(y1, py1) - greatest(y0, py0), 0) / least(y1 - y0, py1 - py0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
 SELECT doc_id, page_idx, span_no, CAST(sum(o) OVER (PARTITION BY doc_id, page_idx ORDER BY y0, span_no) AS BIGINT) AS line_no FROM o""")
 def line_build(c):
     """Printed line of every span."""
@@ -220,7 +220,7 @@ def line_build(c):
 
 
 @query("W10", with_(S.BOXES) + """, p AS (SELECT *, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1 FROM boxes WINDOW w AS (PARTITION BY page ORDER BY -x1, box_id)),
-o AS (SELECT *, CASE WHEN coalesce(greatest(least(x1, px1) - greatest(x0, px0), 0) / least(x1 - x0, px1 - px0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
+o AS (SELECT *, CASE WHEN px0 IS NOT NULL AND coalesce(greatest(least(x1, px1) - greatest(x0, px0), 0) / least(x1 - x0, px1 - px0) > 0.6, false) THEN 0 ELSE 1 END AS o FROM p)
 SELECT page, box_id, CAST(sum(o) OVER (PARTITION BY page ORDER BY -x1, box_id) AS BIGINT) AS column_no FROM o""")
 def vertical_lines(c):
     """Columns of vertical text, right to left."""

@@ -1 +1,108 @@
-"""Registered queries."""
+"""Registered streaming queries; each runs over the stored files as a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from docloom.plans import sql_tables as S
+from docloom.plans.registry import query
+from docloom.plans.sql_tables import with_
+from docloom.plans.text_queries import mod
+from docloom.session import shared_dir
+from docloom.sources.tables import prop_k
+from docloom.streaming import jobs
+
+
+def fresh_folders(c, name):
+    """Output and checkpoint folders of one run, in the shared folder."""
+    base = f"{shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/state"
+
+
+def log_stream(c):
+    kind = F.col("event_type")
+    return jobs.table_stream(c.spark, c.folder, "events").select(
+        F.col("event_id").alias("query_log_id"), "user_id", F.when(kind.isin("error", "signup"), "slow").otherwise("fast").alias("lane"), (kind == "signup").alias("clarified"),
+        (kind == "error").cast("int").alias("retry_count"), F.floor(F.col("value") * 10).cast("long").alias("total_time"), F.col("ts").alias("created_at"), prop_k(F.col("props")).alias("k"),
+    )
+
+
+def stamp(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
+@query("X2", with_(S.QUERY_LOGS) + """SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(date_trunc('hour', created_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS queries, CAST(sum((lane = 'slow')::INT) AS BIGINT) AS slow,
+  CAST(sum(retry_count) AS BIGINT) AS retries, CAST(sum(clarified::INT) AS BIGINT) AS clarified, max(total_time) AS slowest, sum(clarified::INT) / count(*) > 0.25 AS clarification_alert FROM query_logs GROUP BY date_trunc('hour', created_at)""")
+def stream_kpi(c):
+    """Hourly KPIs of the query log as a stream."""
+    out, state = fresh_folders(c, "kpi")
+    done = jobs.run_batches_complete(jobs.kpi_windows(log_stream(c)), out, state)
+    return done.select(stamp("window_start"), stamp("window_end"), "queries", "slow", "retries", "clarified", "slowest", "clarification_alert")
+
+
+@query("X1", "SELECT event_type || '-' || user_id AS upload, count(*) > 0 AS stored FROM events GROUP BY 1")
+def stream_dedup(c):
+    """Uploads stored once per content key, batch by batch."""
+    out, state = fresh_folders(c, "uploads")
+    uploads = jobs.table_stream(c.spark, c.folder, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("upload"))
+    jobs.run_batches(uploads, jobs.ingest_new(out, "upload"), state)
+    return c.spark.read.parquet(out).select("upload", F.lit(True).alias("stored"))
+
+
+@query("X3", """SELECT k, count(*) > 0 AS cached FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
+def stream_ttl(c):
+    """Requests that open a cache entry while an equal one is not yet expired."""
+    out, state = fresh_folders(c, "ttl")
+    opened = jobs.fresh_answers(log_stream(c).select("k", "created_at"), "k", "created_at", "60 days")
+    return jobs.run_to_table(opened, out, state).select("k", F.lit(True).alias("cached"))
+
+
+@query("X4", with_(S.QUERY_LOGS) + """, g AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM query_logs WINDOW w AS (PARTITION BY user_id ORDER BY created_at)), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS queries, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, s""")
+def stream_sessions(c):
+    """Sessions of every user as a stream."""
+    out, state = fresh_folders(c, "sessions")
+    done = jobs.run_batches_complete(jobs.activity_sessions(log_stream(c), gap="6 hours"), out, state)
+    return done.select("user_id", stamp("session_start"), stamp("session_end"), "queries", stamp("last_at"))
+
+
+@query("X5", """SELECT o_custkey AS doc_id, count(*) AS pages FROM orders GROUP BY 1""")
+def stream_complete(c):
+    """Documents reported once all their pages have arrived."""
+    out, state = fresh_folders(c, "pages")
+    orders = c.table("orders")
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("_lo"), F.count("*").alias("page_count"))
+    rank = orders.select("o_custkey", "o_orderkey").join(first, "o_custkey")
+    from pyspark.sql import Window
+
+    # Page numbers are prepared as a table of files, which the stream then reads.
+    pages = rank.select("o_custkey", "page_count", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("long").alias("page_idx"))
+    pages.select(F.col("o_custkey").alias("doc_id"), "page_idx", "page_count").repartition(4, "page_idx").write.parquet(f"{out}-in")
+    stream = c.spark.readStream.schema("doc_id long, page_idx long, page_count long").option("maxFilesPerTrigger", 2).parquet(f"{out}-in")
+    return jobs.run_to_table(jobs.complete_documents(stream), out, state)
+
+
+@query("X6", """SELECT o_orderkey AS task_id, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def pending_tasks(c):
+    """Orders without a completing item, to be handed in again."""
+    submitted = c.table("orders").select(F.col("o_orderkey").alias("task_id"), "o_custkey")
+    return jobs.pending_tasks(submitted, c.table("lineitem").select(F.col("l_orderkey").alias("task_id"), "l_returnflag"), status=F.col("l_returnflag") == "R")
+
+
+@query("X7", """WITH ch AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), st AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN ch ON l_partkey % 1500 = c_custkey)
+SELECT l_orderkey AS entry_id, l_partkey % 1500 AS doc_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM st)""")
+def cache_invalidation(c):
+    """Cache entries none of whose documents changed."""
+    cache = c.table("lineitem").select(F.col("l_orderkey").alias("entry_id"), mod("l_partkey", 1500).alias("doc_id"), "l_linenumber")
+    return jobs.drop_stale_entries(cache, c.table("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("doc_id")))
+
+
+@query("X7", """SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def stream_live_requests(c):
+    """Streamed requests whose document did not change."""
+    out, state = fresh_folders(c, "live")
+    requests = jobs.table_stream(c.spark, c.folder, "events").select("event_id", "user_id")
+    changed = c.table("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return jobs.run_to_table(jobs.live_requests(requests, changed, "user_id").select("event_id", "user_id"), out, state)
