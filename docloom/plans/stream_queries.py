@@ -25,7 +25,7 @@ def log_stream(c):
     kind = F.col("event_type")
     return jobs.table_stream(c.spark, c.folder, "events").select(
         F.col("event_id").alias("query_log_id"), "user_id", F.when(kind.isin("error", "signup"), "slow").otherwise("fast").alias("lane"), (kind == "signup").alias("clarified"),
-        (kind == "error").cast("int").alias("retry_count"), F.floor(F.col("value") * 10).cast("long").alias("total_time"), F.col("ts").alias("created_at"), prop_k(F.col("props")).alias("k"),
+        (kind == "error").cast("int").alias("retry_count"), F.floor(F.col("value") * 10).cast("long").alias("total_time"), F.col("ts").cast("timestamp").alias("created_at"), prop_k(F.col("props")).alias("k"),
     )
 
 

@@ -113,11 +113,12 @@ def activity_sessions(logs: DataFrame, by: str = "user_id", time: str = "created
 
 
 # ---------------------------------------------------------------- X5
-def complete_documents(pages: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
+def complete_documents(pages: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Documents whose every page has arrived: rows (doc_id, pages).
 
     Pages carry doc_id, page_idx, page_count. The state of a document is a bitmap of its
-    pages and goes when the document is complete or stays silent for the timeout.
+    pages. It goes when the document is complete or, in a continuous run, stays silent for
+    the timeout; a timeout keeps an available-now run from ending, so it is off by default.
     """
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -135,10 +136,12 @@ def complete_documents(pages: DataFrame, timeout_ms: int = 3_600_000) -> DataFra
             yield pd.DataFrame({"doc_id": [key[0]], "pages": [total]})
         else:
             state.update((seen.to_bytes((seen.bit_length() + 7) // 8, "little"), total))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
 
     return pages.select("doc_id", "page_idx", "page_count").groupBy("doc_id").applyInPandasWithState(
-        update, "doc_id long, pages long", "bits binary, total long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        update, "doc_id long, pages long", "bits binary, total long", "append",
+        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
