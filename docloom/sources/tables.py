@@ -6,17 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
+
+
 class Corpus:
     """Reads ``<folder>/<table>.parquet`` lazily; columns are pruned by Catalyst."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._splits: dict[str, int] = {}
         # Unions of differently partitioned branches keep their own partition counts.
         spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._spread(name, df) if name in SPREAD_KEYS else df
+
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows over all cores when the stored files give fewer splits than there are cores.
+
+        Large tables have more splits than cores and are read as they are, without a shuffle.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in self._splits:
+            self._splits[name] = df.rdd.getNumPartitions()
+        return df if self._splits[name] >= cores else df.repartition(cores, SPREAD_KEYS[name])
 
     # A document arrives as one row, so everything exploded from it is bounded by a row.
     def lines(self) -> DataFrame:
