@@ -19,15 +19,17 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def overlap_score(query: Column, text: Column) -> Column:
-    """Cheap pair score: share of the question's words found in the text, as a sigmoid."""
-    q, t = (F.array_distinct(F.array_remove(X.tokens(c), "")) for c in (query, text))
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.array_remove(X.tokens(text), ""))
+
+
+def overlap_score(q: Column, t: Column) -> Column:
+    """Cheap pair score on word arrays: share of the question's words found, as a sigmoid."""
     return sigmoid(6 * F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)) - 3)
 
 
-def overlap_and_density_score(query: Column, text: Column) -> Column:
-    """Costlier pair score: word overlap plus how much of the text is about the question."""
-    q, t = (F.array_distinct(F.array_remove(X.tokens(c), "")) for c in (query, text))
+def overlap_and_density_score(q: Column, t: Column) -> Column:
+    """Costlier pair score on word arrays: overlap plus how much of the text is about the question."""
     both = F.size(F.array_intersect(q, t))
     return sigmoid(4 * both / F.greatest(F.size(q), F.lit(1)) + 4 * both / F.greatest(F.size(F.array_union(q, t)), F.lit(1)) - 3)
 
@@ -44,9 +46,14 @@ def two_stage_rerank(
     threshold: float = 0.2,
     coarse: Scorer = overlap_score,
     fine: Scorer = overlap_and_density_score,
+    query: str = "query_words",
+    text: str = "content_words",
 ) -> DataFrame:
     """Score all, keep the best ``coarse_k``, rescore, keep ``k``.
 
+    Scorers take the two named columns: word arrays for the built-in ones, so a text is split
+    once however many questions it is a candidate of; a model takes the raw texts instead.
+
     Questions with no more than ``k`` candidates keep their recall order. Candidates at or
     above the threshold come first; the rest only fill up. The type boost is applied once,
     on the final score.
@@ -54,12 +61,12 @@ def two_stage_rerank(
     # Candidates come from top-k recall, so a question has few of them and one scan of the
     # hits serves the count, both stages and the short lists.
     many = F.col("_n") > k
-    query, text = F.col("query_text"), F.col("content")
+    q, t = F.col(query), F.col(text)
     rows = hits.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-    first = rows.withColumn("_coarse", F.when(many, F.round(coarse(query, text), 6)))
+    first = rows.withColumn("_coarse", F.when(many, F.round(coarse(q, t), 6)))
     best = top_k(first, ["query_id"], [F.desc("_coarse"), F.asc("chunk_id")], max(k, coarse_k), "_r")
     second = best.where(~many | (F.col("_r") <= coarse_k)).withColumn(
-        "_fine", F.when(many, F.round(fine(query, text), 6)).otherwise(F.col("score").cast("double"))
+        "_fine", F.when(many, F.round(fine(q, t), 6)).otherwise(F.col("score").cast("double"))
     )
     boosted = second.withColumn("_pass", ~many | (F.col("_fine") >= threshold)).withColumn(
         "final_score", F.round(type_boost(F.col("content_type"), F.col("_fine")), 6)

@@ -67,7 +67,11 @@ def bm25(queries: DataFrame, words: DataFrame, key: str, operator: str = "or", i
     wanted = query_terms(queries)
     index = postings(words, key, wanted) if index is None else index
     stats = corpus_statistics(words)
-    weights = wanted.join(index.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn(
+    # All index columns are used here, so both uses of the index share one shuffle.
+    frequency = index.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("_cf"), F.max("length").alias("_longest")
+    ).where((F.col("_cf") > 0) & (F.col("_longest") > 0))
+    weights = wanted.join(frequency, "term").withColumn(
         "weight", F.col("qtf") * idf(stats["n"], F.col("df"))
     )
     # The question side is the small one: broadcast when it fits, else AQE splits the

@@ -412,9 +412,12 @@ def reranked(c):
 def document_hits(c):
     """BM25 top 50 with document text; the language decides the content type."""
     hits = search.keyword_topk(c.queries(), document_words(c), "doc_id", 50).select("query_id", F.col("doc_id").alias("chunk_id"), "score")
-    docs = c.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang")
+    from docloom.operators.ranking import distinct_words
+
+    docs = c.table("documents").select(F.col("doc_id").alias("chunk_id"), distinct_words(F.col("text")).alias("content_words"), "lang")
+    asked = c.queries().select("query_id", distinct_words(F.col("query_text")).alias("query_words"))
     kind = F.when(F.col("lang") == "fr", "table").when(F.col("lang") == "de", "image_description").otherwise("text")
-    return hits.join(docs, "chunk_id").join(c.queries(), "query_id").withColumn("content_type", kind).drop("lang")
+    return hits.join(docs, "chunk_id").join(asked, "query_id").withColumn("content_type", kind).drop("lang")
 
 
 RERANK = S.BM25 + """,

@@ -45,7 +45,7 @@ def test_reciprocal_rank_fusion_numbers(spark):
 
 
 def test_fewer_candidates_than_k_keep_their_order(spark):
-    df = spark.createDataFrame([(1, 5, "q", "text a", "text", 0.7), (1, 6, "q", "text b", "text", 0.8)], "query_id long, chunk_id long, query_text string, content string, content_type string, score double")
+    df = spark.createDataFrame([(1, 5, ["q"], ["a"], "text", 0.7), (1, 6, ["q"], ["b"], "text", 0.8)], "query_id long, chunk_id long, query_words array<string>, content_words array<string>, content_type string, score double")
     assert [r["chunk_id"] for r in ranking.two_stage_rerank(df, 5).orderBy("rank").collect()] == [6, 5]
 
 
