@@ -106,14 +106,18 @@ def expand_children(
     scored = paired.select("query_id", "parent_id", "child_id", F.round(dot("query_vector", "vector"), 6).alias("similarity"))
     kept = top_k(scored.where(F.col("similarity") >= threshold), ["query_id", "parent_id"], [F.desc("similarity"), F.asc("child_id")], per_parent)
     totals = scored.groupBy("query_id", "parent_id").agg(F.count("*").alias("total_children"))
-    filtered = kept.groupBy("query_id", "parent_id").agg(F.count("*").alias("kept_children"), F.avg("similarity").alias("avg_score"))
+    # Similarities are whole millionths, so their mean is exact and cut to millionths again.
+    millionths = F.sum(F.round(F.col("similarity") * 1e6).cast("long"))
+    filtered = kept.groupBy("query_id", "parent_id").agg(
+        F.count("*").alias("kept_children"), (F.floor(millionths / F.count("*")) / 1e6).alias("avg_score")
+    )
     stats = (
         parents.select("query_id", F.col("chunk_id").alias("parent_id"))
         .join(totals, ["query_id", "parent_id"], "left")
         .join(filtered, ["query_id", "parent_id"], "left")
         .select(
             "query_id", "parent_id", F.coalesce("total_children", F.lit(0)).alias("total_children"),
-            F.coalesce("kept_children", F.lit(0)).alias("kept_children"), F.round(F.coalesce("avg_score", F.lit(0.0)), 4).alias("avg_score"),
+            F.coalesce("kept_children", F.lit(0)).alias("kept_children"), F.coalesce("avg_score", F.lit(0.0)).alias("avg_score"),
         )
     )
     return kept, stats

@@ -487,8 +487,8 @@ def child_expansion(c):
 @query("A25", with_(CHILDREN) + """
 , k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY similarity DESC, child_id) AS r FROM pc WHERE similarity >= 0.2) WHERE r <= 5),
 t AS (SELECT query_id, parent_id, count(*) AS total_children FROM pc GROUP BY 1, 2),
-f AS (SELECT query_id, parent_id, count(*) AS kept_children, avg(similarity) AS a FROM k GROUP BY 1, 2)
-SELECT query_id, parent_id, total_children, coalesce(kept_children, 0) AS kept_children, round(coalesce(a, 0), 4) AS avg_score FROM t LEFT JOIN f USING (query_id, parent_id)""")
+f AS (SELECT query_id, parent_id, count(*) AS kept_children, floor(sum(CAST(round(similarity * 1e6) AS BIGINT)) / count(*)) / 1e6 AS a FROM k GROUP BY 1, 2)
+SELECT query_id, parent_id, total_children, coalesce(kept_children, 0) AS kept_children, coalesce(a, 0) AS avg_score FROM t LEFT JOIN f USING (query_id, parent_id)""")
 def expansion_stats(c):
     """Children seen and kept per parent."""
     return expansion(c)[1]
