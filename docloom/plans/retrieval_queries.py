@@ -540,3 +540,15 @@ def step_results(c):
     third = first.withColumn("score", F.col("score") + 0.5)
     steps = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2))).unionByName(third.withColumn("step", F.lit(3)))
     return recall.combine_steps(steps)
+
+
+@query("T7 J8 U5 C26 F7 F8", None)
+def fast_lane(c):
+    """From four recall paths to the ranked context of every question, with one retry."""
+    from docloom.plans.lanes import fast_lane as run
+
+    kind = F.when(F.col("lang") == "fr", "table").when(F.col("lang") == "de", "image_description").otherwise("text")
+    texts = c.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), kind.alias("content_type"))
+    fused = recall.reciprocal_rank_fusion(recall.rank_lists(recall_lists(c)))
+    retry = search.keyword_topk(c.queries(), document_words(c), "doc_id", 50).withColumnRenamed("doc_id", "chunk_id")
+    return run(c.queries(), fused, retry, texts)

@@ -183,3 +183,14 @@ def test_parent_of_null_chapter(spark):
     parents = spark.createDataFrame([(1, None, 11, 0), (1, "2", 12, 1), (1, "2", 13, 2)], "doc_id long, chapter string, chunk_id long, position long")
     kids = spark.createDataFrame([(1, None, 21), (1, "2", 22), (1, "9", 23)], "doc_id long, chapter string, chunk_id long")
     assert [(r["chunk_id"], r["parent_id"]) for r in chunking.parent_of_child(parents, kids).orderBy("chunk_id").collect()] == [(21, 11), (22, 12), (23, None)]
+
+
+def test_fast_lane_retries_only_weak_questions(spark):
+    from docloom.plans.lanes import fast_lane
+
+    texts = spark.createDataFrame([(i, f"alpha beta gamma delta number {i} words here", "text") for i in range(1, 6)] + [(9, "nothing of the kind is written in here", "text")], "chunk_id long, content string, content_type string")
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "zeta eta")], "query_id long, query_text string")
+    hits = spark.createDataFrame([(1, i, 1.0 - i / 10) for i in range(1, 4)] + [(2, 9, 0.1)], "query_id long, chunk_id long, score double")
+    retry = spark.createDataFrame([(1, 5, 3.0), (2, 4, 2.0)], "query_id long, chunk_id long, score double")
+    got = sorted((r["query_id"], r["chunk_id"], r["rounds"]) for r in fast_lane(queries, hits, retry, texts).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 4, 2), (2, 9, 2)]
