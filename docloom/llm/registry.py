@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences
+from docloom.llm import bpe, exact_dedup, licences, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         licences.op1_license_scan,
         bpe.op3_bpe_encoding,
+        mixing.op4_source_mix,
         exact_dedup.op5_exact_dedup,
     ]
     return {f.__name__: f for f in found}
