@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing
+from docloom.llm import bpe, exact_dedup, licences, mixing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op3_bpe_encoding,
         mixing.op4_source_mix,
         exact_dedup.op5_exact_dedup,
+        simhash.op7_simhash_near_dedup,
     ]
     return {f.__name__: f for f in found}
 
