@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing, simhash
+from docloom.llm import bpe, exact_dedup, licences, mixing, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         mixing.op4_source_mix,
         exact_dedup.op5_exact_dedup,
         simhash.op7_simhash_near_dedup,
+        toxicity.op8_toxicity,
     ]
     return {f.__name__: f for f in found}
 
