@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing, simhash, toxicity
+from docloom.llm import bpe, exact_dedup, licences, mixing, repeats, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exact_dedup.op5_exact_dedup,
         simhash.op7_simhash_near_dedup,
         toxicity.op8_toxicity,
+        repeats.op9_repeated_bytes,
     ]
     return {f.__name__: f for f in found}
 
