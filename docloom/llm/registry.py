@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing, repeats, simhash, toxicity
+from docloom.llm import bpe, exact_dedup, licences, mixing, repeats, scoring, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         licences.op1_license_scan,
+        scoring.op2_lm_scoring,
         bpe.op3_bpe_encoding,
         mixing.op4_source_mix,
         exact_dedup.op5_exact_dedup,
