@@ -22,8 +22,8 @@ from docloom.llm.common import id_remainder, stage, table, utf8
 
 BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 1 << 20
-#: Orders of the predictors: the byte before, two, three and four bytes before, and none.
-ORDERS = 4
+#: Predictors look at this many bytes before, at all shorter contexts, and at none.
+ORDERS = 5
 #: Steps of the stretched probability in the refinement, and the weight of its starting value.
 BUCKETS = 33
 PRIOR = 20.0
@@ -80,11 +80,10 @@ def window_owner(windows: np.ndarray, owners: int) -> np.ndarray:
     return ((near * 0x9E3779B1) >> 15) % owners
 
 
-def _vocabulary(texts: list[bytes | None], learn: np.ndarray, owners: int) -> tuple[list[list[bytes]], list[np.ndarray], Counter, dict]:
+def _vocabulary(texts: list[bytes | None], learn: np.ndarray, owners: int) -> tuple[list[list[bytes]], list[np.ndarray], Counter, list[np.ndarray]]:
     """A block's distinct words and windows by owner, in an order that its texts alone decide, with training counts."""
     counts: Counter = Counter()
     seen: set[bytes] = set()
-    tally: dict[int, int] = {}
     distinct = []
     for first, words, lines in batches_of(texts):
         for i, w in enumerate(words):
@@ -106,8 +105,7 @@ def _vocabulary(texts: list[bytes | None], learn: np.ndarray, owners: int) -> tu
     by = np.argsort(owner, kind="stable")
     cut = np.searchsorted(owner[by], np.arange(owners + 1))
     by_window = [mine[by[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    tally = {"windows": [number[by[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]}
-    return by_word, by_window, counts, tally
+    return by_word, by_window, counts, [number[by[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _gather(owners: int):
@@ -122,17 +120,23 @@ def _gather(owners: int):
                 "block": pa.array([block] * owners, pa.int32()),
                 "owner": pa.array(range(owners), pa.int32()),
                 "words": pa.array([b"\n".join(w) for w in by_word], pa.binary()),
-                "word_counts": pa.array([np.array([counts[x] for x in w], dtype="<i8").tobytes() for w in by_word], pa.binary()),
-                "windows": pa.array([w.astype("<i8").tobytes() for w in by_window], pa.binary()),
-                "window_counts": pa.array([c.astype("<i8").tobytes() for c in tally["windows"]], pa.binary()),
+                "word_counts": pa.array([np.array([counts[x] for x in w], dtype="<i4").tobytes() for w in by_word], pa.binary()),
+                "windows": pa.array([np.diff(w, prepend=0).astype("<i8").tobytes() for w in by_window], pa.binary()),
+                "window_counts": pa.array([c.astype("<i4").tobytes() for c in tally], pa.binary()),
             }
         )
 
     return work
 
 
-def _numbers(column, kind: str = "<i8") -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
+def _numbers(column) -> list[np.ndarray]:
+    """Counts of each row."""
+    return [np.frombuffer(x, dtype="<i4") for x in column.to_pylist()]
+
+
+def _windows(column) -> list[np.ndarray]:
+    """Windows of each row, which are sent in rising order as differences."""
+    return [np.cumsum(np.frombuffer(x, dtype="<i8")) for x in column.to_pylist()]
 
 
 def _count_words(rows):
@@ -159,7 +163,7 @@ class Contexts:
     """An owner's windows with the bit counts of every order."""
 
     def __init__(self, rows, near: np.ndarray):
-        parts = _numbers(rows.column("windows"))
+        parts = _windows(rows.column("windows"))
         self.sizes = [len(p) for p in parts]
         everything = np.concatenate(parts)
         self.windows, self.code = np.unique(everything, return_inverse=True)
@@ -304,7 +308,7 @@ def _summed(rows: DataFrame, owner_work, size: int) -> np.ndarray:
 def _near_counts(part) -> np.ndarray:
     """Counts of each byte after each byte, 2**16 numbers."""
     out = np.zeros(1 << 16)
-    for windows, counts in zip(_numbers(part.column("windows")), _numbers(part.column("window_counts")), strict=True):
+    for windows, counts in zip(_windows(part.column("windows")), _numbers(part.column("window_counts")), strict=True):
         out += np.bincount(windows & 0xFFFF, counts, 1 << 16)
     return out
 
@@ -359,7 +363,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: int
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). The base is a word model
     with 0.1 added to each count; the score is the log10 probability of the text's bytes (A-Z in
     lower case, words joined by single spaces, then an end). Each byte is predicted bit by bit from
-    the counts of five contexts; their stretched predictions are mixed by weights that are chosen
+    the counts of the contexts of 0 to ``ORDERS`` bytes; their stretched predictions are mixed by weights that are chosen
     by the bit and the longest known context and learned online, then refined by what followed
     such predictions. Counts, weights and refinement come from all training texts.
 
