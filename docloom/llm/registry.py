@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing, repeats, scoring, simhash, toxicity
+from docloom.llm import bpe, exact_dedup, licences, mixing, neighbours, repeats, scoring, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         simhash.op7_simhash_near_dedup,
         toxicity.op8_toxicity,
         repeats.op9_repeated_bytes,
+        neighbours.op10_nearest_neighbours,
     ]
     return {f.__name__: f for f in found}
 
