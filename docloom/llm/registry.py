@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, licences, mixing, neighbours, repeats, scoring, simhash, toxicity
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, repeats, scoring, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bpe.op3_bpe_encoding,
         mixing.op4_source_mix,
         exact_dedup.op5_exact_dedup,
+        language.op6_language_id,
         simhash.op7_simhash_near_dedup,
         toxicity.op8_toxicity,
         repeats.op9_repeated_bytes,
