@@ -151,12 +151,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
 
     found = sorted(sample.groupBy("lang").applyInArrow(count, "lang string, texts long, grams binary, scripts binary").collect(), key=lambda r: r["lang"])  # one row per language
     languages = [r["lang"] for r in found]
-    grams = np.array([np.frombuffer(r["grams"], dtype=np.int64) for r in found], dtype=np.float64).reshape(len(found), 2, -1)
-    scripts = np.array([np.frombuffer(r["scripts"], dtype=np.int64) for r in found], dtype=np.float64).reshape(len(found), -1)
+    grams = np.array([np.frombuffer(r["grams"], dtype=np.int64) for r in found], dtype=np.float64).reshape(len(found), 2, 1 << SLOT_BITS)
+    scripts = np.array([np.frombuffer(r["scripts"], dtype=np.int64) for r in found], dtype=np.float64).reshape(len(found), len(SCRIPTS))
     logs = np.log((grams + SMOOTHING) / (grams.sum(axis=2, keepdims=True) + SMOOTHING * (1 << SLOT_BITS)))
     share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     common = max(range(len(found)), key=lambda i: found[i]["texts"], default=0)
-    return Model(languages, np.ascontiguousarray(logs.reshape(len(found), -1).T.astype(np.float32)), (share >= LEAST_SHARE).T.copy(), common)
+    return Model(languages, np.ascontiguousarray(logs.reshape(len(found), 2 << SLOT_BITS).T.astype(np.float32)), (share >= LEAST_SHARE).T.copy(), common)
 
 
 def _judge(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:

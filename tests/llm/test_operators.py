@@ -1,0 +1,342 @@
+"""Each operator on hard cases, held against a plain version, a round trip or held-out labels."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import sys
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import cases  # noqa: E402
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, registry, repeats, scoring, simhash, toxicity  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(cases.rows(), cases.COLUMNS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], cases.COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    return duckdb.sql(f"SELECT doc_id, text, lang FROM '{FOLDER}/documents.parquet' ORDER BY 1").fetchall()
+
+
+def test_registry():
+    names = list(registry.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(registry.oracle_sql()) <= set(names)
+
+
+def test_licences(docs, empty):
+    found, new = licences.scan(docs)
+    assert len(set(map(str.lower, found.columns))) == len(found.columns) and found.count() == len(cases.rows())
+    for r in found.collect():
+        words = ["".join(w) for w in __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", cases.low(r["text"]))]
+        places = sorted(
+            (i, label) for phrase, label in licences.BASE_PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()
+        )
+        assert r[new["n_words"]] == len(words) and 0 <= r[new["score"]] <= 1
+        assert sorted((h["word"], h["label"]) for h in r[new["hits"]] if h["base"]) == places
+    tagged = next(r for r in found.collect() if r["text"] and "SPDX" in r["text"])[new["expressions"]][0]
+    assert tagged["names"] == ["apache-2.0", "gpl-2.0-only", "mit"] and tagged["permissive"]
+    assert licences.scan(empty)[0].count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, names, permissive",
+    [
+        ("mit", ["mit"], True),
+        ("gpl-3.0", ["gpl-3.0"], False),
+        ("mit or gpl-3.0", ["gpl-3.0", "mit"], True),
+        ("mit and gpl-3.0", ["gpl-3.0", "mit"], False),
+        ("gpl-2.0 with classpath-exception-2.0", ["gpl-2.0"], True),
+        ("gpl-2.0 or mit and (gpl-3.0 or bsd-3-clause)", ["bsd-3-clause", "gpl-2.0", "gpl-3.0", "mit"], True),
+        ("mit */ and then", ["mit"], True),
+        ("(mit", [], None),
+        ("or mit", [], None),
+        ("", [], None),
+    ],
+)
+def test_licence_expressions(text, names, permissive):
+    postfix = licences.to_postfix(text.replace("*/ and then", "*/"))
+    assert licences.licence_names(postfix) == names and licences.evaluate(postfix) is permissive
+
+
+def test_scoring(docs, empty):
+    found = scoring.score(docs).collect()
+    assert len(found) == len(cases.rows())
+    tokens = {(i, t): [*cases.WORD.findall(cases.low(t)), None] for i, t, *_ in cases.rows()}
+    counts = Counter(w for i, t, *_ in cases.rows() if cases.remainder(i, 10) for w in tokens[i, t])
+    n, v = sum(counts.values()), len(counts)
+    plain = sorted(
+        (str(i), len(tokens[i, t]), sum(counts[w] > 0 for w in tokens[i, t]), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens[i, t]), 6))
+        for i, t, *_ in cases.rows()
+    )
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found) == plain
+    assert all(r.score < 0 and r.held_out == (cases.remainder(r.doc_id, 10) == 0) for r in found)
+    assert scoring.score(empty).count() == 0
+
+
+def test_scoring_sums_to_one():
+    """The probabilities of all bytes after one context add up to one."""
+    windows, _ = scoring.windows_of([b"the cat and the hat\n", b"the end\n"])
+    every = np.concatenate([np.unique(windows), (windows[4] >> 8 << 8) + np.arange(256)])
+    counts = np.concatenate([np.bincount(np.unique(windows, return_inverse=True)[1]), np.zeros(256, dtype=np.int64)])
+    rows = {"windows": [every], "window_counts": [counts]}
+
+    class Column(list):
+        def to_pylist(self):
+            return list(self)
+
+    class Rows:
+        def column(self, name):
+            a = np.asarray(rows[name][0])
+            return Column([np.diff(a, prepend=0).astype("<i8").tobytes() if name == "windows" else a.astype("<i4").tobytes()])
+
+    near = scoring._near_counts(Rows()).reshape(256, 256)
+    contexts = scoring.Contexts(Rows(), near)
+    weighted, mass = scoring.learn_weights(contexts)
+    weights = np.where(mass[:, None] > 0, weighted / np.maximum(mass, 1e-9)[:, None], scoring.start_weights())
+    cost = scoring.costs(contexts, weights, scoring.refinement(contexts, weights))
+    after = (contexts.windows >> 8) == (windows[4] >> 8)
+    assert after.sum() == 256 and abs((10 ** cost[after]).sum() - 1) < 1e-4
+
+
+def test_scoring_beats_the_words(spark):
+    """On the held-out texts of 1,000 documents; 200 are too few for contexts of five bytes."""
+    found = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert found.s > found.b
+
+
+def test_bpe(docs, empty):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.public_path()
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    encoded = bpe.encode(docs, path)
+    name = encoded.columns[-1]
+    assert name != "ids" and encoded.count() == len(cases.rows())
+    for r in bpe.decode(encoded, path, name).collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r[name] == ids and r["decoded"] == tokenizer.decode(ids, skip_special_tokens=False)
+    for r in bpe.digests(docs.select("text", "doc_id"), path).join(docs, "doc_id").collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert bpe.digests(empty, path).count() == 0
+
+
+def test_bpe_on_the_corpus_and_on_noise(corpus):
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer, vocab, rng = tokenizers.Tokenizer.from_file(bpe.public_path()), bpe.Vocabulary(bpe.public_path()), random.Random(1)
+    pool = [chr(c) for c in (*range(0x180), *range(0x370, 0x400), *range(0x2000, 0x2060), *range(0x3040, 0x3060))]
+    noise = ["".join(rng.choice(pool) for _ in range(200)) for _ in range(50)] + ["".join(rng.choice("abcdeth ") for _ in range(300)) for _ in range(50)]
+    for text in [t for _, t, _ in corpus] + noise:
+        assert vocab.encode(text) == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_mixing(docs, empty):
+    rows, new = mixing.sized(docs, "text", "doc_id", "source", ["doc_id", "source"], "t")
+    takes, plan = mixing.mix(rows.selectExpr(f"{new['row']} AS row", "source", f"{new['size']} AS size", f"{new['shuffle']} AS shuffle"))
+    found = rows.join(takes.withColumnRenamed("row", new["row"]), new["row"]).collect()
+    assert len(found) == len(cases.rows())
+    sources = sorted({r["source"] for r in found}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[new["size"]] for r in found if r["source"] == s) for s in sources]
+    assert sum(sizes) == sum(len(cases.WORD.findall(r[1] or "")) for r in cases.rows())
+    for s, size, target in zip(sources, sizes, cases.targets(sizes), strict=True):
+        mine = [r for r in found if r["source"] == s]
+        assert {r["source_size"] for r in mine} == {size} and all(abs(r["target"] - target) < 1e-6 for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - target) < 1 and all(r["taken"] <= 3 * r[new["size"]] for r in mine)
+    slots = plan.orderBy("position").collect()
+    assert [r["position"] for r in slots] == sorted({r["position"] for r in slots})
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+
+
+def test_schedule_spreads_every_source(spark):
+    """Any stretch of the schedule holds each source's share, but for a few slots."""
+    sources = spark.createDataFrame([(0, 0, 500), (1, 500, 300), (2, 800, 0), (3, 800, 200)], "src int, first_slot long, n_slots long")
+    slots = mixing.schedule(sources, 1000, 4, spark).orderBy("position").collect()
+    assert len(slots) == 1000
+    for src, share in ((0, 0.5), (1, 0.3), (3, 0.2)):
+        mine = [n for n, r in enumerate(slots) if r["src"] == src]
+        assert [r["slot_rank"] for r in slots if r["src"] == src] == list(range(len(mine)))
+        assert all(abs(k - share * n) < 12 for k, n in enumerate(mine))
+
+
+@pytest.mark.parametrize("bucket_bytes", [64, 1 << 20])
+def test_exact_dedup(docs, bucket_bytes):
+    rows, new = exact_dedup.dedup_rows(docs, bucket_bytes=bucket_bytes)
+    groups = cases.dedup([(r[0], r[1]) for r in cases.rows()])
+    found = rows.collect()
+    assert len(found) == len(cases.rows())
+    kept = Counter()
+    for r in found:
+        body = "".join(c for c in r["text"] or "" if c not in " \t\n\x0b\x0c\r")
+        assert (r[new["keep_id"]], r[new["group_size"]]) == groups[body] and r[new["sha"]] == hashlib.sha256(body.encode()).hexdigest()
+        kept[body] += r[new["kept"]]
+    assert set(kept.values()) == {1}
+
+
+def test_exact_dedup_keeps_columns(docs, empty):
+    assert exact_dedup.keep_one(docs).columns == docs.columns and exact_dedup.keep_one(empty).count() == 0
+
+
+def test_directory_splits_only_overfull_buckets():
+    slots, depth, count = exact_dedup.build_directory(np.array([9.0, 1, 1, 1, 0, 0, 0, 0]), 4)
+    assert depth == 3 and count == len(set(slots.tolist())) == 4
+    assert len(set(slots[4:].tolist())) == 1 and len(set(slots[:2].tolist())) == 2
+
+
+def test_language(docs, empty, spark):
+    corpus = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(corpus.where("doc_id % 4 != 2"))
+    rows, new = language.label(corpus.where("doc_id % 4 = 2"), model)
+    right = rows.selectExpr(f"avg(int({new['language']} = lang)) r", f"min({new['score']}) a", f"max({new['score']}) b").first()
+    assert right.r > 0.9 and right.a >= 0 and right.b <= 1
+    odd, new = language.label(docs, model)
+    for r in odd.collect():
+        assert (r[new["language"]] == "und") == (not any(map(str.isalpha, r["text"] or "")))
+    assert language.label(empty, language.fit(empty))[0].count() == 0
+    assert {r[1] for r in language.label(docs.select("doc_id", "text"), language.fit(empty))[0].select("doc_id", "language").collect()} == {"und"}
+
+
+def test_language_spans_of_a_mixed_text(spark, corpus):
+    model = language.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    plain = [next(t for _, t, lang in corpus if lang == want and t.isprintable() is False and len(t) > 400)[:400] for want in ("de", "en")]
+    ((_, _, spans),) = list(language._judge(model, [" ".join(plain)]))
+    assert spans[0][0] == "de" and spans[-1][0] == "en"
+
+
+def test_viterbi_against_every_labelling():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 1, 5, 3])
+    scores = rng.normal(size=(counts.sum(), 3)) * 4
+    begins = np.cumsum(counts) - counts
+    got = language.viterbi(scores, begins, counts, 3.0)
+    for b, n in zip(begins, counts, strict=True):
+        value = lambda path: sum(scores[b + i, s] for i, s in enumerate(path)) - 3.0 * sum(x != y for x, y in zip(path, path[1:]))  # noqa: B023, E731
+        paths = [[]]
+        for _ in range(n):
+            paths = [[*p, s] for p in paths for s in range(3)]
+        assert abs(value(got[b : b + n].tolist()) - max(map(value, paths))) < 1e-9
+
+
+def test_simhash(docs, empty):
+    rows, new = simhash.near_groups(docs)
+    found = rows.collect()
+    assert len(found) == len(cases.rows())
+    prints = []
+    for r in found:
+        words = cases.WORD.findall(cases.low(r["text"]))
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    assert [r[new["print"]] & (2**64 - 1) for r in found] == prints
+    roots = cases.components(prints, 4)
+    for root, r in zip(roots, found, strict=True):
+        ids = [x["doc_id"] for x, other in zip(found, roots, strict=True) if other == root and x["doc_id"] is not None]
+        assert r[new["component_id"]] == min(ids)
+    assert simhash.keep_one(docs).count() == len(set(roots)) and simhash.keep_one(empty).count() == 0
+
+
+def test_links_over_many_shards(spark):
+    rng = random.Random(4)
+    prints = {rng.getrandbits(64) for _ in range(300)}
+    for p in list(prints)[:120]:
+        for _ in range(3):
+            for _ in range(rng.randint(1, 5)):
+                p ^= 1 << rng.randrange(64)
+            prints.add(p)
+    prints = sorted(prints)
+    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "print long")
+    edges = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.links(table, shard_rows=64).collect()]
+    assert all((a ^ b).bit_count() <= 64 for a, b in edges)
+    number = {p: i for i, p in enumerate(prints)}
+    root = list(range(len(prints)))
+    for a, b in edges:
+        x, y = root[number[a]], root[number[b]]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert root == cases.components(prints, 4)
+
+
+def test_toxicity(docs, empty, spark):
+    words, rng = [f"w{i}" for i in range(200)], random.Random(3)
+    table = []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(40)]
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        text += ["folk"] * group + ["rude"] * insult
+        table.append((i, " ".join(text), int(group and insult)))
+    made = spark.createDataFrame(table, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(made.select("doc_id", "text"), made.where("doc_id % 5 != 0").select("doc_id", "toxic"))
+    rows, name = toxicity.scored(made, machine)
+    held = rows.where("doc_id % 5 = 0").collect()
+    assert sum((r[name] >= 0.5) == bool(r["toxic"]) for r in held) >= 0.95 * len(held)  # the pair, not either word
+    odd, name = toxicity.scored(docs, machine)
+    assert name != "score" and odd.count() == len(cases.rows()) and all(0 <= r[0] <= 1 for r in odd.select(name).collect())
+    nothing = toxicity.fit(empty, made.select("doc_id", "toxic").limit(0))
+    assert toxicity.scored(empty, nothing)[0].count() == 0 and toxicity.keep_clean(docs, made.select("doc_id", "toxic").limit(0)).count() == len(cases.rows())
+
+
+@pytest.mark.parametrize("length, gram", [(20, 8), (64, 24)])
+def test_repeats(docs, empty, length, gram):
+    found = repeats.repeats(docs, length=length, gram=gram).collect()
+    plain = cases.repeated([(r[1] or "").encode() for r in cases.rows()], length)
+    want = sorted((str(r[0]), len((r[1] or "").encode()), [tuple(x) for x in s]) for r, s in zip(cases.rows(), plain, strict=True))
+    assert sorted((str(r.doc_id), r.n_bytes, [tuple(s) for s in r.spans]) for r in found) == want
+    assert repeats.repeats(empty).count() == 0
+
+
+def test_repeats_on_the_corpus(spark, corpus):
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.repeats(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
+    plain = cases.repeated([(t or "").encode() for _, t, _ in corpus], repeats.LENGTH)
+    assert [found[i] for i, _, _ in corpus] == plain
+
+
+def test_repeated_starts_against_counting():
+    rng = random.Random(5)
+    for _ in range(30):
+        parts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(1, 7))]
+        times, length = np.array([rng.choice([1, 1, 2]) for _ in parts]), rng.randint(2, 8)
+        seen = Counter()
+        for p, t in zip(parts, times.tolist(), strict=True):
+            seen.update({p[i : i + length]: 0 for i in range(len(p) - length + 1)})
+            for i in range(len(p) - length + 1):
+                seen[p[i : i + length]] += t
+        got = repeats.repeated_starts(parts, times, length)
+        assert [g.tolist() for g in got] == [[i for i in range(len(p) - length + 1) if seen[p[i : i + length]] > 1] for p in parts]
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    vectors = [[float(x) for x in rng.normal(size=8)] for _ in range(400)]
+    table = [(i, v) for i, v in enumerate(vectors)] + [(400 + i, vectors[0]) for i in range(60)]
+    table += [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] + [1.0] * 7), (1060, [None] + [1.0] * 7), (1080, [1.0]), (None, vectors[1]), (0, vectors[0]), (1100, [])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in table], "vec_id long, embedding array<double>, score int")
+    found = neighbours.nearest_rows(frame).collect()
+    good = {i: np.array(v) for i, v in table[:460]}
+    hit = 0
+    for q in [i for i in good if i % 20 == 0]:
+        mine = sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])
+        true = sorted(((-float((good[i] * good[q]).sum()), i) for i in good if i != q))[:20]
+        assert [r["rank"] for r in mine] == list(range(1, 21)) and all(r.score == float((good[r.vec_id] * good[q]).sum()) for r in mine)
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)
+        hit += len({i for _, i in true} & {r.vec_id for r in mine})
+    assert hit >= 0.9 * 20 * sum(i % 20 == 0 for i in good) and {r.query_id for r in found} == {i for i in good if i % 20 == 0}
+    few = spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
+    assert neighbours.nearest_rows(few).count() == 12 and neighbours.nearest_rows(frame.limit(0)).count() == 0
