@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from docloom.functions.text import tokens
 from docloom.operators.skew import best_row, top_k
 
 K1, B = 1.2, 0.75
+#: The most rows of question weights that are shipped to the tasks.
+MOST_WEIGHTS = 500_000
 
 
 def tokenize(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,13 +41,6 @@ def term_statistics(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_statistics(words: DataFrame) -> Column:
-    """Struct scalar of document count and mean length."""
-    return words.agg(
-        F.struct(F.count("*").alias("n"), F.avg("length").alias("mean_length")).alias("s")
-    ).scalar()
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
@@ -58,36 +56,110 @@ def query_terms(queries: DataFrame, text: str = "query_text") -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.first("n_terms").alias("n_terms"))
 
 
-def bm25(queries: DataFrame, words: DataFrame, key: str, operator: str = "or", index: DataFrame | None = None) -> DataFrame:
-    """BM25 rows (query_id, key, score, matched) for every document sharing a term.
+def term_weights(wanted: DataFrame, words: DataFrame, n: int) -> DataFrame:
+    """Rows (query_id, term, n_terms, weight): idf times frequency of each word of each question."""
+    terms = wanted.select("term").distinct()
+    held = words.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi")
+    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
+    return wanted.join(frequency, "term").select("query_id", "term", "n_terms", (F.col("qtf") * idf(F.lit(n), F.col("df"))).alias("weight"))
+
 
-    With ``operator='and'`` all distinct question terms must occur. A stored index can be
-    passed; otherwise only the postings of question terms are built.
+def bm25(queries: DataFrame, words: DataFrame, key: str, operator: str = "or", k: int | None = None) -> DataFrame:
+    """BM25 rows (query_id, key, score, matched) for every document sharing a term, or the best ``k`` per question.
+
+    With ``operator='and'`` all distinct question terms must occur. All words of a document lie
+    in its row, so a first pass counts documents per question term and a second scores each row
+    where it is; with ``k`` a task hands on at most k rows per question. The questions' weights are
+    shipped when they are checked to be few; more of them are joined term by term.
     """
-    wanted = query_terms(queries)
-    index = postings(words, key, wanted) if index is None else index
-    stats = corpus_statistics(words)
-    # All index columns are used here, so both uses of the index share one shuffle.
-    frequency = index.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("_cf"), F.max("length").alias("_longest")
-    ).where((F.col("_cf") > 0) & (F.col("_longest") > 0))
-    weights = wanted.join(frequency, "term").withColumn(
-        "weight", F.col("qtf") * idf(stats["n"], F.col("df"))
-    )
-    # The question side is the small one: broadcast when it fits, else AQE splits the
-    # postings of a frequent term over several tasks.
-    hits = index.join(weights.select("query_id", "term", "weight", "n_terms"), "term")
-    part = F.col("weight") * saturation(F.col("tf"), F.col("length"), stats["mean_length"])
-    scored = hits.groupBy("query_id", key).agg(
-        F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms")
-    )
+    stats = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    weights = term_weights(query_terms(queries), words, stats["n"])
+    whole_keys = all(dict(df.dtypes)[c] in ("bigint", "int") for df, c in ((words, key), (queries, "query_id")))
+    shipped = weights.limit(MOST_WEIGHTS + 1).collect() if whole_keys else []
+    if len(shipped) > MOST_WEIGHTS or not whole_keys:
+        scored = _bm25_by_join(weights, words, key, operator, stats["mean"])
+    else:
+        scorer = RowScorer([(r["query_id"], r["term"], r["n_terms"], r["weight"]) for r in shipped], stats["mean"] or 0.0, operator, k)
+        scored = words.select(key, "words").mapInArrow(scorer, f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {dict(words.dtypes)[key]}, score double, matched long")
+    return scored if k is None else top_k(scored, ["query_id"], [F.desc("score"), F.asc(key)], k)
+
+
+def _bm25_by_join(weights: DataFrame, words: DataFrame, key: str, operator: str, mean: float) -> DataFrame:
+    """The same rows for more questions than can be shipped: one posting per word and document meets the weights."""
+    hits = postings(words, key, weights).join(weights, "term")
+    part = F.col("weight") * saturation(F.col("tf"), F.col("length"), F.lit(mean))
+    scored = hits.groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
     if operator == "and":
         scored = scored.where(F.col("matched") == F.col("n_terms"))
     return scored.select("query_id", key, F.round("score", 6).alias("score"), "matched")
 
 
+class RowScorer:
+    """Scores documents row by row against shipped question weights; a task keeps its best rows per question."""
+
+    def __init__(self, weights: list[tuple], mean: float, operator: str, k: int | None):
+        self.mean, self.operator, self.k = mean, operator, k
+        self.ids = np.array(sorted({w[0] for w in weights}), dtype=np.int64)
+        number = {q: i for i, q in enumerate(self.ids.tolist())}
+        self.n_terms = np.zeros(len(self.ids), dtype=np.int64)
+        by_term: dict[str, list[tuple[int, float]]] = {}
+        for query, term, n_terms, weight in weights:
+            by_term.setdefault(term, []).append((number[query], weight))
+            self.n_terms[number[query]] = n_terms
+        self.terms = {t: (np.array([q for q, _ in x]), np.array([w for _, w in x])) for t, x in by_term.items()}
+
+    def row(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Score and number of matched terms of each question for one document."""
+        length, tf = len(words), Counter(w for w in words if w in self.terms)
+        if not tf:
+            none = np.zeros(len(self.ids))
+            return none, none
+        norm = K1 * (1 - B + B * length / self.mean)
+        found = [self.terms[t] for t in tf]
+        places = np.concatenate([q for q, _ in found])
+        parts = np.concatenate([w * (n * (K1 + 1) / (n + norm)) for (_, w), n in zip(found, tf.values(), strict=True)])
+        return np.bincount(places, parts, len(self.ids)), np.bincount(places, minlength=len(self.ids))
+
+    def best(self, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """The k best of (question, key, score, matched) rows per question, ties to the smaller key."""
+        query, key, score, _ = rows
+        by = np.lexsort((key, -score, query))
+        first = np.searchsorted(query[by], query[by])
+        by = by[np.arange(len(by)) - first < self.k]
+        return tuple(x[by] for x in rows)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = None, None
+        for batch in batches:
+            names = ["query_id", batch.schema.names[0], "score", "matched"]
+            keys, out = batch.column(0).to_numpy(zero_copy_only=False), []
+            for key, words in zip(keys.tolist(), batch.column(1).to_pylist(), strict=True):
+                score, matched = self.row(words or [])
+                at = np.nonzero(matched == self.n_terms if self.operator == "and" else matched)[0]
+                if len(at):
+                    out.append((at, np.full(len(at), key, dtype=np.int64), np.round(score[at], 6), matched[at].astype(np.int64)))
+            if not out:
+                continue
+            rows = tuple(map(np.concatenate, zip(*out, strict=True)))
+            if self.k is None:
+                yield self._batch(rows, names)
+            else:
+                held = self.best(rows if held is None else tuple(np.concatenate(x) for x in zip(held, rows, strict=True)))
+        if held is not None:
+            yield self._batch(held, names)
+
+    def _batch(self, rows: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[rows[0]]), *(pa.array(x) for x in rows[1:])], names=names)
+
+
 def keyword_topk(queries: DataFrame, words: DataFrame, key: str, k: int = 20, operator: str = "or") -> DataFrame:
-    return top_k(bm25(queries, words, key, operator), ["query_id"], [F.desc("score"), F.asc(key)], k)
+    return bm25(queries, words, key, operator, k)
+
+
+def holding_any(queries: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Keys of the documents that share a word with any question."""
+    terms = query_terms(queries).select("term").distinct()
+    return words.select(key, F.explode(F.array_distinct("words")).alias("term")).join(terms, "term", "left_semi").select(key).distinct()
 
 
 def exact_field(queries: DataFrame, df: DataFrame, key: str, field: str, text: str = "query_text") -> DataFrame:

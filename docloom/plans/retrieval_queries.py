@@ -73,7 +73,7 @@ SELECT source, count(*) AS doc_count FROM documents WHERE doc_id IN (SELECT doc_
 ORDER BY doc_count DESC, source LIMIT 10""")
 def source_buckets(c):
     """Sources with most documents among the hits of the questions."""
-    hits = search.bm25(c.queries(), document_words(c), "doc_id")
+    hits = search.holding_any(c.queries(), document_words(c), "doc_id")
     return search.count_by_value(c.table("documents").select("doc_id", "source"), "source", 10, hits, "doc_id")
 
 
@@ -112,7 +112,7 @@ def maxsim_topk(c):
 
 
 SPARSE = """sp AS (SELECT vec_id, i AS index, x AS value FROM (
-  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, unnest(embedding) AS x FROM embeddings) WHERE x > 0.15)"""
+  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, unnest(embedding) AS x FROM embeddings) WHERE x > 0)"""
 
 
 @query("J15 P2", with_(SPARSE) + """,
@@ -128,7 +128,7 @@ def sparse_dot(c):
 
 def sparse_rows(c):
     return (
-        c.table("embeddings").select("vec_id", F.posexplode("embedding").alias("index", "value")).where(F.col("value") > F.lit(0.15).cast("double"))
+        c.table("embeddings").select("vec_id", F.posexplode("embedding").alias("index", "value")).where(F.col("value") > 0)
     )
 
 

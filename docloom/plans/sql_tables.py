@@ -46,7 +46,7 @@ CELLS = """cells AS (
     min(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)"""
 
 QUERIES = r"""queries AS (
-  SELECT item_id AS query_id, lower(array_to_string(list_slice(string_split_regex(trim(text, ' '), '[ \t\n\r]+'), 1, 8), ' ')) AS query_text
+  SELECT item_id AS query_id, lower(array_to_string(string_split_regex(trim(text, ' '), '[ \t\n\r]+'), ' ')) AS query_text
   FROM benchmark)"""
 
 QUERY_LOGS = """query_logs AS (
