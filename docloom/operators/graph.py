@@ -51,13 +51,16 @@ def latest_versions(documents: DataFrame, base: str, order: list[str], valid: Co
     return documents.where(valid).groupBy(base).agg(F.max_by("doc_id", F.struct(*order)).alias("latest_id"))
 
 
-def resolve_chain(links: DataFrame, rounds: int = 20, checkpoint: bool = True) -> DataFrame:
+def resolve_chain(links: DataFrame, rounds: int = 40, checkpoint: bool = True) -> DataFrame:
     """End of every replaced-by chain: rows (doc_id, final_id, steps).
 
-    Pointers are doubled each round, so a chain of n links takes log2(n) joins; ``rounds``
-    covers chains of a million links and stops early when nothing moves.
+    Pointers are doubled each round, so a chain of n links takes log2(n) joins. A pointer that
+    comes back to a document it has passed runs in a circle: such documents have no end and get a
+    null final_id and null steps. Chains that still move after ``rounds`` rounds are an error.
     """
-    state = links.select("doc_id", F.coalesce("replaced_by", "doc_id").alias("final_id"), F.col("replaced_by").isNotNull().cast("long").alias("steps"))
+    start = links.select("doc_id", F.coalesce("replaced_by", "doc_id").alias("final_id"), F.col("replaced_by").isNotNull().cast("long").alias("steps"))
+    state = start
+    total = None
     for _ in range(rounds):
         ahead = state.select(F.col("doc_id").alias("_id"), F.col("final_id").alias("_to"), F.col("steps").alias("_more")).where("_more > 0")
         moved = state.join(ahead, F.col("final_id") == F.col("_id"), "left").select(
@@ -67,8 +70,13 @@ def resolve_chain(links: DataFrame, rounds: int = 20, checkpoint: bool = True) -
         moved = cut_lineage(moved) if checkpoint else moved
         state = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
-            break
-    return state
+            return state
+        # No chain without a circle has more links than there are documents.
+        total = links.count() if total is None else total
+        if moved.where(F.col("_moved") & (F.col("steps") <= total)).isEmpty():
+            lost = F.col("_moved")
+            return moved.select("doc_id", F.when(~lost, F.col("final_id")).alias("final_id"), F.when(~lost, F.col("steps")).alias("steps"))
+    raise RuntimeError(f"chains still moving after {rounds} rounds")
 
 
 # ---------------------------------------------------------------- store consistency

@@ -19,7 +19,8 @@ def find_tables(cells: DataFrame, tolerances: tuple[int, ...] = (0, 1, 2)) -> Da
     min_row, max_row, min_col, max_col, cells); table_id names the first cell.
     """
     base = cells.select("sheet_id", "row", "col", F.explode(F.array(*[F.lit(t) for t in tolerances])).alias("tolerance"))
-    base = base.withColumn("node", F.col("row") * NODE_WIDTH + F.col("col"))
+    too_wide = F.raise_error(F.concat(F.lit("column number beyond 2**20: "), F.col("col").cast("string"))).cast("long")
+    base = base.withColumn("node", F.when(F.col("col") < NODE_WIDTH, F.col("row") * NODE_WIDTH + F.col("col")).otherwise(too_wide))
     reach = F.explode(F.sequence(F.lit(1), F.col("tolerance") + 1))
     down = base.withColumn("_d", reach).select("sheet_id", "tolerance", F.col("node").alias("a"), (F.col("node") + F.col("_d") * NODE_WIDTH).alias("b"))
     right = base.withColumn("_d", reach).select("sheet_id", "tolerance", F.col("node").alias("a"), (F.col("node") + F.col("_d")).alias("b"))

@@ -38,7 +38,7 @@ def stamp(column):
 def stream_kpi(c):
     """Hourly KPIs of the query log as a stream."""
     out, state = fresh_folders(c, "kpi")
-    done = jobs.run_batches_complete(jobs.kpi_windows(log_stream(c)), out, state)
+    done = jobs.run_batches_latest(jobs.kpi_windows(log_stream(c)), out, state, ["window_start", "window_end"])
     return done.select(stamp("window_start"), stamp("window_end"), "queries", "slow", "retries", "clarified", "slowest", "clarification_alert")
 
 
@@ -51,20 +51,24 @@ def stream_dedup(c):
     return c.spark.read.parquet(out).select("upload", F.lit(True).alias("stored"))
 
 
-@query("X3", """SELECT k, count(*) > 0 AS cached FROM (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
+@query("X3", """WITH RECURSIVE r AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS t FROM events),
+n AS (SELECT k, t, min(t) OVER (PARTITION BY k ORDER BY t RANGE BETWEEN INTERVAL 6 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM r),
+o AS (SELECT k, min(t) AS t FROM r GROUP BY k UNION ALL SELECT n.k, n.nt FROM o JOIN n ON o.k = n.k AND o.t = n.t WHERE n.nt IS NOT NULL)
+SELECT k, strftime(t, '%Y-%m-%d %H:%M:%S') AS opened_at FROM o""")
 def stream_ttl(c):
-    """Requests that open a cache entry while an equal one is not yet expired."""
+    """Requests that open a cache entry: none of the same key is younger than six hours."""
     out, state = fresh_folders(c, "ttl")
-    opened = jobs.fresh_answers(log_stream(c).select("k", "created_at"), "k", "created_at", "60 days")
-    return jobs.run_to_table(opened, out, state).select("k", F.lit(True).alias("cached"))
+    opened = jobs.fresh_answers(log_stream(c), "k", "created_at", "6 hours")
+    return jobs.run_to_table(opened, out, state).select("k", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("opened_at"))
 
 
 @query("X4", with_(S.QUERY_LOGS) + """, g AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM query_logs WINDOW w AS (PARTITION BY user_id ORDER BY created_at)), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS queries, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, s""")
+SELECT user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS queries, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, s
+HAVING max(created_at) + INTERVAL 6 HOUR <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM query_logs)""")
 def stream_sessions(c):
-    """Sessions of every user as a stream."""
+    """Sessions of every user as a stream, given out once the watermark has closed them."""
     out, state = fresh_folders(c, "sessions")
-    done = jobs.run_batches_complete(jobs.activity_sessions(log_stream(c), gap="6 hours"), out, state)
+    done = jobs.run_to_table(jobs.activity_sessions(log_stream(c), gap="6 hours"), out, state)
     return done.select("user_id", stamp("session_start"), stamp("session_end"), "queries", stamp("last_at"))
 
 

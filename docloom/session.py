@@ -5,24 +5,36 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch folder of each local application that has no shared folder set.
+_SCRATCH: dict[str, str] = {}
+
 
 def build_session(app_name: str = "docloom", cores: int | None = None) -> SparkSession:
-    """Session for local runs; on a cluster the submitter's settings win."""
-    cores = cores or os.cpu_count() or 8
+    """Session for tests, benches and local runs.
+
+    Where a submitter has named a master, its settings stand; without one, the run is local
+    on ``cores`` threads with as many shuffle partitions.
+    """
+    builder = SparkSession.builder.appName(app_name)
+    if SparkConf().get("spark.master", None) is None:
+        cores = cores or os.cpu_count() or 8
+        builder = (
+            builder.master(f"local[{cores}]")
+            .config("spark.sql.shuffle.partitions", str(cores))
+            .config("spark.driver.memory", os.environ.get("DOCLOOM_DRIVER_MEMORY", "12g"))
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        )
     return (
-        SparkSession.builder.appName(app_name)
-        .master(f"local[{cores}]")
-        .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("DOCLOOM_DRIVER_MEMORY", "12g"))
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -37,9 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     if spark.sparkContext.master.startswith("local"):
-        fresh = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", fresh)
-        return fresh
+        app = spark.sparkContext.applicationId
+        if app not in _SCRATCH:
+            _SCRATCH[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        return _SCRATCH[app]
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 

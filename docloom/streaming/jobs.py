@@ -6,9 +6,10 @@ change, not by the history of the stream.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,10 +18,23 @@ WATERMARK = "10 minutes"
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Stream of a Parquet table's files; the schema is taken from the stored files."""
+    """Stream of a Parquet table's files; the schema is taken from the stored files.
+
+    A table is a folder of part files, or one file; a stream reads a folder, so a single file is
+    named by a pattern that only it matches.
+    """
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if _is_folder(spark, path):
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the files of a table lie below its path."""
+    listed = spark.read.parquet(path).select(F.col("_metadata.file_path")).limit(1).collect()
+    return bool(listed) and not listed[0][0].rstrip("/").endswith(path.rstrip("/").rsplit("/", 1)[-1])
 
 
 def run_to_table(stream: DataFrame, output: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -37,24 +51,18 @@ def run_batches(stream: DataFrame, function, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(function).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_batches_complete(stream: DataFrame, output: str, checkpoint: str) -> DataFrame:
-    """Run an aggregation in update mode over what is there now; the last state of each group.
+def run_batches_latest(stream: DataFrame, output: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregation in update mode over what is there now; the last state of each group of ``keys``.
 
     Every batch writes the groups it changed under its own number, and the latest batch
     wins, so windows still open at the end are part of the result.
     """
-    keys = [c for c in stream.columns if c in ("window_start", "window_end", "session_start", "user_id")]
-
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
-    mode = "complete" if "session_start" in stream.columns else "update"
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     stored = stream.sparkSession.read.parquet(output)
     latest = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_v")
-    if mode == "complete":
-        last = stored.agg(F.max("batch").alias("b")).scalar()
-        return stored.where(F.col("batch") == last).select(stream.columns)
     return stored.groupBy(*keys).agg(latest).select(*keys, "_v.*").select(stream.columns)
 
 
@@ -75,8 +83,8 @@ def ingest_new(known: str, key: str = "file_hash"):
         try:
             stored = spark.read.parquet(known).where(F.col("batch") != batch_id).select(key)
             fresh = fresh.join(stored, key, "left_anti")
-        except Exception as error:  # the folder does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        except AnalysisException as error:  # the folder does not exist before the first batch
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         fresh.write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
 
@@ -99,14 +107,43 @@ def kpi_windows(logs: DataFrame, width: str = "1 hour", slide: str | None = None
 
 
 # ---------------------------------------------------------------- X3
-def fresh_answers(requests: DataFrame, key: str, time: str, ttl: str = "6 hours") -> DataFrame:
-    """Requests that start a cache entry: no equal key within the time to live before them."""
-    return requests.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+def fresh_answers(requests: DataFrame, key: str, time: str, ttl: str = "6 hours", watermark: str = WATERMARK) -> DataFrame:
+    """Requests that open a cache entry: rows (key, time).
+
+    An entry lives for ``ttl`` from its opening, by event time; the first request at or after its
+    end opens the next one. The state of a key is its last opening, and it goes when the watermark
+    has passed the entry's end.
+    """
+    lives = pd.Timedelta(ttl)
+    timed = requests.select(key, time).withWatermark(time, watermark)
+
+    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = pd.concat([b[time] for b in batches]).sort_values()
+        opened = [pd.Timestamp(state.get[0])] if state.exists else []
+        known, at = len(opened), 0
+        while at < len(times):
+            at = int(times.searchsorted(opened[-1] + lives)) if opened else 0
+            if at < len(times):
+                opened.append(times.iloc[at])
+        state.update((opened[-1].to_pydatetime(),))
+        state.setTimeoutTimestamp(max(int((opened[-1] + lives).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [keys[0]] * (len(opened) - known), time: opened[known:]})
+
+    types = dict(timed.dtypes)
+    return timed.groupBy(key).applyInPandasWithState(
+        update, f"`{key}` {types[key]}, `{time}` timestamp", "opened timestamp", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 # ---------------------------------------------------------------- X4
 def activity_sessions(logs: DataFrame, by: str = "user_id", time: str = "created_at", gap: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
-    """Sessions of activity: start, end and number of queries."""
+    """Sessions of activity: start, end and number of queries.
+
+    In a stream a session is given out when the watermark has passed its end, and its state goes.
+    """
     timed = logs.withWatermark(time, watermark) if logs.isStreaming else logs
     out = timed.groupBy(by, F.session_window(time, gap).alias("s")).agg(F.count("*").alias("queries"), F.max(time).alias("last_at"))
     return out.select(by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "queries", "last_at")

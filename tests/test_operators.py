@@ -194,3 +194,36 @@ def test_fast_lane_retries_only_weak_questions(spark):
     retry = spark.createDataFrame([(1, 5, 3.0), (2, 4, 2.0)], "query_id long, chunk_id long, score double")
     got = sorted((r["query_id"], r["chunk_id"], r["rounds"]) for r in fast_lane(queries, hits, retry, texts).collect())
     assert got == [(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 4, 2), (2, 9, 2)]
+
+
+def test_chains_with_a_circle_have_no_end(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 5), (5, 6), (6, None)], "doc_id long, replaced_by long")
+    found = {r["doc_id"]: (r["final_id"], r["steps"]) for r in graph.resolve_chain(links).collect()}
+    assert found == {1: (None, None), 2: (None, None), 3: (None, None), 4: (6, 2), 5: (6, 1), 6: (6, 0)}
+
+
+def test_row_scorer_agrees_with_the_join(spark):
+    from docloom.operators import search
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b b d"), (3, ""), (4, "e"), (5, "a d d d")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "a b"), (8, "d d a"), (9, "zz")], "query_id long, query_text string")
+    words = search.tokenize(docs, "doc_id", "text")
+    for operator in ("or", "and"):
+        rows = sorted(map(tuple, search.bm25(asked, words, "doc_id", operator).collect()))
+        stats = words.agg({"length": "avg"}).first()[0]
+        joined = search._bm25_by_join(search.term_weights(search.query_terms(asked), words, 5), words, "doc_id", operator, stats)
+        assert rows == sorted(map(tuple, joined.collect()))
+    best = search.bm25(asked, words, "doc_id", k=1).collect()
+    assert {(r["query_id"], r["doc_id"]) for r in best} == {(7, 1), (8, 5)}
+
+
+def test_entries_live_for_their_time(spark, tmp_path):
+    from docloom.streaming import jobs
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 05:59:59"), ("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:00:00"), ("b", "2024-01-01 01:00:00"), ("a", "2024-01-01 16:00:00")]
+    made = spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t AS timestamp) AS t")
+    for hour, part in ((0, "t < '2024-01-01 06:00:00'"), (1, "t >= '2024-01-01 06:00:00'")):  # two files, two batches
+        made.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log.parquet")
+    stream = jobs.table_stream(spark, str(tmp_path), "log", files_per_trigger=1)
+    opened = jobs.run_to_table(jobs.fresh_answers(stream, "k", "t", "6 hours"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r["k"], str(r["t"])[11:16]) for r in opened.collect()) == [("a", "00:00"), ("a", "10:00"), ("a", "16:00"), ("b", "01:00")]
