@@ -355,12 +355,18 @@ def keyword_topk(documents: DataFrame, k: int = 10, key: str = "doc_id", text: s
     return top_k(counted, [key], [F.desc("freq"), F.asc("first_pos")], k).drop("first_pos")
 
 
+def _anywhere(word: str) -> str:
+    """Pattern of a word as it is written, in either case."""
+    quoted = word.replace("\\E", "\\E\\\\E\\Q")
+    return f"(?i)\\Q{quoted}\\E"
+
+
 def keyword_scores(documents: DataFrame, groups: Mapping[str, Sequence[str]], k: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Top categories by summed keyword occurrences; ties by declaration order.
 
     Counting happens inside the row, so no text is shuffled.
     """
-    total = lambda words: sum((F.regexp_count(F.col(text), F.lit(f"(?i){w}")) for w in words), F.lit(0))
+    total = lambda words: sum((F.regexp_count(F.col(text), F.lit(_anywhere(w))) for w in words), F.lit(0))
     scores = F.array(
         *[F.struct(total(ws).alias("score"), F.lit(-i).alias("o"), F.lit(name).alias("category")) for i, (name, ws) in enumerate(groups.items())]
     )
@@ -372,6 +378,6 @@ def keyword_scores(documents: DataFrame, groups: Mapping[str, Sequence[str]], k:
 
 def most_frequent_level(text: Column, levels: Mapping[str, Sequence[str]] = P.VOLTAGE_LEVELS) -> Column:
     """The level whose spellings occur most; ties by declaration order, null when none does."""
-    total = lambda words: sum((F.regexp_count(text, F.lit(f"(?i){w}")) for w in words), F.lit(0))
+    total = lambda words: sum((F.regexp_count(text, F.lit(_anywhere(w))) for w in words), F.lit(0))
     best = F.array_max(F.array(*[F.struct(total(ws).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("v")) for i, (name, ws) in enumerate(levels.items())]))
     return F.when(best["n"] > 0, best["v"])

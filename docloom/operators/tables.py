@@ -84,18 +84,20 @@ def can_continue(prev: str = "_p") -> Column:
 def merge_chains(tables: DataFrame, order: str = "table_no", bucket: int = 1024) -> DataFrame:
     """Chain number of each table of a document; a table that continues another shares its chain.
 
+    ``before`` is the number of the table before it; numbers may have gaps.
+
     Tables carry doc_id, page_idx, x0, x1, first_on_page, last_on_page, captions, continued,
     footnotes and the metrics of ``table_metrics``.
     """
-    view = F.struct("page_idx", "x0", "x1", "last_on_page", "footnotes", "total_cols", "last_row")
+    view = F.struct("page_idx", "x0", "x1", "last_on_page", "footnotes", "total_cols", "last_row", F.col(order).alias("number"))
     seen = scan(tables, ["doc_id"], [order], position_bucket(order, bucket), previous={"_p": view})
     opened = seen.withColumn("joined", can_continue()).withColumn("_o", (~F.col("joined")).cast("long"))
-    return scan(opened, ["doc_id"], [order], position_bucket(order, bucket), sums={"chain": F.col("_o")}).drop("_p", "_o")
+    return scan(opened, ["doc_id"], [order], position_bucket(order, bucket), sums={"chain": F.col("_o")}).withColumn("before", F.col("_p.number")).drop("_p", "_o")
 
 
 def repeated_header_rows(chains: DataFrame, signatures: DataFrame, key: str = "table_no") -> DataFrame:
     """How many leading rows of each joined table repeat the table before it."""
-    before = chains.where("joined").select("doc_id", key, (F.col(key) - 1).alias("_before"))
+    before = chains.where("joined").select("doc_id", key, F.col("before").alias("_before"))
     own = before.join(signatures.withColumnRenamed("signature", "_own"), ["doc_id", key])
     other = signatures.select("doc_id", F.col(key).alias("_before"), "row_no", F.col("signature").alias("_other"))
     lined = own.join(other, ["doc_id", "_before", "row_no"], "left")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import presets as P
 from docloom.functions import signals as G
-from docloom.operators import chunking, graph, quality, recall
+from docloom.functions import text as X
+from docloom.operators import chunking, graph, quality, ranking, recall
 from docloom.operators.lookup import passage_matches
 from docloom.plans import sql_tables as S
 from docloom.plans.registry import query
 from docloom.plans.sql_tables import with_
 from docloom.plans.text_queries import mod, pick, pick_sql
+from docloom.session import shared_dir
+from docloom.sources import stores
 
 SQUEEZE = r"trim(regexp_replace(text, '\s+', ' ', 'g'), ' ')"
 
@@ -473,3 +478,77 @@ def contents_anchors(c):
     entries = c.table("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("entry"), F.concat(F.lit(" "), mod("o_orderkey", 40).cast("string")).alias("anchor"))
     body = c.table("customer").where(mod("c_custkey", 3) != 0).select(F.col("c_custkey").alias("doc_id"), mod("c_custkey", 40).cast("string").alias("anchor"))
     return graph.keep_known_anchors(entries, body).select("doc_id", "entry", F.coalesce("anchor", F.lit("-")).alias("anchor"))
+
+
+# ---------------------------------------------------------------- stores and images
+@query("S6 S7", with_(S.DOC_WORDS) + """SELECT 'chunks' AS store, count(*) AS "rows" FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings
+UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT doc_id, unnest(words) AS term FROM doc_words)""")
+def ingest_stores(c):
+    """Rows of the three stores of an ingest, read back from the files that were written."""
+    chunks = c.table("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    vectors = c.table("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return stores.write_ingest(stores.ingest_tables(chunks, vectors), f"{shared_dir(c.spark)}/ingest-{uuid.uuid4().hex}")
+
+
+@query("C6", "SELECT doc_id, md5(chr(65533) || text) AS digest FROM documents")
+def valid_texts(c):
+    """Texts behind a byte that is no UTF-8: it becomes the replacement character."""
+    broken = F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary")).cast("string")
+    return c.table("documents").select("doc_id", F.md5(X.valid_text(broken)).alias("digest"))
+
+
+HITS = """hits AS (SELECT doc_id % 40 AS query_id, doc_id AS chunk_id, doc_id // 10 AS doc_id, CASE WHEN lang = 'es' THEN 'image' ELSE 'text' END AS content_type,
+  text || ' 图' || (doc_id % 7) || ' 图 ' || (doc_id % 5) || '.1' AS content, round(1.0 / (1 + doc_id % 13), 4) AS score FROM documents),
+images AS (SELECT doc_id * 10 AS image_id, CASE WHEN doc_id % 4 <> 1 THEN doc_id END AS chunk_id, doc_id // 10 AS doc_id, '图' || (doc_id % 7) AS figure FROM documents WHERE doc_id % 3 = 0),
+named AS (SELECT DISTINCT query_id, chunk_id, doc_id, score, '图' || unnest(regexp_extract_all(content, '图\\s*([0-9]+(?:[.\\-][0-9]+)*)', 1)) AS figure FROM hits WHERE content_type = 'text')"""
+
+
+def image_hits(c):
+    """Documents as hits that name figures, ten to a standard."""
+    n = F.col("doc_id")
+    return c.table("documents").select(
+        mod("doc_id", 40).alias("query_id"), n.alias("chunk_id"), F.floor(n / 10).alias("doc_id"), F.when(F.col("lang") == "es", "image").otherwise("text").alias("content_type"),
+        F.concat("text", F.lit(" 图"), mod("doc_id", 7).cast("string"), F.lit(" 图 "), mod("doc_id", 5).cast("string"), F.lit(".1")).alias("content"), F.round(1 / (1 + mod("doc_id", 13)), 4).alias("score"),
+    )
+
+
+def figure_images(c):
+    n = F.col("doc_id")
+    return c.table("documents").where(mod("doc_id", 3) == 0).select(
+        (n * 10).alias("image_id"), F.when(mod("doc_id", 4) != 1, n).alias("chunk_id"), F.floor(n / 10).alias("doc_id"), F.concat(F.lit("图"), mod("doc_id", 7).cast("string")).alias("figure")
+    )
+
+
+@query("J4 J5", with_(HITS) + """, l AS (SELECT h.query_id, h.chunk_id, i.image_id FROM hits h JOIN images i USING (chunk_id) UNION SELECT n.query_id, n.chunk_id, i.image_id FROM named n JOIN images i USING (doc_id, figure))
+SELECT query_id, chunk_id, string_agg(image_id::VARCHAR, ',' ORDER BY image_id) AS images FROM hits LEFT JOIN l USING (query_id, chunk_id) GROUP BY 1, 2""")
+def image_links(c):
+    """Images that a hit is or names."""
+    linked = ranking.inject_image_links(image_hits(c), figure_images(c))
+    ids = F.transform("images", lambda i: i["image_id"].cast("string"))
+    return linked.select("query_id", "chunk_id", F.array_join(ids, ",").alias("images"))
+
+
+@query("J6", with_(HITS) + """, rel AS (SELECT doc_id AS chunk_id, (doc_id + 3) * 1 AS related_id FROM documents WHERE doc_id % 6 = 1),
+f AS (SELECT n.query_id, i.chunk_id, max(n.score) AS s FROM named n JOIN images i USING (doc_id, figure) WHERE i.chunk_id IS NOT NULL GROUP BY 1, 2),
+f1 AS (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = f.query_id AND h.chunk_id = f.chunk_id)),
+g AS (SELECT h.query_id, r.related_id AS chunk_id, max(h.score) AS s FROM hits h JOIN rel r USING (chunk_id) WHERE content_type = 'text' GROUP BY 1, 2),
+g1 AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = g.query_id AND h.chunk_id = g.chunk_id) AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.query_id = g.query_id AND f1.chunk_id = g.chunk_id))
+SELECT query_id, chunk_id, s AS parent_score, 'pull_along' AS source FROM f1 UNION ALL SELECT query_id, chunk_id, s, 'pull_along_semantic' FROM g1""")
+def pulled_images(c):
+    """Images added to the hits because a hit names their figure or was related to them at ingest."""
+    n = F.col("doc_id")
+    related = c.table("documents").where(mod("doc_id", 6) == 1).select(n.alias("chunk_id"), (n + 3).alias("related_id"))
+    added = ranking.pull_along_images(image_hits(c), figure_images(c), related, ratio=1.0)
+    return added.select("query_id", "chunk_id", F.col("score").alias("parent_score"), "source")
+
+
+@query("J7", """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber + 10 * l_orderkey AS text_id, l_linenumber AS a, l_linenumber + l_partkey % 2 AS b FROM lineitem WHERE l_linenumber % 2 = 1),
+i AS (SELECT l_orderkey AS doc_id, l_linenumber + 10 * l_orderkey AS image_id, l_suppkey % 8 AS page FROM lineitem WHERE l_linenumber % 2 = 0)
+SELECT DISTINCT text_id, image_id FROM t JOIN i USING (doc_id) WHERE page BETWEEN a - 1 AND b + 1""")
+def images_by_page(c):
+    """Images on a page of a text or on the next one."""
+    line = c.table("lineitem")
+    number = F.col("l_linenumber").cast("long")
+    texts = line.where(mod("l_linenumber", 2) == 1).select(F.col("l_orderkey").alias("doc_id"), (number + 10 * F.col("l_orderkey")).alias("chunk_id"), number.alias("page_start"), (number + mod("l_partkey", 2)).alias("page_end"))
+    images = line.where(mod("l_linenumber", 2) == 0).select(F.col("l_orderkey").alias("doc_id"), (number + 10 * F.col("l_orderkey")).alias("chunk_id"), mod("l_suppkey", 8).cast("long").alias("page"))
+    return ranking.images_near_text(texts, images)

@@ -227,3 +227,26 @@ def test_entries_live_for_their_time(spark, tmp_path):
     stream = jobs.table_stream(spark, str(tmp_path), "log", files_per_trigger=1)
     opened = jobs.run_to_table(jobs.fresh_answers(stream, "k", "t", "6 hours"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert sorted((r["k"], str(r["t"])[11:16]) for r in opened.collect()) == [("a", "00:00"), ("a", "10:00"), ("a", "16:00"), ("b", "01:00")]
+
+
+def test_repeated_header_is_found_over_a_gap_in_the_numbers(spark):
+    from docloom.operators import tables
+
+    row = "struct<effective_cols: int, actual_cols: int, visual_cols: int>"
+    end = (2, 2, 2)
+    made = spark.createDataFrame(
+        [(1, 2, 0, 0, 100, True, True, 0, True, 0, 2, end, end), (1, 4, 1, 0, 100, True, True, 0, True, 0, 2, end, end)],
+        f"doc_id long, table_no long, page_idx long, x0 long, x1 long, first_on_page boolean, last_on_page boolean, captions int, continued boolean, footnotes int, total_cols int, first_row {row}, last_row {row}",
+    )
+    chains = tables.merge_chains(made)
+    assert [(r["table_no"], r["joined"], r["before"]) for r in chains.orderBy("table_no").collect()] == [(2, False, None), (4, True, 2)]
+    signatures = spark.createDataFrame([(1, 2, 0, "h"), (1, 2, 1, "a"), (1, 4, 0, "h"), (1, 4, 1, "b")], "doc_id long, table_no long, row_no int, signature string")
+    assert [r["header_rows"] for r in tables.repeated_header_rows(chains, signatures).collect()] == [1]
+
+
+def test_keywords_are_taken_as_written(spark):
+    from docloom.operators import chunking
+
+    docs = spark.createDataFrame([(1, "c++ C++ c 3.3 393")], "doc_id long, text string")
+    found = chunking.keyword_scores(docs, {"language": ["C++"], "level": ["3.3"]}).collect()
+    assert [(r["category"], r["score"]) for r in found] == [("language", 2), ("level", 1)]
