@@ -313,13 +313,11 @@ def drop_contained(candidates: DataFrame, keys: Sequence[str], content: str, tie
     """Drop candidates whose words appear in sequence inside a longer one of the same key.
 
     Every candidate looks for its opening word run among the word runs of the others, an
-    equi-join, and the match is verified on the words themselves.
+    equi-join of hashes, and the match is verified on the words themselves.
     """
-    words = candidates.withColumn("_w", F.split(squeeze(content), " "))
-    run = lambda n: F.concat_ws(" ", F.slice("_w", 1, n))
+    words = candidates.select(*keys, F.col(tie).alias("_id"), F.split(squeeze(content), " ").alias("_w"))
     size = F.size("_w")
-    need = F.least(size, F.lit(gram))
-    short = words.select(*keys, F.col(tie).alias("_id"), F.concat_ws(" ", "_w").alias("_text"), size.alias("_n"), run(gram).alias("_run"), need.alias("_len"))
+    opening = words.select(*keys, "_id", size.alias("_n"), F.least(size, F.lit(gram)).alias("_len"), F.hash(F.slice("_w", 1, gram)).alias("_h"), F.xxhash64(F.slice("_w", 1, gram)).alias("_run"))
 
     def runs(w: Column) -> Column:
         return F.flatten(
@@ -327,19 +325,21 @@ def drop_contained(candidates: DataFrame, keys: Sequence[str], content: str, tie
                 F.sequence(F.lit(1), F.least(F.size(w), F.lit(gram))),
                 lambda n: F.transform(
                     F.sequence(F.lit(1), F.size(w) - n + 1),
-                    lambda i: F.struct(n.alias("_len"), F.concat_ws(" ", F.slice(w, i, n)).alias("_run")),
+                    lambda i: F.struct(n.alias("_len"), F.hash(F.slice(w, i, n)).alias("_h"), F.xxhash64(F.slice(w, i, n)).alias("_run")),
                 ),
             )
         )
 
-    grams = bind(F.split(squeeze(content), " "), runs)
-    long = candidates.withColumn("_w", F.split(squeeze(content), " ")).select(*keys, F.col(tie).alias("_other"), F.concat_ws(" ", "_w").alias("_whole"), size.alias("_m"), F.explode(grams).alias("_g"))
-    long = long.select(*keys, "_other", "_whole", "_m", "_g._len", "_g._run")
-    held = short.join(long, [*keys, "_len", "_run"]).where(
-        (F.col("_other") != F.col("_id")) & (F.col("_m") > F.col("_n"))
-        & F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")))
+    # Only ids and hashes of runs are spread out; the texts join the pairs that are left.
+    held = words.select(*keys, F.col("_id").alias("_other"), size.alias("_m"), F.explode(F.array_distinct(runs(F.col("_w")))).alias("_g"))
+    held = held.select(*keys, "_other", "_m", "_g.*")
+    pairs = opening.join(held, [*keys, "_len", "_h", "_run"]).where((F.col("_other") != F.col("_id")) & (F.col("_m") > F.col("_n"))).select(*keys, "_id", "_other")
+    text = words.select(*keys, "_id", F.concat_ws(" ", "_w").alias("_text"))
+    whole = text.withColumnRenamed("_id", "_other").withColumnRenamed("_text", "_whole")
+    found = pairs.join(text, [*keys, "_id"]).join(whole, [*keys, "_other"]).where(
+        F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("_text"), F.lit(" ")))
     )
-    gone = held.select(*keys, F.col("_id").alias(tie)).distinct()
+    gone = found.select(*keys, F.col("_id").alias(tie)).distinct()
     return candidates.join(gone, [*keys, tie], "left_anti")
 
 

@@ -47,7 +47,9 @@ def short_toc_filter(c):
     return t.select("doc_id", recall.is_short(F.col("text")).alias("short"), recall.is_contents_page(F.col("text")).alias("contents_page"))
 
 
-@query("F7 U2", None)
+@query("F7 U2", with_(S.LINES) + r""", w AS (SELECT doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g'), ' ') AS t FROM lines WHERE trim(line, ' ') <> ''),
+n AS (SELECT *, len(string_split(t, ' ')) AS n FROM w)
+SELECT doc_id, line_no FROM n a WHERE EXISTS (SELECT 1 FROM n b WHERE b.doc_id = a.doc_id AND b.n > a.n AND contains(' ' || b.t || ' ', ' ' || a.t || ' '))""")
 def contained_lines(c):
     """Lines of each document whose words run inside a longer line of it."""
     lines = c.lines().where(F.trim("line") != "").select("doc_id", "line_no", F.col("line").alias("content"))
