@@ -33,10 +33,9 @@ BATCH = 8192
 END = b"\n"
 
 
-def line_of(text: bytes | None) -> tuple[list[bytes], bytes]:
-    """Words of a text (A-Z in lower case) and the line that the byte model reads: words, single spaces, one end."""
-    words = (text or b"").lower().split()
-    return words, b" ".join(words) + END
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of a text, A-Z in lower case."""
+    return (text or b"").lower().split()
 
 
 def windows_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,19 +54,17 @@ def windows_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found, sizes
 
 
-def batches_of(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
-    """(number of the first text, words, lines) of runs of texts of bounded size."""
-    first, words, lines, size = 0, [], [], 0
-    for i, text in enumerate(texts):
-        w, x = line_of(text)
-        words.append(w)
-        lines.append(x)
-        size += len(x)
+def pieces_of(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
+    """The lines that the byte model reads (words, single spaces, one end) in runs of bounded size."""
+    lines, size = [], 0
+    for words in texts:
+        lines.append(b" ".join(words) + END)
+        size += len(lines[-1])
         if size >= PIECE_BYTES:
-            yield first, words, lines
-            first, words, lines, size = i + 1, [], [], 0
+            yield lines
+            lines, size = [], 0
     if lines:
-        yield first, words, lines
+        yield lines
 
 
 def word_owner(word: bytes, owners: int) -> int:
@@ -80,40 +77,49 @@ def window_owner(windows: np.ndarray, owners: int) -> np.ndarray:
     return ((near * 0x9E3779B1) >> 15) % owners
 
 
-def _vocabulary(texts: list[bytes | None], learn: np.ndarray, owners: int) -> tuple[list[list[bytes]], list[np.ndarray], Counter, list[np.ndarray]]:
-    """A block's distinct words and windows by owner, in an order that its texts alone decide, with training counts."""
-    counts: Counter = Counter()
-    seen: set[bytes] = set()
-    distinct = []
-    for first, words, lines in batches_of(texts):
-        for i, w in enumerate(words):
-            if learn[first + i]:
-                counts.update(w)
-            else:
-                seen.update(w)
-        windows, sizes = windows_of(lines)
-        mine, code = np.unique(windows, return_inverse=True)
-        number = np.bincount(code, np.repeat(learn[first : first + len(lines)], sizes), len(mine)).astype(np.int64)
-        distinct.append((mine, number))
-    by_word: list[list[bytes]] = [[] for _ in range(owners)]
-    for w in sorted(seen | counts.keys()):
-        by_word[word_owner(w, owners)].append(w)
-    windows = np.concatenate([d[0] for d in distinct]) if distinct else np.zeros(0, dtype=np.int64)
-    mine, code = np.unique(windows, return_inverse=True)
-    number = np.bincount(code, np.concatenate([d[1] for d in distinct]) if distinct else None, len(mine)).astype(np.int64)
-    owner = window_owner(mine, owners)
+def _by_owner(words: set[bytes], owners: int) -> list[list[bytes]]:
+    """Distinct words of a block by owner, in an order that they alone decide."""
+    out: list[list[bytes]] = [[] for _ in range(owners)]
+    for w in sorted(words):
+        out[word_owner(w, owners)].append(w)
+    return out
+
+
+def _counted(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of texts, rising, and how often each occurs."""
+    found = [np.unique(windows_of(lines)[0], return_counts=True) for lines in pieces_of(texts)]
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    keys, code = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return keys, np.bincount(code, np.concatenate([f[1] for f in found]), len(keys)).astype(np.int64)
+
+
+def _cut_by_owner(keys: np.ndarray, owners: int) -> list[np.ndarray]:
+    """Places of the windows of each owner, rising."""
+    owner = window_owner(keys, owners)
     by = np.argsort(owner, kind="stable")
     cut = np.searchsorted(owner[by], np.arange(owners + 1))
-    by_window = [mine[by[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return by_word, by_window, counts, [number[by[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [by[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _gather(owners: int):
     """A block's packed rows: (block, owner, words, their counts, windows, their counts)."""
 
     def work(docs):
-        learn = docs.column("learn").combine_chunks().to_numpy(zero_copy_only=False)
-        by_word, by_window, counts, tally = _vocabulary(utf8(docs.column("text").combine_chunks()), learn, owners)
+        counts: Counter = Counter()
+        seen: set[bytes] = set()
+        learned, held = [], []
+        for learn, text in zip(docs.column("learn").to_pylist(), utf8(docs.column("text").combine_chunks()), strict=True):
+            words = words_of(text)
+            (learned if learn else held).append(words)
+            (counts if learn else seen).update(words)
+        by_word = _by_owner(seen | counts.keys(), owners)
+        known, number = _counted(learned)
+        others = np.setdiff1d(_counted(held)[0], known, assume_unique=True)
+        keys = np.concatenate([known, others])
+        order = np.argsort(keys)
+        keys, number = keys[order], np.concatenate([number, np.zeros(len(others), dtype=np.int64)])[order]
+        places = _cut_by_owner(keys, owners)
         block = docs.column("block")[0].as_py()
         return pa.table(
             {
@@ -121,8 +127,8 @@ def _gather(owners: int):
                 "owner": pa.array(range(owners), pa.int32()),
                 "words": pa.array([b"\n".join(w) for w in by_word], pa.binary()),
                 "word_counts": pa.array([np.array([counts[x] for x in w], dtype="<i4").tobytes() for w in by_word], pa.binary()),
-                "windows": pa.array([np.diff(w, prepend=0).astype("<i8").tobytes() for w in by_window], pa.binary()),
-                "window_counts": pa.array([c.astype("<i4").tobytes() for c in tally], pa.binary()),
+                "windows": pa.array([np.diff(keys[p], prepend=0).astype("<i8").tobytes() for p in places], pa.binary()),
+                "window_counts": pa.array([number[p].astype("<i4").tobytes() for p in places], pa.binary()),
             }
         )
 
@@ -317,31 +323,36 @@ def _score(owners: int, tokens: int, distinct: int, ends: int):
     """A block of documents with the owners' answers."""
 
     def work(docs, answers):
-        texts = utf8(docs.column("text").combine_chunks()) if docs.num_rows else []
+        texts = [words_of(t) for t in utf8(docs.column("text").combine_chunks())] if docs.num_rows else []
         learn = docs.column("learn").combine_chunks().to_numpy(zero_copy_only=False) if docs.num_rows else np.zeros(0, dtype=bool)
-        by_word, by_window, _, _ = _vocabulary(texts, np.zeros(len(texts), dtype=bool), owners)
         given = {o: (c, b) for o, c, b in zip(*(answers.column(x).to_pylist() for x in ("owner", "counts", "costs")), strict=True)}
+        by_word = _by_owner(set().union(*texts), owners)
+        count = np.concatenate([np.frombuffer(given[o][0], dtype="<i8") for o in range(owners)]) if texts else np.zeros(0)
+        number = {w: i for i, w in enumerate(w for words in by_word for w in words)}
         base = tokens + 0.1 * (distinct + 1)
-        count: dict[bytes, float] = {}
-        for owner, words in enumerate(by_word):
-            if words:
-                count.update(zip(words, np.frombuffer(given[owner][0], dtype="<i8").tolist(), strict=True))
-        logs = {w: float(np.log10((c + 0.1) / base)) for w, c in count.items()}
-        last = float(np.log10((ends + 0.1) / base))
-        keys = np.concatenate(by_window)
-        cost = np.concatenate([np.frombuffer(given[o][1], dtype="<f4") if len(w) else np.zeros(0, dtype="<f4") for o, w in enumerate(by_window)]).astype(np.float64)
-        order = np.argsort(keys)
-        keys, cost = keys[order], cost[order]
-        n, known, plain, model = [], [], [], []
-        for _, words, lines in batches_of(texts):
+        plain, last = np.log10((count + 0.1) / base), float(np.log10((ends + 0.1) / base))
+        n, known, scores = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        for i, words in enumerate(texts):
+            at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+            n[i], known[i], scores[i] = len(at) + 1, np.count_nonzero(count[at]) + (ends > 0), plain[at].sum() + last
+
+        # Each piece is sorted once: for the block's distinct windows, and to hand their prices out again.
+        sorted_pieces = []
+        for lines in pieces_of(texts):
             found, sizes = windows_of(lines)
-            mine, code = np.unique(found, return_inverse=True)
-            values = cost[np.searchsorted(keys, mine)][code]
-            model += np.add.reduceat(values, np.cumsum(sizes) - sizes).tolist() if len(sizes) else []
-            for w in words:
-                n.append(len(w) + 1)
-                known.append(sum([count[x] > 0 for x in w]) + (ends > 0))
-                plain.append(sum([logs[x] for x in w]) + last)
+            by = np.argsort(found)
+            found = found[by]
+            first = np.nonzero(np.diff(found, prepend=-1))[0]
+            sorted_pieces.append((by.astype(np.int32), found[first], np.diff(np.append(first, len(found))), sizes))
+        keys = np.unique(np.concatenate([p[1] for p in sorted_pieces])) if texts else np.zeros(0, dtype=np.int64)
+        cost, model = np.zeros(len(keys)), []
+        for o, places in enumerate(_cut_by_owner(keys, owners)):
+            if len(places):
+                cost[places] = np.frombuffer(given[o][1], dtype="<f4")
+        for by, found, times, sizes in sorted_pieces:
+            each = np.empty(len(by))
+            each[by] = np.repeat(cost[np.searchsorted(keys, found)], times)
+            model.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -349,8 +360,8 @@ def _score(owners: int, tokens: int, distinct: int, ends: int):
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(known, pa.int64()),
                 "train_tokens": pa.array([tokens] * len(n), pa.int64()),
-                "base_score": pa.array(plain, pa.float64()),
-                "score": pa.array(model, pa.float64()),
+                "base_score": pa.array(scores, pa.float64()),
+                "score": pa.array(np.concatenate(model) if model else np.zeros(0), pa.float64()),
             }
         )
 

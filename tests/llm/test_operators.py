@@ -293,17 +293,18 @@ def test_toxicity(docs, empty, spark):
     assert toxicity.scored(empty, nothing)[0].count() == 0 and toxicity.keep_clean(docs, made.select("doc_id", "toxic").limit(0)).count() == len(cases.rows())
 
 
-@pytest.mark.parametrize("length, gram", [(20, 8), (64, 24)])
-def test_repeats(docs, empty, length, gram):
-    found = repeats.repeats(docs, length=length, gram=gram).collect()
+@pytest.mark.parametrize("length, gram, most_kinds", [(20, 8, 4096), (20, 8, 1), (64, 24, 2)])
+def test_repeats(docs, empty, length, gram, most_kinds):
+    found = repeats.repeats(docs, length=length, gram=gram, most_kinds=most_kinds).collect()
     plain = cases.repeated([(r[1] or "").encode() for r in cases.rows()], length)
     want = sorted((str(r[0]), len((r[1] or "").encode()), [tuple(x) for x in s]) for r, s in zip(cases.rows(), plain, strict=True))
     assert sorted((str(r.doc_id), r.n_bytes, [tuple(s) for s in r.spans]) for r in found) == want
     assert repeats.repeats(empty).count() == 0
 
 
-def test_repeats_on_the_corpus(spark, corpus):
-    found = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.repeats(spark.read.parquet(f"{FOLDER}/documents.parquet")).collect()}
+@pytest.mark.parametrize("most_kinds", [repeats.MOST_KINDS, 1])
+def test_repeats_on_the_corpus(spark, corpus, most_kinds):
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.repeats(spark.read.parquet(f"{FOLDER}/documents.parquet"), most_kinds=most_kinds).collect()}
     plain = cases.repeated([(t or "").encode() for _, t, _ in corpus], repeats.LENGTH)
     assert [found[i] for i, _, _ in corpus] == plain
 
