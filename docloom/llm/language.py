@@ -23,7 +23,10 @@ SWITCH = 12.0
 GRAM_WEIGHT = 0.5
 #: A language is a candidate for a script that at least this share of its words is written in.
 LEAST_SHARE = 0.01
-PIECE_BYTES = 1 << 20
+#: Characters whose grams are looked up at once, and of texts that are labelled together.
+PIECE_CHARS = 1 << 18
+BATCH_CHARS = 8 << 20
+ROWS = 2500
 IMPOSSIBLE = -1e4
 
 #: First code points of the script ranges, in order; a range ends where the next begins.
@@ -137,7 +140,11 @@ def viterbi(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray, switch:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on at most ``rows`` texts of each language, those with the smallest hashes; null texts and labels are left out."""
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = stage(top_k(known, ["lang"], [F.xxhash64("text"), F.col("text")], rows).drop("rank"), "labelled")
+    known = known.withColumn("hash", F.xxhash64("text"))
+    # The hashes alone say how far the sample reaches; texts beyond are never shuffled.
+    reach = top_k(known.select("lang", "hash"), ["lang"], [F.asc("hash")], rows).groupBy("lang").agg(F.max("hash").alias("reach"))
+    near = known.join(F.broadcast(reach), "lang").where(F.col("hash") <= F.col("reach"))  # one row per language
+    sample = stage(top_k(near, ["lang"], [F.asc("hash"), F.asc("text")], rows).select("lang", "text"), "labelled")
 
     def count(rows_):
         langs = rows_.column("lang")
@@ -160,18 +167,29 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROW
 
 
 def _judge(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
-    """(language, score, spans) of each text of a batch."""
+    """(language, score, spans) of each text, some of them at a time."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (size < BATCH_CHARS or stop == at):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield from _judge_some(model, texts[at:stop])
+        at = stop
+
+
+def _judge_some(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
     scores, numbers, sizes = [], [], []
     at = 0
     while at < len(texts) and model.languages:
         stop, size = at, 0
-        while stop < len(texts) and (size < PIECE_BYTES or stop == at):
+        while stop < len(texts) and (size < PIECE_CHARS or stop == at):
             size += len(texts[stop] or "")
             stop += 1
         words = words_of([t or "" for t in texts[at:stop]])
         scores.append(model.scores(words))
-        numbers.append(words.text + at)
-        sizes.append(words.size)
+        numbers.append((words.text + at).astype(np.int32))
+        sizes.append(words.size.astype(np.int32))
         at = stop
     width = len(model.languages)
     number = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
@@ -179,7 +197,7 @@ def _judge(model: Model, texts: list[str | None]) -> Iterator[tuple[str, float,
     begins = np.searchsorted(number, np.arange(len(texts)))
     counts = np.searchsorted(number, np.arange(len(texts)), side="right") - begins
     labels = viterbi(np.concatenate(scores), begins, counts) if scores else np.zeros(0, dtype=np.int16)
-    weight = np.bincount(number * max(width, 1) + labels, size, len(texts) * max(width, 1)).reshape(len(texts), -1)
+    weight = np.bincount(number.astype(np.int64) * max(width, 1) + labels, size, len(texts) * max(width, 1)).reshape(len(texts), -1)
     for i, text in enumerate(texts):
         if not width or text is None or not (any(map(str.isalpha, text)) if counts[i] else False):
             yield "und", 0.0, []
@@ -210,9 +228,11 @@ def label(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_judge(model, batch.column(at).to_pylist()))
-            spans = pa.array([[{"language": n, "start": a, "stop": b} for n, a, b in f[2]] for f in found], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=names)
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                found = list(_judge(model, part.column(at).to_pylist()))
+                spans = pa.array([[{"language": n, "start": a, "stop": b} for n, a, b in f[2]] for f in found], arrow)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), spans], names=names)
 
     return map_batches(docs, work, schema), new
 
