@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,9 @@ from docloom.llm.common import map_batches, stage, table, utf8
 LENGTH = 200
 GRAM = 64
 BLOCK_BYTES = 16 << 20
+#: Unequal fragments of one anchor that are compared in one task; more are split by what their strings share.
+MOST_KINDS = 4096
+SPLIT_STARTS = 4
 #: Bytes that are hashed at once, and bytes of fragments in one transform.
 PIECE_BYTES = 1 << 18
 TRANSFORM_BYTES = 1 << 20
@@ -56,7 +59,7 @@ class Hasher:
         self.power, self.inverse = _powers(1024)
 
     def fragments(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(g, f, low, high) of the fragments in ``data``, in order.
+        """(g, f, low, high, anchor) of the fragments in ``data``, in order.
 
         Texts lie at [starts, ends); strings start at low, low + 1, ..., high - 1. ``g`` hashes
         the anchor's gram; ``f`` the bytes of all strings of the fragment and their place.
@@ -82,7 +85,7 @@ class Hasher:
         at = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         if not len(at):
             none = np.zeros(0, dtype=np.int64)
-            return none.view(np.uint64), none.view(np.uint64), none, none
+            return none.view(np.uint64), none.view(np.uint64), none, none, none
         mine = anchor[at]
         new = np.ones(len(at), dtype=bool)
         new[1:] = (mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1)
@@ -91,7 +94,7 @@ class Hasher:
         stop = high - 1 + length
         whole = (sums[stop] - sums[low]) * self.inverse[low]
         place = ((stop - low).astype(np.uint64) << np.uint64(32)) | (where - low).astype(np.uint64)
-        return grams[where], _mixed(whole ^ _mixed(place * np.uint64(BASE))), low, high
+        return grams[where], _mixed(whole ^ _mixed(place * np.uint64(BASE))), low, high, where
 
     def pieces(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(data, number of each text, its start there, its end) of pieces of bounded size.
@@ -230,7 +233,7 @@ def _describe(length: int, gram: int):
             texts = [t or b"" for t in utf8(batch.column(2))]
             found = []
             for data, number, offset, bounds in hasher.pieces(texts):
-                g, f, low, high = hasher.fragments(data, bounds[:-1], bounds[1:])
+                g, f, low, high, _ = hasher.fragments(data, bounds[:-1], bounds[1:])
                 which = np.searchsorted(bounds, low, side="right") - 1
                 doc = number[which]
                 found.append((blocks[doc], g.view(np.int64), f.view(np.int64), docs[doc], low - bounds[which] + offset[which], high - low + length - 1))
@@ -252,16 +255,44 @@ def _describe(length: int, gram: int):
     return work
 
 
+def _split(length: int, gram: int):
+    """Fragments cut into runs of a few strings, each with a hash of the bytes that all strings of its run share.
+
+    Runs count from the anchor, so equal strings lie in runs of one number; the shared bytes are
+    all but a few, so unequal runs of one hash differ in those few bytes only.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(length, gram)
+        for batch in batches:
+            out: list[tuple] = []
+            for block, g, f, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                anchor = int(hasher.fragments(np.frombuffer(data, dtype=np.uint8), np.array([0]), np.array([len(data)]))[4][0])
+                count = len(data) - length + 1
+                for run in range(max(anchor - count + 1, 0) // SPLIT_STARTS, anchor // SPLIT_STARTS + 1):
+                    last = anchor - run * SPLIT_STARTS
+                    a, b = max(last - SPLIT_STARTS + 1, 0), min(last, count - 1)
+                    shared = data[last : last - SPLIT_STARTS + 1 + length]
+                    part = data[a : b + length]
+                    key = xxhash.xxh64_intdigest(shared, (g + run) & MASK)
+                    out.append((block, g, f, n, a, b - a + 1, key - (1 << 64) if key >> 63 else key, xxhash.xxh64_intdigest(part) - (1 << 63), part))
+            names = ["block", "g", "f", "n", "off", "starts", "key", "part", "bytes"]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return work
+
+
 def _compare(length: int):
-    """Whole groups of fragments, up to a bound of bytes at once; a larger group goes alone."""
+    """Whole groups of fragments (rows of one key), up to a bound of bytes at once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            starts = repeated_starts([h[4] for h in held], np.array([h[3] for h in held]), length)
-            rows = [(h[0], h[1], h[2], _runs(s)) for h, s in zip(held, starts, strict=True) if len(s) and h[3] == 1]
+            starts = repeated_starts([h[6] for h in held], np.array([h[3] for h in held]), length)
+            rows = [(h[0], h[1], h[2], _runs(s + h[4])) for h, s in zip(held, starts, strict=True) if len(s) and h[3] == 1]
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
                 names=["block", "g", "f", "runs"],
@@ -269,11 +300,11 @@ def _compare(length: int):
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= TRANSFORM_BYTES and row[1] != held[-1][1]:
+                if size >= TRANSFORM_BYTES and row[5] != held[-1][5]:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[6])
         if held:
             yield flush()
 
@@ -286,11 +317,14 @@ def _cut(length: int, gram: int, result):
     def work(docs, answers):
         hasher = Hasher(length, gram)
         texts = [t or b"" for t in utf8(docs.column("text").combine_chunks())] if docs.num_rows else []
-        known: dict[tuple[int, int], bytes | None] = dict(zip(zip(answers.column("g").to_pylist(), answers.column("f").to_pylist(), strict=True), answers.column("runs").to_pylist(), strict=True))
+        known: dict[tuple[int, int], bytes | None] = {}
+        for gi, fi, runs in zip(*(answers.column(c).to_pylist() for c in ("g", "f", "runs")), strict=True):
+            before = known.get((gi, fi), b"")
+            known[gi, fi] = None if runs is None or before is None else before + runs
         marks: list[list[tuple[int, int]]] = [[] for _ in texts]
         gs = np.unique(answers.column("g").to_numpy()) if known else np.zeros(0, dtype=np.int64)
         for data, number, offset, bounds in hasher.pieces(texts) if known else ():
-            g, f, low, high = hasher.fragments(data, bounds[:-1], bounds[1:])
+            g, f, low, high, _ = hasher.fragments(data, bounds[:-1], bounds[1:])
             g, f = g.view(np.int64), f.view(np.int64)
             near = np.searchsorted(gs, g)
             likely = np.nonzero(gs[np.minimum(near, len(gs) - 1)] == g)[0]
@@ -345,41 +379,60 @@ def _digest(docs, texts, spans):
     )
 
 
-def _answered(docs: DataFrame, text: str, doc_id: str, length: int, gram: int, result, schema: T.StructType) -> DataFrame:
+def _fragment_bytes(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(block, g, f, n, kinds, bytes) of fragments given by text and place."""
+    wanted = parts.groupBy("doc").agg(F.collect_list(F.struct("g", "f", F.col("times").alias("n"), "kinds", "block", "low", "size")).alias("wanted"))
+    held = rows.join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), F.explode("wanted").alias("w"))
+    return held.select("w.block", "w.g", "w.f", "w.n", "w.kinds", F.substring("text", F.col("w.low").cast("int") + 1, F.col("w.size")).alias("bytes"))
+
+
+def _answered(docs: DataFrame, text: str, doc_id: str, length: int, gram: int, most_kinds: int, result, schema: T.StructType) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(total // BLOCK_BYTES) + 1
     rows = rows.withColumn("doc", F.xxhash64(F.xxhash64("doc_id"), F.xxhash64("text"))).withColumn("block", F.pmod("doc", F.lit(blocks)).cast("int"))
-    parts = stage(map_batches(rows.select("block", "doc", "text"), _describe(length, gram), "block int, g long, f long, n int, doc long, low long, size int"), "fragments")
-    kinds = parts.groupBy("g", "f").agg(F.sum("n").cast("int").alias("n"), F.min(F.struct("block", "doc", "low", "size")).alias("one"))
-    anchors = kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("times")).where("times > 1")
-    kinds = stage(kinds.join(anchors, "g").select("g", "f", "n", "kinds", "one.*"), "kinds")
-
-    wanted = kinds.where("kinds > 1").groupBy("doc").agg(F.collect_list(F.struct("g", "f", "n", "block", "low", "size")).alias("wanted"))
-    held = rows.join(wanted, "doc").select(F.col("text").cast("binary").alias("text"), F.explode("wanted").alias("w"))
-    bytes_of = F.substring("text", F.col("w.low").cast("int") + 1, F.col("w.size"))
-    fragments = held.select("w.block", "w.g", "w.f", "w.n", bytes_of.alias("bytes")).dropDuplicates(["g", "f"])
-    dealt = fragments.repartition(max(blocks, 1), "g").sortWithinPartitions("g", "f")
+    parts = map_batches(rows.select("block", "doc", "text"), _describe(length, gram), "block int, g long, f long, n int, doc long, low long, size int")
+    same, anchor = Window.partitionBy("g", "f"), Window.partitionBy("g")
+    # One shuffle by anchor serves all four sums.
+    parts = parts.repartition("g").withColumn("first", F.row_number().over(same.orderBy("block", "doc", "low")) == 1).withColumn("times", F.sum("n").over(same).cast("int"))
+    parts = parts.withColumn("kinds", F.sum(F.col("first").cast("int")).over(anchor)).withColumn("all", F.sum("n").over(anchor))
+    parts = stage(parts.where("all > 1").drop("all", "n"), "fragments")
+
+    unequal = stage(_fragment_bytes(rows, parts.where("kinds > 1 AND first")), "unequal")  # the texts are shuffled once for all of them
+    dealt = unequal.where(F.col("kinds") <= most_kinds).repartition(blocks, "g").dropDuplicates(["g", "f"])
+    dealt = dealt.select("block", "g", "f", "n", F.lit(0).alias("off"), F.col("g").alias("key"), "bytes").sortWithinPartitions("key", "f")
     partly = map_batches(dealt, _compare(length), "block int, g long, f long, runs binary")
-    whole = parts.select("block", "g", "f").join(kinds.where("n > 1").select("g", "f"), ["g", "f"]).distinct().select("block", "g", "f", F.lit(None).cast("binary").alias("runs"))
+    whole = parts.where("times > 1").select("block", "g", "f").distinct().select("block", "g", "f", F.lit(None).cast("binary").alias("runs"))
+    crowded = unequal.where(F.col("kinds") > most_kinds)
+    if not crowded.isEmpty():
+        cut = map_batches(crowded.dropDuplicates(["g", "f"]).select("block", "g", "f", "n", "bytes"), _split(length, gram), "block int, g long, f long, n int, off int, starts int, key long, part long, bytes binary")
+        alike = Window.partitionBy("key", "part")
+        cut = cut.repartition(blocks, "key").withColumn("first", F.row_number().over(alike.orderBy("block", "g", "f", "off")) == 1).withColumn("times", F.sum("n").over(alike).cast("int"))
+        cut = stage(cut, "runs")
+        firsts = cut.where("first").select("block", "g", "f", F.col("times").alias("n"), "off", "key", "bytes").repartition(blocks, "key").sortWithinPartitions("key", "g", "f")
+        partly = partly.unionByName(map_batches(firsts, _compare(length), "block int, g long, f long, runs binary"))
+        pair = F.concat(*[F.expr(f"reverse(unhex(lpad(hex({x}), 8, '0')))") for x in ("off", "off + starts")])
+        whole = whole.unionByName(cut.where("times > 1 AND n = 1").select("block", "g", "f", pair.alias("runs")))
     answers = stage(partly.unionByName(whole), "answers")
     return rows.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(length, gram, result), schema)
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, gram: int = GRAM, most_kinds: int = MOST_KINDS) -> DataFrame:
     """(doc_id, n_bytes, spans): the maximal runs of bytes covered by a string of ``length`` bytes that also starts elsewhere.
 
     Texts are taken as UTF-8 bytes, null as empty; strings never cross documents; both places of
     a repeated string count, in one text or two. Shorter texts have no spans. Rows are kept as
     they are, repeated ids included; an empty table gives an empty result; other columns are not
-    read. Long texts are hashed piece by piece.
+    read. Long texts are hashed piece by piece. Where more than ``most_kinds`` unequal fragments share
+    an anchor, as at the edge of a passage that very many texts quote, they are compared in small
+    runs of strings that meet only where nearly all of their bytes agree, equal ones as one.
     """
     schema = T.StructType([docs.select(F.col(doc_id).alias("doc_id")).schema[0], *T.StructType.fromDDL("n_bytes long, spans array<struct<start: long, stop: long>>").fields])
-    return _answered(docs, text, doc_id, length, gram, _spans, schema)
+    return _answered(docs, text, doc_id, length, gram, most_kinds, _spans, schema)
 
 
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: bytes, removed bytes and runs, digest of the rest."""
     docs = table(spark, sf_dir, "documents")
     schema = T.StructType([docs.select("doc_id").schema[0], *T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields])
-    return _answered(docs, "text", "doc_id", LENGTH, GRAM, _digest, schema)
+    return _answered(docs, "text", "doc_id", LENGTH, GRAM, MOST_KINDS, _digest, schema)
