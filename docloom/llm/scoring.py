@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 from docloom.llm.common import id_remainder, stage, table, utf8
 
 BLOCK_BYTES = 16 << 20
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+#: Bits of a byte's code and of a place where a window and its place are sorted as one number.
+CODE_BITS = 7
+PLACE_BITS = 20
 #: Predictors look at this many bytes before, at all shorter contexts, and at none.
 ORDERS = 5
 #: Steps of the stretched probability in the refinement, and the weight of its starting value.
@@ -38,33 +41,66 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def windows_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(lines: list[bytes], code: np.ndarray | None = None, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the ``ORDERS`` bytes before it as one number, and the number of bytes of each line.
 
     The byte is the lowest; the bytes before follow, the nearest first. A line starts after ends.
+    With ``code``, bytes are replaced by codes of ``bits`` bits.
     """
     pad = END * ORDERS
-    data = np.frombuffer(b"".join(pad + x for x in lines), dtype=np.uint8).astype(np.int64)
-    sizes = np.array([len(x) for x in lines], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDERS)[:-1]])
-    at = np.repeat(starts + ORDERS - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    found = data[at]
+    data = np.frombuffer(pad + pad.join(lines), dtype=np.uint8)
+    data = (data if code is None else code[data]).astype(np.int64)
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    n = len(data) - ORDERS
+    found = data[ORDERS:].copy()
     for back in range(1, ORDERS + 1):
-        found |= data[at - back] << (8 * back)
-    return found, sizes
+        found |= data[ORDERS - back : ORDERS - back + n] << (bits * back)
+    own = np.ones(n, dtype=bool)  # without the ends that stand before each later line
+    for gap in (np.cumsum(sizes + ORDERS) - ORDERS)[:-1].tolist():
+        own[gap : gap + ORDERS] = False
+    return found[own], sizes
 
 
-def pieces_of(texts: list[list[bytes]]) -> Iterator[list[bytes]]:
-    """The lines that the byte model reads (words, single spaces, one end) in runs of bounded size."""
-    lines, size = [], 0
-    for words in texts:
-        lines.append(b" ".join(words) + END)
-        size += len(lines[-1])
+def grouped_windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of lines, how often each occurs, the places of all of them in that order, and the lines' sizes.
+
+    Where the lines have few different bytes, a window in short codes and its place fit in one
+    number, and sorting numbers is much faster than ordering places.
+    """
+    alphabet = np.nonzero(np.bincount(np.frombuffer(END + b"".join(lines), dtype=np.uint8), minlength=256))[0]
+    if len(alphabet) <= 1 << CODE_BITS and sum(map(len, lines)) <= 1 << PLACE_BITS:
+        code = np.zeros(256, dtype=np.uint8)
+        code[alphabet] = np.arange(len(alphabet))
+        windows, sizes = windows_of(lines, code, CODE_BITS)
+        both = np.sort(windows << PLACE_BITS | np.arange(len(windows)))
+        coded, places = both >> PLACE_BITS, (both & ((1 << PLACE_BITS) - 1)).astype(np.int32)
+        first = np.nonzero(np.diff(coded, prepend=-1))[0]
+        short, found = coded[first], np.zeros(len(first), dtype=np.int64)
+        for back in range(ORDERS + 1):
+            found |= alphabet[short >> (CODE_BITS * back) & ((1 << CODE_BITS) - 1)].astype(np.int64) << (8 * back)
+        return found, np.diff(np.append(first, len(coded))).astype(np.int32), places, sizes
+    windows, sizes = windows_of(lines)
+    places = np.argsort(windows)
+    windows = windows[places]
+    first = np.nonzero(np.diff(windows, prepend=-1))[0]
+    return windows[first], np.diff(np.append(first, len(windows))), places.astype(np.int32), sizes
+
+
+def line_of(words: list[bytes]) -> bytes:
+    """What the byte model reads of a text: words, single spaces, one end."""
+    return b" ".join(words) + END
+
+
+def pieces_of(lines: list[bytes]) -> Iterator[list[bytes]]:
+    """Lines in runs of bounded size."""
+    first, size = 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
         if size >= PIECE_BYTES:
-            yield lines
-            lines, size = [], 0
-    if lines:
-        yield lines
+            yield lines[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(lines):
+        yield lines[first:]
 
 
 def word_owner(word: bytes, owners: int) -> int:
@@ -85,9 +121,9 @@ def _by_owner(words: set[bytes], owners: int) -> list[list[bytes]]:
     return out
 
 
-def _counted(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of texts, rising, and how often each occurs."""
-    found = [np.unique(windows_of(lines)[0], return_counts=True) for lines in pieces_of(texts)]
+def _counted(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows of lines, rising, and how often each occurs."""
+    found = [np.unique(windows_of(piece)[0], return_counts=True) for piece in pieces_of(lines)]
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     keys, code = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
@@ -111,7 +147,7 @@ def _gather(owners: int):
         learned, held = [], []
         for learn, text in zip(docs.column("learn").to_pylist(), utf8(docs.column("text").combine_chunks()), strict=True):
             words = words_of(text)
-            (learned if learn else held).append(words)
+            (learned if learn else held).append(line_of(words))
             (counts if learn else seen).update(words)
         by_word = _by_owner(seen | counts.keys(), owners)
         known, number = _counted(learned)
@@ -323,33 +359,33 @@ def _score(owners: int, tokens: int, distinct: int, ends: int):
     """A block of documents with the owners' answers."""
 
     def work(docs, answers):
-        texts = [words_of(t) for t in utf8(docs.column("text").combine_chunks())] if docs.num_rows else []
+        lines, distinct_words = [], set()
+        for text in utf8(docs.column("text").combine_chunks()) if docs.num_rows else ():
+            words = words_of(text)
+            distinct_words.update(words)
+            lines.append(line_of(words))
         learn = docs.column("learn").combine_chunks().to_numpy(zero_copy_only=False) if docs.num_rows else np.zeros(0, dtype=bool)
         given = {o: (c, b) for o, c, b in zip(*(answers.column(x).to_pylist() for x in ("owner", "counts", "costs")), strict=True)}
-        by_word = _by_owner(set().union(*texts), owners)
-        count = np.concatenate([np.frombuffer(given[o][0], dtype="<i8") for o in range(owners)]) if texts else np.zeros(0)
+        by_word = _by_owner(distinct_words, owners)
+        count = np.concatenate([np.frombuffer(given[o][0], dtype="<i8") for o in range(owners)]) if lines else np.zeros(0)
         number = {w: i for i, w in enumerate(w for words in by_word for w in words)}
         base = tokens + 0.1 * (distinct + 1)
         plain, last = np.log10((count + 0.1) / base), float(np.log10((ends + 0.1) / base))
-        n, known, scores = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-        for i, words in enumerate(texts):
+        n, known, scores = np.zeros(len(lines), dtype=np.int64), np.zeros(len(lines), dtype=np.int64), np.zeros(len(lines))
+        for i, line in enumerate(lines):
+            words = line.split()
             at = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
             n[i], known[i], scores[i] = len(at) + 1, np.count_nonzero(count[at]) + (ends > 0), plain[at].sum() + last
 
+        del number, by_word, distinct_words
         # Each piece is sorted once: for the block's distinct windows, and to hand their prices out again.
-        sorted_pieces = []
-        for lines in pieces_of(texts):
-            found, sizes = windows_of(lines)
-            by = np.argsort(found)
-            found = found[by]
-            first = np.nonzero(np.diff(found, prepend=-1))[0]
-            sorted_pieces.append((by.astype(np.int32), found[first], np.diff(np.append(first, len(found))), sizes))
-        keys = np.unique(np.concatenate([p[1] for p in sorted_pieces])) if texts else np.zeros(0, dtype=np.int64)
+        sorted_pieces = [grouped_windows(piece) for piece in pieces_of(lines)]
+        keys = np.unique(np.concatenate([p[0] for p in sorted_pieces])) if lines else np.zeros(0, dtype=np.int64)
         cost, model = np.zeros(len(keys)), []
         for o, places in enumerate(_cut_by_owner(keys, owners)):
             if len(places):
                 cost[places] = np.frombuffer(given[o][1], dtype="<f4")
-        for by, found, times, sizes in sorted_pieces:
+        for found, times, by, sizes in sorted_pieces:
             each = np.empty(len(by))
             each[by] = np.repeat(cost[np.searchsorted(keys, found)], times)
             model.append(np.add.reduceat(each, np.cumsum(sizes) - sizes))

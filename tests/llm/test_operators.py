@@ -118,6 +118,16 @@ def test_scoring_sums_to_one():
     assert after.sum() == 256 and abs((10 ** cost[after]).sum() - 1) < 1e-4
 
 
+def test_windows_in_short_codes_are_the_same():
+    rng = random.Random(8)
+    for pool in (b"ab c", bytes(range(256))):
+        lines = [bytes(rng.choice(pool) for _ in range(rng.randint(0, 40))) + scoring.END for _ in range(30)]
+        found, times, places, sizes = scoring.grouped_windows(lines)
+        windows, plain = scoring.windows_of(lines)
+        assert (np.repeat(found, times) == windows[places]).all() and len(set(found.tolist())) == len(found) and (sizes == plain).all()
+        assert sorted(places.tolist()) == list(range(len(windows)))
+
+
 def test_scoring_beats_the_words(spark):
     """On the held-out texts of 1,000 documents; 200 are too few for contexts of five bytes."""
     found = scoring.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
