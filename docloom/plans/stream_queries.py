@@ -22,8 +22,9 @@ def fresh_folders(c, name):
 
 
 def log_stream(c):
+    """The query log of a stored table, in one batch: its files overlap in time, and no row of it is late."""
     kind = F.col("event_type")
-    return jobs.table_stream(c.spark, c.folder, "events").select(
+    return jobs.table_stream(c.spark, c.folder, "events", files_per_trigger=None).select(
         F.col("event_id").alias("query_log_id"), "user_id", F.when(kind.isin("error", "signup"), "slow").otherwise("fast").alias("lane"), (kind == "signup").alias("clarified"),
         (kind == "error").cast("int").alias("retry_count"), F.floor(F.col("value") * 10).cast("long").alias("total_time"), F.col("ts").cast("timestamp").alias("created_at"), prop_k(F.col("props")).alias("k"),
     )

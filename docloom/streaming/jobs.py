@@ -17,15 +17,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 WATERMARK = "10 minutes"
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 1000) -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = 1000) -> DataFrame:
     """Stream of a Parquet table's files; the schema is taken from the stored files.
 
+    Without ``files_per_trigger`` an available-now run reads all files in one batch. A job with a
+    watermark needs that where files overlap in time: part files of one table each span its whole
+    time range, and after a first batch of some of them the rows of the others would count as late.
+
     A table is a folder of part files, or one file; a stream reads a folder, so a single file is
     named by a pattern that only it matches.
     """
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    source = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        source = source.option("maxFilesPerTrigger", files_per_trigger)
     if _is_folder(spark, path):
         return source.parquet(path)
     return source.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
