@@ -138,13 +138,13 @@ def viterbi(scores: np.ndarray, begins: np.ndarray, counts: np.ndarray, switch:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on at most ``rows`` texts of each language, those with the smallest hashes; null texts and labels are left out."""
+    """Fit on at most ``rows`` different texts of each language, those with the smallest hashes; copies count once, null texts and labels not."""
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.withColumn("hash", F.xxhash64("text"))
     # The hashes alone say how far the sample reaches; texts beyond are never shuffled.
-    reach = top_k(known.select("lang", "hash"), ["lang"], [F.asc("hash")], rows).groupBy("lang").agg(F.max("hash").alias("reach"))
+    reach = top_k(known.select("lang", "hash").distinct(), ["lang"], [F.asc("hash")], rows).groupBy("lang").agg(F.max("hash").alias("reach"))
     near = known.join(F.broadcast(reach), "lang").where(F.col("hash") <= F.col("reach"))  # one row per language
-    sample = stage(top_k(near, ["lang"], [F.asc("hash"), F.asc("text")], rows).select("lang", "text"), "labelled")
+    sample = stage(near.groupBy("lang", "hash").agg(F.min("text").alias("text")).select("lang", "text"), "labelled")
 
     def count(rows_):
         langs = rows_.column("lang")

@@ -226,6 +226,13 @@ def test_language(docs, empty, spark):
     assert {r[1] for r in language.label(docs.select("doc_id", "text"), language.fit(empty))[0].select("doc_id", "language").collect()} == {"und"}
 
 
+def test_language_sample_holds_different_texts(spark):
+    once = spark.createDataFrame([(f"{a}{b} {b}{a}", lang) for lang in ("x", "y") for a in "abcdef" for b in "ghijkl"], "text string, lang string")
+    copied = once.crossJoin(spark.range(30))
+    want, got = language.fit(once, rows=20), language.fit(copied, rows=20)
+    assert got.languages == want.languages and (got.grams == want.grams).all()
+
+
 def test_language_spans_of_a_mixed_text(spark, corpus):
     model = language.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
     plain = [next(t for _, t, lang in corpus if lang == want and t.isprintable() is False and len(t) > 400)[:400] for want in ("de", "en")]
