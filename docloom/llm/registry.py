@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, repeats, scoring, simhash, toxicity
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, repeats, scoring, simhash, spelling, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toxicity.op8_toxicity,
         repeats.op9_repeated_bytes,
         neighbours.op10_nearest_neighbours,
+        spelling.op11_spelling_variants,
     ]
     return {f.__name__: f for f in found}
 
