@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, repeats, scoring, simhash, spelling, tokens, toxicity
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, repeats, runs, scoring, simhash, spelling, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         neighbours.op10_nearest_neighbours,
         spelling.op11_spelling_variants,
         tokens.op12_token_counts,
+        runs.op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
