@@ -189,15 +189,20 @@ def links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
 
 
 def components(rows: DataFrame, new: dict[str, str], doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(print, size, component): each distinct fingerprint of staged ``rows`` with the smallest doc_id it reaches."""
+    """(print, size, component, component_id) of each distinct fingerprint of staged ``rows``.
+
+    ``component`` is the print that names the component, ``component_id`` the smallest doc_id it
+    reaches; two components may share that id where ids repeat or are null.
+    """
     prints = rows.groupBy(F.col(new["print"]).alias("print")).agg(F.min(doc_id).alias("least"), F.count("*").alias("size"))
     prints = stage(prints, "prints")
     edges = stage(links(prints, radius), "links")
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     labels = connected_components(ends, edges, []) if not edges.isEmpty() else ends.withColumn("component", F.col("node"))
     joined = prints.join(labels.select(F.col("node").alias("print"), "component"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    return joined.select("print", "size", "component").join(least, "component").drop("component")
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("_prints"))
+    found = join_groups(joined.select("print", "size", "component"), least, "component", "_prints", prints.count(), "print")
+    return found.select("print", "size", "component", "component_id")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> tuple[DataFrame, dict[str, str]]:
@@ -217,13 +222,20 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rad
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; same columns."""
+    """``docs`` with one row of each group of near duplicates; same columns.
+
+    The row with the smallest doc_id stays, null ids last; of rows that share it, the first
+    stored. Groups are told apart by their fingerprints, so ids may be null or repeat. Null and
+    empty texts form one group; an empty table stays empty.
+    """
     found, new = fingerprints(docs, text)
     rows = stage(found, "fingerprints")
-    groups = components(rows, new, doc_id)
-    known = join_groups(rows.select(new["row"], new["print"], doc_id), groups.withColumnRenamed("print", new["print"]), new["print"], "size", rows.count(), new["row"])
-    best = known.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(new["row"]).alias(new["row"]))
-    return rows.join(best.select(new["row"]), new["row"]).select(*docs.columns)
+    groups = components(rows, new, doc_id).select(F.col("print").alias(new["print"]), "size", "component")
+    members = rows.select(new["row"], new["print"], F.col(doc_id).alias("_id"))
+    known = join_groups(members, groups, new["print"], "size", rows.count(), new["row"])
+    first = F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col(new["row"]).alias("r")))
+    best = known.groupBy("component").agg(first.alias("b")).select(F.col("b.r").alias(new["row"]))
+    return rows.join(best, new["row"]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
