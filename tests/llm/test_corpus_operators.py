@@ -5,20 +5,24 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import sys
+import zlib
 from collections import Counter
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import cases  # noqa: E402
-from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, registry, repeats, scoring, simhash, toxicity  # noqa: E402
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, registry, repeats, runs, scoring, simhash, spelling, tokens, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,7 +44,7 @@ def corpus():
 
 def test_registry():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(registry.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(registry.oracle_sql()) <= set(names)
 
 
 def test_licences(docs, empty):
@@ -271,6 +275,17 @@ def test_simhash(docs, empty):
     assert simhash.keep_one(docs).count() == len(set(roots)) and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, None, 1, None), (5, 5, 1, 5), (None, None, None, None), (2, 1, 2, 2)])
+def test_near_dedup_keeps_rows_without_a_copy(spark, ids):
+    """Ids may be null or repeat: three unrelated texts stay, and one of two near copies."""
+    texts = ["the first text about one thing", "another text that has nothing to do with it", "a third one, as unlike the others", "the first text about one thing"]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.text for r in kept) == sorted(set(texts))
+    want = min(((i is None, i or 0) for i, t in zip(ids, texts, strict=True) if t == texts[0]))
+    assert [(r.doc_id is None, r.doc_id or 0) for r in kept if r.text == texts[0]] == [want]
+
+
 def test_links_over_many_shards(spark):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(300)}
@@ -358,3 +373,183 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 20 * sum(i % 20 == 0 for i in good) and {r.query_id for r in found} == {i for i in good if i % 20 == 0}
     few = spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<double>")
     assert neighbours.nearest_rows(few).count() == 12 and neighbours.nearest_rows(frame.limit(0)).count() == 0
+
+
+def spelled(texts: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """Words, forms and roots as the contract of op11 has them, by comparing all pairs."""
+    counts = Counter()
+    for doc_id, text in texts:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = cases.low(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 7 and c >= 2}
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    best = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    form = {w: v if v and n[v] >= 10 * n[w] else None for w, v in best.items()}
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), form[w] and n[form[w]]))
+    return sorted(out)
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def write(folder, frame) -> str:
+    frame.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_op11_on_hard_cases(spark, docs, empty, tmp_path):
+    rng, table = random.Random(9), [(r[0], r[1]) for r in cases.rows()]
+    words = ["spelling", "spellings", "spellin", "speling", "xspelling", "\u00c9cole" + "\u00e9" * 4, "\u00e9cole" + "\u00e9" * 4, "b" * 300, "b" * 299, "b" * 298 + "cb", "a" * 9, "a" * 10]
+    for i, w in enumerate(words * 3):
+        table.append((100 + i, " ".join([w] * rng.choice([1, 2, 25, 300]))))
+    table += [(None, "spelling SPELLING speLLings"), (7, "-".join(words))]
+    frame = spark.createDataFrame(table, "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("n", F.lit(1))
+    found = spelling.op11_spelling_variants(spark, write(tmp_path / "a", frame))
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    want = spelled(table)
+    assert sorted(map(tuple, found.collect())) == want and any(r[1] for r in want)
+    nothing = spelling.op11_spelling_variants(spark, write(tmp_path / "b", empty))
+    assert nothing.count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 4096])
+def test_spelling_blocks(spark, block_rows):
+    """Crowded cells are cut into pairs of blocks; no pair is lost or met twice."""
+    rng, n = random.Random(block_rows), {}
+    while len(n) < 400:
+        n["".join(rng.choice("ab") for _ in range(rng.randint(7, 10)))] = rng.choice([2, 3, 50, 900])
+    rows = spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long"), block_rows=block_rows).collect()
+    near = {w: [v for v in n if one_edit(w, v)] for w in n}
+    best = {w: min(near[w], key=lambda v: (-n[v], v), default=None) for w in n}
+    assert sorted((r.word, r.n_near, r.form) for r in rows) == sorted((w, len(near[w]), best[w] if best[w] and n[best[w]] >= 10 * n[w] else None) for w in n)
+
+
+def test_spelling_roots_follow_chains(spark):
+    chain = ["aaaaaaa", "aaaaaab", "aaaaabb", "aaaabbb", "aaabbbb", "aabbbbb"]
+    rows = spelling.variants(spark.createDataFrame([(w, 3 * 10**i) for i, w in enumerate(chain)], "word string, n long")).collect()
+    assert {r.root for r in rows} == {chain[-1]} and {r.word: r.form for r in rows} == dict(zip(chain, [*chain[1:], None], strict=True))
+
+
+@pytest.mark.parametrize("words", [["\U0001f600bcdefg", "abcdefg", "abcdef\u4e2d"], ["\u4e2d" * 300, "\u4e2d" * 299 + "x"]])
+def test_spelling_of_any_code_points(spark, words):
+    rows = spelling.variants(spark.createDataFrame([(w, 2) for w in words], "word string, n long")).collect()
+    assert {r.word: r.n_near for r in rows} == {w: sum(one_edit(w, v) for v in words) for w in words}
+
+
+def counted(table: list[tuple[int | None, str | None]]) -> list[tuple]:
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokens.public_path())
+    sizes = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in table]
+    return sorted(((*s, s[2] > 1024) for s in sizes), key=str)
+
+
+def test_op12_on_hard_cases(spark, docs, empty, tmp_path):
+    rng = random.Random(12)
+    pool = [chr(c) for c in (*range(0x180), *range(0x300, 0x600), *range(0x900, 0x980), *range(0x2000, 0x2060), *range(0x3040, 0x3060), *range(0x1F600, 0x1F620))]
+    table = [(r[0], r[1]) for r in cases.rows()]
+    table += [(200 + i, "".join(rng.choice(pool) for _ in range(rng.choice([3, 50, 2000])))) for i in range(40)]
+    table += [(300, "<|endoftext|>"), (301, " a<|endoftext|> <|endoftext|>\n\n b"), (302, "don't  stop \n\n  'll x\u00a0\u00a0y"), (303, "w" * 5000), (304, "- " * 3000), (304, "- " * 3000)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").withColumn("n_tokens", F.lit("x")).withColumn("ROW", F.lit(1))
+    found = tokens.op12_token_counts(spark, write(tmp_path / "a", frame))
+    assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(tuple, found.collect()), key=str) == counted(table)
+    assert tokens.op12_token_counts(spark, write(tmp_path / "b", empty)).count() == 0
+    kept, new = tokens.token_counts(frame, tokens.public_path(), keep=["doc_id", "n_tokens", "ROW"])
+    assert len({c.lower() for c in kept.columns}) == 6 and sorted((r.doc_id or 0, r[new["n_tokens"]]) for r in kept.collect()) == sorted((r[0] or 0, r[2]) for r in counted(table))
+
+
+@pytest.mark.parametrize("sample_docs, shipped", [(1, 10), (50, 200), (4096, 1 << 16)])
+def test_token_counts_by_join_and_by_table(spark, corpus, sample_docs, shipped):
+    found, _ = tokens.token_counts(spark.read.parquet(f"{FOLDER}/documents.parquet"), tokens.public_path(), sample_docs=sample_docs, shipped=shipped)
+    assert sorted(map(tuple, found.collect()), key=str) == counted([(i, t) for i, t, _ in corpus])
+
+
+def test_splitter_agrees_with_the_library():
+    """On every code point that is not handed to the library, between letters, digits, marks and spaces."""
+    split = tokens.splitter(tokens.public_path())
+    for lo in range(0, 0x20000, 512):
+        text = "".join(f"a{c}b 1{c}2 !{c}? {c} {c}{c}x" for c in map(chr, range(lo, lo + 512)) if not "\ud800" <= c <= "\udfff" and not split.unsure(c))
+        assert split.split(text) == [text[a:b] for _, (a, b) in split.by_library(text)]
+
+
+def periodic(words: list) -> list[tuple[int, int, int]]:
+    """Every run by its period, the plain way."""
+    found = {}
+    for q in range(1, len(words) // 3 + 1):
+        same = [words[i] == words[i + q] for i in range(len(words) - q)] + [False]
+        start = None
+        for i, s in enumerate(same):
+            if s and start is None:
+                start = i
+            elif not s and start is not None:
+                if i - start + q >= max(24, 3 * q):
+                    found.setdefault((start, i - start + q), q)
+                start = None
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def test_op13_on_hard_cases(spark, docs, empty, tmp_path):
+    table = [(r[0], r[1]) for r in cases.rows() if r[1] is None or len(r[1]) < 10000]
+    table += [(i, " ".join(f"w{(i * k * k) % 97}" for k in range(i))) for i in range(300, 380)]
+    table += [(400, "a b c " * 9), (401, "x " + "a b " * 11 + "a b"), (402, "- " * 200 + "z " + "- " * 23), (403, "a\u00a0b " * 30), (None, "a b " * 20), (404, "a b " * 20), (404, "a b " * 20)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("runs", F.lit(1))
+    found = runs.op13_periodic_runs(spark, write(tmp_path / "a", frame))
+    want = []
+    for doc_id, text in table:
+        words = re.findall(cases.WORD, text or "")
+        n, h = len(words), zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+        if h % 10 == 0 and n:
+            a, g = h // 10 % n, h // 10
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+        mine = periodic(words)
+        gone = {i for s, m, q in mine for i in range(s + q, s + m)}
+        best = min(mine, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+        digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        want.append((doc_id, len(mine), *best, best[1] and 1000 * best[1] // best[2], digest("".join("%d,%d,%d\n" % r for r in mine)), digest(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    assert found.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and sum(w[1] for w in want) > 10
+    assert runs.op13_periodic_runs(spark, write(tmp_path / "b", empty)).count() == 0
+    rows, new = runs.periodic_runs(frame)
+    assert rows.columns[: len(frame.columns)] == frame.columns and len({c.lower() for c in rows.columns}) == len(rows.columns)
+    assert next(r for r in rows.collect() if r["doc_id"] == 400)[new["collapsed"]] == "a b c"
+
+
+@pytest.mark.parametrize("most", [1, 5, runs.MOST_DISTANCES])
+def test_runs_of_random_texts(monkeypatch, most):
+    monkeypatch.setattr(runs, "MOST_DISTANCES", most)
+    rng = random.Random(most)
+    for _ in range(60):
+        texts = []
+        for _ in range(rng.randint(1, 5)):
+            k, n, words = rng.choice([1, 2, 3, 30]), rng.choice([0, 23, 24, 100, 300]), []
+            while len(words) < n:
+                part = [rng.randrange(k) for _ in range(rng.randint(1, 12))]
+                words += rng.choice([part, part * rng.randint(2, 12), words[-30:] or part])
+            texts.append([b"%d" % w for w in words])
+        assert runs.runs_of(texts) == [periodic(t) for t in texts]
+
+
+def test_grammar_gives_back_the_texts():
+    rng = random.Random(3)
+    texts = [[rng.randrange(5) for _ in range(rng.randint(1, 200))] for _ in range(20)]
+    ids, doc = np.array(sum(texts, [])), np.repeat(np.arange(20), [len(t) for t in texts])
+    grammar = runs.build(ids, doc, 5)
+
+    def spell(s: int) -> list[int]:
+        return [s] if s < 5 else spell(grammar.left[s]) + spell(grammar.right[s])
+
+    assert [spell(s) for s in grammar.top] == texts and len(grammar.left) < len(ids)
+    assert all(ids[p : p + n].tolist() == spell(s) for s, (p, n) in enumerate(zip(grammar.place, grammar.size, strict=True)) if s in set(ids.tolist()) or s >= 5)
