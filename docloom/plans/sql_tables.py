@@ -76,3 +76,35 @@ bm AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.
 
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
+
+SPAN_TABLES = """st AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS table_no, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_idx,
+    500 + o_orderkey % 2 * 20 + CASE WHEN o_orderkey % 11 = 0 THEN 200 ELSE 0 END AS width,
+    o_orderkey % 4 = 0 AS caption, o_orderkey % 8 = 0 AS continued, o_orderkey % 9 = 0 AS footnote
+  FROM orders), li AS (
+  SELECT o_custkey AS doc_id, l_orderkey AS table_no, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS row_no,
+    min(l_linenumber) AS no, min(l_partkey) AS part, min(l_suppkey) AS supp, min(l_returnflag) AS flag, min(CAST(trunc(l_quantity) AS BIGINT)) AS qty
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3), sc AS (
+  SELECT doc_id, table_no, row_no, unnest([0, 1, 2, 3]) AS col_no, unnest([1, 1, 1 + supp % 2, 1]) AS colspan,
+    unnest([CASE WHEN part % 4 = 0 THEN 2 ELSE 1 END, CASE WHEN supp % 3 = 0 THEN 2 ELSE 1 END, 1, 1]) AS rowspan,
+    unnest([CAST(no AS VARCHAR), CASE WHEN supp % 3 = 0 THEN '' ELSE flag END, CAST(part AS VARCHAR), CAST(qty AS VARCHAR)]) AS text FROM li
+  UNION ALL SELECT doc_id, table_no, row_no, 4, 1, 1, 'x' FROM li WHERE table_no % 3 = 0
+  UNION ALL SELECT doc_id, table_no, 0, unnest([0, 1, 2, 3]), unnest([1, 1, CASE WHEN table_no % 2 = 0 THEN 2 ELSE 1 END, 1]),
+    unnest([CASE WHEN table_no % 7 = 0 THEN 2 ELSE 1 END, 1, 1, 1]), unnest(['no', 'flag', 'part', CASE WHEN table_no % 2 = 1 THEN '\uff51\uff54\uff59' ELSE 'qty' END]) FROM st WHERE table_no % 5 <> 4
+  UNION ALL SELECT doc_id, table_no, 0, 4, 1, 1, 'note' FROM st WHERE table_no % 5 <> 4 AND table_no % 3 = 0)"""
+
+#: The grid cell by cell: ``held`` lists columns taken (a million times the column) up to a row.
+SPAN_GRID = SPAN_TABLES + """, sn AS (
+  SELECT *, row_number() OVER (PARTITION BY table_no ORDER BY row_no, col_no) AS k, dense_rank() OVER (PARTITION BY table_no ORDER BY row_no) - 1 AS r FROM sc), sg AS (
+  SELECT table_no, k, r, CAST(0 AS BIGINT) AS start, CAST(colspan AS BIGINT) AS colspan, list_transform(range(0, colspan), lambda c: c * 1000000 + r + rowspan - 1) AS held FROM sn WHERE k = 1
+  UNION ALL
+  SELECT table_no, k, r, start, colspan, list_concat(live, list_transform(range(start, start + colspan), lambda c: c * 1000000 + r + rowspan - 1)) FROM (
+    SELECT *, list_min(list_filter(range(cur, cur + len(live) + 1), lambda c: NOT list_contains(list_transform(live, lambda h: h // 1000000), c))) AS start FROM (
+      SELECT n.table_no, n.k, n.r, CAST(n.colspan AS BIGINT) AS colspan, n.rowspan, list_filter(g.held, lambda h: h % 1000000 >= n.r) AS live,
+        CASE WHEN n.r = g.r THEN g.start + g.colspan ELSE 0 END AS cur
+      FROM sg g JOIN sn n ON n.table_no = g.table_no AND n.k = g.k + 1))), placed AS (
+  SELECT n.*, g.start FROM sn n JOIN sg g USING (table_no, k)), shown AS (
+  SELECT table_no, rr, c, max(k) AS k FROM (
+    SELECT table_no, rr, k, unnest(range(start, start + colspan)) AS c FROM (SELECT *, unnest(range(r, r + rowspan)) AS rr FROM placed)) GROUP BY 1, 2, 3), rows_ AS (
+  SELECT table_no, rr AS r, CAST(max(c) + 1 AS INTEGER) AS effective_cols, CAST(sum(CASE WHEN pc = c - 1 AND pk = k THEN 0 ELSE 1 END) AS INTEGER) AS pieces
+  FROM (SELECT *, lag(c) OVER w AS pc, lag(k) OVER w AS pk FROM shown WINDOW w AS (PARTITION BY table_no, rr ORDER BY c)) GROUP BY 1, 2)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import position_bucket, scan
 
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "lineitem": "l_orderkey"}
 
@@ -131,6 +132,38 @@ class Corpus:
             .agg(F.min("l_quantity").alias("value"))
         )
 
+    def spanned_tables(self) -> DataFrame:
+        """Tables with spans, one per order and page: a customer's orders are its document."""
+        key = F.col("o_orderkey")
+        numbered = scan(self.table("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], position_bucket("o_orderkey", 1 << 20), sums={"page": F.lit(1)})
+        return numbered.select(
+            F.col("o_custkey").alias("doc_id"), key.alias("table_no"), F.col("page").cast("long").alias("page_idx"), F.lit(0).alias("x0"),
+            (500 + key % 2 * 20 + F.when(key % 11 == 0, 200).otherwise(0)).alias("x1"), F.lit(True).alias("first_on_page"), F.lit(True).alias("last_on_page"),
+            (key % 4 == 0).cast("int").alias("captions"), (key % 8 == 0).alias("continued"), (key % 9 == 0).cast("int").alias("footnotes"),
+            F.when(key % 6 == 1, F.array(*[F.lit(1)] * 6)).when(key % 3 == 1, F.array(*map(F.lit, (1, 0, 1, 1)))).alias("flags"),
+        )
+
+    def spanned_cells(self) -> DataFrame:
+        """Cells of ``spanned_tables``: a header row for most, then a row per different lineitem, with row and column spans."""
+        cell = lambda n, text, colspan=F.lit(1), rowspan=F.lit(1): F.struct(
+            F.lit(n).cast("long").alias("col_no"), colspan.cast("int").alias("colspan"), rowspan.cast("int").alias("rowspan"), text.cast("string").alias("text"))
+        key, two = F.col("table_no"), lambda test: F.when(test, 2).otherwise(1)
+        last = lambda text: F.when(key % 3 == 0, F.array(cell(4, F.lit(text)))).otherwise(F.array().cast("array<struct<col_no:long,colspan:int,rowspan:int,text:string>>"))
+        orders = self.table("orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("table_no"))
+        wide = "".join(chr(ord(c) + 0xFEE0) for c in "qty")
+        head = F.array(cell(0, F.lit("no"), rowspan=two(key % 7 == 0)), cell(1, F.lit("flag")), cell(2, F.lit("part"), two(key % 2 == 0)), cell(3, F.when(key % 2 == 1, wide).otherwise("qty")))
+        heads = orders.where(key % 5 != 4).select("doc_id", "table_no", F.lit(0).cast("long").alias("row_no"), F.explode(F.concat(head, last("note"))).alias("c"))
+        place = F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey") * 10**5 + F.col("l_suppkey")
+        items = self.table("lineitem").groupBy(F.col("l_orderkey").alias("table_no"), place.alias("row_no")).agg(
+            F.min("l_linenumber").alias("no"), F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"), F.min(F.col("l_quantity").cast("long")).alias("qty"))
+        blank = F.col("supp") % 3 == 0
+        body = F.array(
+            cell(0, F.col("no"), rowspan=two(F.col("part") % 4 == 0)), cell(1, F.when(blank, "").otherwise(F.col("flag")), rowspan=two(blank)),
+            cell(2, F.col("part"), 1 + F.col("supp") % 2), cell(3, F.col("qty")),
+        )
+        rows = items.join(orders, "table_no").select("doc_id", "table_no", "row_no", F.explode(F.concat(body, last("x"))).alias("c"))
+        return heads.unionByName(rows).select("doc_id", "table_no", "row_no", "c.*")
+
     def queries(self) -> DataFrame:
         """Search questions: the whole text of each benchmark passage, in lower case."""
         words = F.split(F.trim("text"), r"[ \t\n\r]+")
