@@ -263,41 +263,6 @@ def line_spans(c):
 
 
 # ---------------------------------------------------------------- paragraphs
-PARA = """, m AS (SELECT *, last_value(CASE WHEN type IN ('text') THEN {{'o': true, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': text, 'p': page_idx}} WHEN type NOT IN ('image', 'table', 'chart', 'code') THEN {{'o': false, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': text, 'p': page_idx}} END IGNORE NULLS)
-   OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b2),
-j AS (SELECT *, coalesce(type = 'text' AND p.o AND NOT regexp_matches(rtrim(p.t, ' '), '[.!?。！？)）"”:：;；]$') AND NOT regexp_matches(text, '^\\s*[\\p{{Nd}}\\p{{Lu}}]') AND least(x1 - x0, p.x1 - p.x0) > 0
-   AND abs((x1 - x0) - (p.x1 - p.x0)) < least(x1 - x0, p.x1 - p.x0) AND abs(x0 - p.x0) < (y1 - y0) * 5 AND (y0 < p.y1 OR page_idx > p.p), false) AS joined FROM m)"""
-B2 = """b2 AS (SELECT * REPLACE (CASE WHEN line_no % 3 = 0 THEN lower(text) ELSE text END AS text, y0 - CASE WHEN line_no % 2 = 0 THEN 10 ELSE 0 END AS y0) FROM blocks)"""
-
-
-def loose_blocks(c):
-    """Blocks with lower-case openings and overlapping rows, so that some continue."""
-    n = F.col("line_no")
-    return c.blocks().withColumn("text", F.when(n % 3 == 0, F.lower(F.regexp_replace("text", r"[.]\s*$", ""))).otherwise(F.regexp_replace("text", r"[.]\s*$", ""))).withColumn(
-        "y0", F.col("y0") - F.when(n % 2 == 0, 10).otherwise(0)
-    )
-
-
-@query("W14", with_(S.BLOCKS, B2.replace("THEN lower(text) ELSE text", "THEN lower(regexp_replace(text, '[.]\\s*$', '')) ELSE regexp_replace(text, '[.]\\s*$', '')")) + PARA.format() + """
-SELECT doc_id, line_no, joined, CAST(sum((type = 'text' AND NOT joined)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS paragraph FROM j""")
-def para_merge(c):
-    """Paragraph of every block."""
-    return L.merge_paragraphs(loose_blocks(c)).select("doc_id", "line_no", "joined", "paragraph")
-
-
-@query("W14 C4 S9", None)
-def paragraph_texts(c):
-    """Joined text of every paragraph."""
-    return L.paragraph_text(L.merge_paragraphs(loose_blocks(c)))
-
-
-@query("W15", None)
-def vertical_para_merge(c):
-    """Paragraphs of vertical text."""
-    turned = loose_blocks(c).select("doc_id", "page_idx", "line_no", "type", "text", F.col("y0").alias("x0"), F.col("x0").alias("y0"), F.col("y1").alias("x1"), F.col("x1").alias("y1"))
-    return L.merge_paragraphs(turned, vertical=True).select("doc_id", "line_no", "joined", "paragraph")
-
-
 @query("W16", with_(S.BLOCKS) + """, k AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 5 < 3 THEN 'list' ELSE 'text' END AS type FROM blocks), p AS (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY line_no) AS pt FROM k),
 r AS (SELECT *, CAST(sum((type = 'list' AND coalesce(pt, '') <> 'list')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS run FROM p) SELECT doc_id, line_no, run FROM r WHERE type = 'list'""")
 def list_runs(c):

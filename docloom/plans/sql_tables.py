@@ -108,3 +108,10 @@ SPAN_GRID = SPAN_TABLES + """, sn AS (
     SELECT table_no, rr, k, unnest(range(start, start + colspan)) AS c FROM (SELECT *, unnest(range(r, r + rowspan)) AS rr FROM placed)) GROUP BY 1, 2, 3), rows_ AS (
   SELECT table_no, rr AS r, CAST(max(c) + 1 AS INTEGER) AS effective_cols, CAST(sum(CASE WHEN pc = c - 1 AND pk = k THEN 0 ELSE 1 END) AS INTEGER) AS pieces
   FROM (SELECT *, lag(c) OVER w AS pc, lag(k) OVER w AS pk FROM shown WINDOW w AS (PARTITION BY table_no, rr ORDER BY c)) GROUP BY 1, 2)"""
+
+BLOCK_LINES = BLOCKS + """, block_lines AS (
+  SELECT doc_id, line_no // 7 * 3 + CASE WHEN line_no % 7 < 4 THEN 0 WHEN line_no % 7 = 4 THEN 1 ELSE 2 END AS block_no, page_idx, line_no, 50 + line_no % 3 * 3 AS x0, line_no * 20 % 50 AS y0,
+    least(50 + line_no % 3 * 3 + 5 * length(text), 250) AS x1, line_no * 20 % 50 + 16 AS y1, CASE WHEN line_no % 4 <> 1 THEN lower(e) ELSE e END AS text
+  FROM (SELECT *, CASE WHEN line_no % 3 <> 0 THEN regexp_replace(text, '[.]\\s*$', '') ELSE text END AS e FROM blocks)), line_blocks AS (
+  SELECT doc_id, block_no, min(page_idx) AS page_idx, CASE WHEN block_no % 11 = 7 THEN 'paragraph_title' WHEN block_no % 17 = 5 THEN 'interline_equation' WHEN block_no % 7 = 3 THEN 'table' WHEN block_no % 13 = 6 THEN 'index'
+    WHEN doc_id % 9 = 4 THEN 'vertical_text' ELSE 'text' END AS type, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM block_lines GROUP BY 1, 2)"""

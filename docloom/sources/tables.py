@@ -72,6 +72,27 @@ class Corpus:
             )
         )
 
+    def block_lines(self) -> DataFrame:
+        """Lines of blocks of four, one and two lines in turn; edges and openings vary so that some blocks go on."""
+        n = F.col("line_no")
+        x0, y0 = 50 + n % 3 * 3, n * 20 % 50
+        open_end = F.when(n % 3 != 0, F.regexp_replace("text", r"[.]\s*$", "")).otherwise(F.col("text"))
+        return self.blocks().select(
+            "doc_id", (F.floor(n / 7) * 3 + F.when(n % 7 < 4, 0).when(n % 7 == 4, 1).otherwise(2)).cast("long").alias("block_no"), "page_idx", "line_no",
+            x0.cast("long").alias("x0"), y0.cast("long").alias("y0"), F.least(x0 + 5 * F.length("text"), F.lit(250)).cast("long").alias("x1"), (y0 + 16).cast("long").alias("y1"),
+            F.when(n % 4 != 1, F.lower(open_end)).otherwise(open_end).alias("text"),
+        )
+
+    def line_blocks(self) -> DataFrame:
+        """The blocks of ``block_lines``, most of them text."""
+        b = F.col("block_no")
+        kind = (
+            F.when(b % 11 == 7, "paragraph_title").when(b % 17 == 5, "interline_equation").when(b % 7 == 3, "table").when(b % 13 == 6, "index")
+            .when(F.pmod("doc_id", F.lit(9)) == 4, "vertical_text").otherwise("text")
+        )
+        frames = self.block_lines().groupBy("doc_id", "block_no").agg(F.min("page_idx").alias("page_idx"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+        return frames.select("doc_id", "block_no", "page_idx", kind.alias("type"), "x0", "y0", "x1", "y1")
+
     def spans(self) -> DataFrame:
         """Words of a block with running x positions; a block is one line of one document."""
         words = self.blocks().select(
