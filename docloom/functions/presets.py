@@ -180,3 +180,7 @@ CONTINUATION_END_MARKERS = [
     "(续)", "(续表)", "(续上表)", "(continued)", "(cont.)", "(cont’d)", "(…continued)", "续表",
 ]
 FURNITURE_TYPES = ["header", "footer", "page_number", "aside_text", "page_footnote"]
+
+# --- fixed values: marks that may end a line, marks that may open one ------------------------
+LINE_STOPS = [".", "!", "?", "。", "！", "？", ")", "）", '"', "”", ":", "：", ";", "；", "]", "】", "}", ">", "》", "、", ",", "，", "-", "—", "–"]
+LINE_STARTS = ["(", "（", '"', "“", "【", "{", "《", "<", "「", "『", "["]

@@ -89,8 +89,9 @@ def filter_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, drop_inline
     """Drop tiny boxes and, of boxes overlapping by 0.7 of the smaller, the smaller one.
 
     A picture, table, seal or chart may overlap another kind of visual box; inline formulas
-    go at an overlap of 0.5. Decisions follow the box order, so they are made per connected
-    group of overlapping boxes, on the pairs the spatial join found.
+    go at an overlap of 0.5. What a pair would drop is known from the pair alone; a pair counts
+    only while both its boxes are there, in the order of the boxes. So the pairs of a connected
+    group are folded in that order, in the JVM.
     """
     usable = boxes.where(F.col("label") != "reference")
     inline = F.col("label") == "inline_formula"
@@ -98,75 +99,55 @@ def filter_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, drop_inline
     # A tiny box can still push out an earlier one, but not a later one.
     usable = usable.withColumn("_small", B.is_small(B.box(), min_side) & ~keep_small)
     pairs = overlapping_pairs(usable.select(*keys, box_id, "label", "_small", *COORDS), keys, box_id, cell).where("NOT l__small")
-    ratio = B.overlap_min_area(B.box("l_"), B.box("r_"))
-    pairs = pairs.withColumn("_r", ratio).where("_r > 0.5")
-    edges = pairs.select(*keys, F.col(f"l_{box_id}").alias("a"), F.col(f"r_{box_id}").alias("b"))
-    nodes = edges.select(*keys, F.explode(F.array("a", "b")).alias("node"))
-    groups = connected_components(nodes, edges, keys)
-    work = pairs.join(groups.withColumnRenamed("node", f"l_{box_id}"), [*keys, f"l_{box_id}"]).select(
-        *keys, "component", F.col(f"l_{box_id}").alias("a"), F.col(f"r_{box_id}").alias("b"), "_r",
-        F.col("l_label").alias("la"), F.col("r_label").alias("lb"), B.box("l_").area.alias("aa"), B.box("r_").area.alias("ab"),
-    )
-    schema = T.StructType([*[work.schema[k] for k in (*keys, "component")], T.StructField("dropped", work.schema["a"].dataType)])
-
-    def decide(g: dict) -> dict:
-        gone: set = set()
-        for a, b, ratio, la, lb, aa, ab in zip(g["a"], g["b"], g["_r"], g["la"], g["lb"], g["aa"], g["ab"]):
-            if a in gone or b in gone:
-                continue
-            formulas = [i for i, lab in ((a, la), (b, lb)) if lab == "inline_formula"]
-            kinds = {la, lb}
-            visual = bool(kinds & VISUAL_LABELS) and len(kinds) > 1
-            if formulas:
-                gone.update(formulas if drop_inline else ())
-            elif ratio > 0.7 and not (visual and ("table" not in kinds or kinds <= VISUAL_LABELS)):
-                gone.add(b if aa >= ab else a)
-        return {"dropped": np.array(sorted(gone), dtype=g["a"].dtype)}
-
-    lost = map_groups(work, [*keys, "component"], ["a", "b"], decide, schema).select(*keys, F.col("dropped").alias(box_id))
+    a, b = F.col(f"l_{box_id}"), F.col(f"r_{box_id}")
+    share = B.overlap_min_area(B.box("l_"), B.box("r_"))
+    formula_a, formula_b = F.col("l_label") == "inline_formula", F.col("r_label") == "inline_formula"
+    visual = lambda c: F.col(c).isin(sorted(VISUAL_LABELS))
+    table = (F.col("l_label") == "table") | (F.col("r_label") == "table")
+    spared = (F.col("l_label") != F.col("r_label")) & (visual("l_label") | visual("r_label")) & (~table | (visual("l_label") & visual("r_label")))
+    formulas = F.filter(F.array(F.when(formula_a, a), F.when(formula_b, b)), lambda x: x.isNotNull())
+    smaller = F.array(F.when(B.box("l_").area >= B.box("r_").area, b).otherwise(a))
+    drops = F.when((formula_a | formula_b) & (share > 0.5), formulas if drop_inline else None).when(~formula_a & ~formula_b & (share > 0.7) & ~spared, smaller)
+    telling = pairs.select(*keys, a.alias("a"), b.alias("b"), drops.alias("drops")).where(F.col("drops").isNotNull())
+    groups = connected_components(telling.select(*keys, F.explode(F.array("a", "b")).alias("node")), telling, keys)
+    work = telling.join(groups.withColumnRenamed("node", "a"), [*keys, "a"])
+    gone = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("a", "b", "drops"))), F.filter(F.array(F.first("a")), lambda x: x.isNull()),
+        lambda gone, p: F.when(F.array_contains(gone, p["a"]) | F.array_contains(gone, p["b"]), gone).otherwise(F.concat(gone, p["drops"])),
+    )
+    lost = work.groupBy(*keys, "component").agg(gone.alias("gone")).select(*keys, F.explode("gone").alias(box_id)).distinct()
     return usable.where("NOT _small").drop("_small").join(lost, [*keys, box_id], "left_anti")
 
 
 def merge_nested_boxes(boxes: DataFrame, keys: Sequence[str], box_id: str, threshold: float = 0.7, cell: float = 64.0, max_rounds: int = 50) -> DataFrame:
     """Unite boxes overlapping by the threshold of the smaller one until none do.
 
-    The larger box (then the better score) keeps its id and takes the union and the best
-    score. Each round settles the connected groups; unions may meet new boxes, so it repeats.
+    Of two boxes the larger (then the better score, then the lower id) keeps its id and takes the
+    union, on whole numbers, and the best score. A box that lies in one that lies in a third
+    lies in the union of those two just as much, so in each round the smaller box of every pair points
+    to a larger one, pointers are followed to the largest, and each box there takes in all that
+    reach it. A grown box may meet new ones, so it repeats; a chain closes in one round.
     """
     state = cut_lineage(boxes.select(*keys, box_id, "score", *[F.col(c).cast("double").alias(c) for c in COORDS]))
-    fields = [box_id, "score", *COORDS]
-    schema = T.StructType([*[state.schema[k] for k in keys], T.StructField("component", state.schema[box_id].dataType), *[state.schema[c] for c in fields]])
-
-    def unite(g: dict) -> dict:
-        rows = [dict(zip(fields, values)) for values in zip(*(g[c] for c in fields))]
-        at = 0
-        while at < len(rows):
-            a = rows[at]
-            for b in rows[at + 1:]:
-                w = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-                h = min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
-                area_a, area_b = ((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in (a, b))
-                if w >= 0 and h >= 0 and min(area_a, area_b) > 0 and w * h / min(area_a, area_b) >= threshold:
-                    keep, drop = (a, b) if (area_a, a["score"]) >= (area_b, b["score"]) else (b, a)
-                    for c, pick, side in (("x0", min, np.floor), ("y0", min, np.floor), ("x1", max, np.ceil), ("y1", max, np.ceil)):
-                        keep[c] = float(side(pick(a[c], b[c])))
-                    keep["score"] = round(max(a["score"], b["score"]), 4)
-                    rows = [r for r in rows if r is not drop]
-                    at = -1  # every pair is open again
-                    break
-            at += 1
-        return {c: np.array([r[c] for r in rows], dtype=g[c].dtype) for c in fields}
-
     for _ in range(max_rounds):
         pairs = overlapping_pairs(state, keys, box_id, cell).where(B.overlap_min_area(B.box("l_"), B.box("r_")) >= threshold)
-        edges = cut_lineage(pairs.select(*keys, F.col(f"l_{box_id}").alias("a"), F.col(f"r_{box_id}").alias("b")))
-        if edges.isEmpty():
+        rank = lambda p: F.struct(B.box(p).area.alias("area"), F.col(f"{p}score").alias("score"), (-F.col(f"{p}{box_id}")).alias("order"), F.col(f"{p}{box_id}").alias("id"))
+        low, high = F.least(rank("l_"), rank("r_")), F.greatest(rank("l_"), rank("r_"))
+        into = cut_lineage(pairs.select(*keys, low["id"].alias(box_id), high.alias("into")).groupBy(*keys, box_id).agg(F.max("into").alias("into")).select(*keys, box_id, F.col("into.id").alias("into")))
+        if into.isEmpty():
             return state
-        groups = connected_components(edges.select(*keys, F.explode(F.array("a", "b")).alias("node")), edges, keys).withColumnRenamed("node", box_id)
-        alone = state.join(groups, [*keys, box_id], "left_anti")
-        grouped = state.join(groups, [*keys, box_id])
-        united = map_groups(grouped, [*keys, "component"], [box_id], unite, schema).drop("component")
-        state = cut_lineage(alone.select(united.columns).unionByName(united))
+        while True:  # each round halves the way to the largest box
+            ahead = into.select(*keys, F.col(box_id).alias("into"), F.col("into").alias("_next"))
+            into = cut_lineage(into.join(ahead, [*keys, "into"], "left").select(*keys, box_id, F.coalesce("_next", "into").alias("into"), F.col("_next").isNotNull().alias("_moved")))
+            if into.where("_moved").isEmpty():
+                break
+        placed = state.join(into.drop("_moved"), [*keys, box_id], "left").withColumn("_root", F.coalesce("into", box_id))
+        one = F.count("*") == 1
+        side = lambda c, pick, whole: F.when(one, F.first(c)).otherwise(whole(pick(c)).cast("double")).alias(c)
+        state = cut_lineage(placed.groupBy(*keys, F.col("_root").alias(box_id)).agg(
+            F.when(one, F.first("score")).otherwise(F.round(F.max("score"), 4)).alias("score"),
+            side("x0", F.min, F.floor), side("y0", F.min, F.floor), side("x1", F.max, F.ceil), side("y1", F.max, F.ceil),
+        ))
     raise RuntimeError(f"boxes still merging after {max_rounds} rounds")
 
 
@@ -221,9 +202,7 @@ def absorb_members(members: DataFrame, composites: DataFrame, keys: Sequence[str
     return best.select(*keys, F.col(f"l_{box_id}").alias("member"), F.col(f"r_{box_id}").alias("parent"), B.relative_box(l, r).alias("relative"))
 
 
-# --- fixed values: characters that end or open a line, allowed height difference ------------
-LINE_STOPS = ".!?。！？)）\"”:：;；]】}>》、,，-—–"
-LINE_STARTS = "(（\"“【{《<「『["
+# --- fixed value: allowed distance of centre lines ------------------------------------------
 CENTER_RATIO = 0.33
 
 
@@ -232,8 +211,8 @@ def char_in_span(char: B.Box, span: B.Box, value: Column) -> Column:
     height = span.height
     level = (char.center_y > span.y0) & (char.center_y < span.y1) & (F.abs(char.center_y - span.center_y) < height * CENTER_RATIO)
     inside = (char.center_x > span.x0) & (char.center_x < span.x1)
-    stop = value.isin(list(LINE_STOPS)) & (char.x0 > span.x1 - height) & (char.x0 < span.x1) & (char.center_x > span.x0)
-    start = ~value.isin(list(LINE_STOPS)) & value.isin(list(LINE_STARTS)) & (char.x1 > span.x0) & (char.x1 < span.x0 + height) & (char.center_x < span.x1)
+    stop = value.isin(P.LINE_STOPS) & (char.x0 > span.x1 - height) & (char.x0 < span.x1) & (char.center_x > span.x0)
+    start = ~value.isin(P.LINE_STOPS) & value.isin(P.LINE_STARTS) & (char.x1 > span.x0) & (char.x1 < span.x0 + height) & (char.center_x < span.x1)
     return level & (inside | stop | start)
 
 

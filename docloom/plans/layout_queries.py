@@ -57,7 +57,13 @@ def containment_dedup(c):
     return L.drop_contained(c.boxes(), PAGE).select("page", "box_id")
 
 
-@query("J18", None)
+@query("J18", "WITH RECURSIVE " + S.BOXES + f""", hit AS (
+  SELECT b.page, b.box_id, list(a.box_id) AS over FROM boxes a JOIN boxes b ON a.page = b.page AND a.box_id <> b.box_id AND {TOUCH} AND (a.score > b.score OR a.score = b.score AND a.box_id < b.box_id)
+  WHERE {IX} * {IY} / ({AA} + {AB} - {IX} * {IY}) > 0.6 GROUP BY 1, 2), rk AS (
+  SELECT page, box_id, coalesce(over, []) AS over, row_number() OVER (PARTITION BY page ORDER BY score DESC, box_id) AS k FROM boxes LEFT JOIN hit USING (page, box_id)), f AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM boxes GROUP BY 1
+  UNION ALL SELECT f.page, r.k, CASE WHEN list_has_any(f.kept, r.over) THEN f.kept ELSE list_append(f.kept, r.box_id) END FROM f JOIN rk r ON r.page = f.page AND r.k = f.k + 1)
+SELECT page, unnest(arg_max(kept, k)) AS box_id FROM f GROUP BY 1""")
 def nms_boxes(c):
     """Boxes left after greedy suppression."""
     return L.suppress_boxes(c.boxes(), PAGE, "box_id", threshold=0.6).select("page", "box_id")
@@ -68,7 +74,19 @@ def labelled(c):
     return c.boxes().withColumn("label", kind)
 
 
-@query("J19 F12", None)
+VISUAL = "('image', 'table', 'seal', 'chart')"
+
+
+@query("J19 F12", "WITH RECURSIVE " + S.BOXES + """, lb AS (SELECT page, box_id, x0, y0, x1, y1, (['text', 'table', 'image', 'inline_formula', 'chart'])[CAST(box_id % 5 AS INTEGER) + 1] AS label, x1 - x0 < 11 OR y1 - y0 < 11 AS small FROM boxes)""" + f""", pr AS (
+  SELECT a.page, a.box_id AS a, b.box_id AS b, {IX} * {IY} / least({AA}, {AB}) AS r, a.label = 'inline_formula' AS fa, b.label = 'inline_formula' AS fb, {AA} >= {AB} AS bigger,
+    a.label <> b.label AND (a.label IN {VISUAL} OR b.label IN {VISUAL}) AND (NOT (a.label = 'table' OR b.label = 'table') OR a.label IN {VISUAL} AND b.label IN {VISUAL}) AS spared
+  FROM lb a JOIN lb b ON a.page = b.page AND a.box_id < b.box_id AND {TOUCH} WHERE NOT a.small), dr AS (
+  SELECT page, a, b, CASE WHEN fa AND fb THEN [a, b] WHEN fa THEN [a] WHEN fb THEN [b] WHEN bigger THEN [b] ELSE [a] END AS drops, row_number() OVER (PARTITION BY page ORDER BY a, b) AS k
+  FROM pr WHERE CASE WHEN fa OR fb THEN r > 0.5 ELSE r > 0.7 AND NOT spared END), f AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM lb GROUP BY 1
+  UNION ALL SELECT f.page, d.k, CASE WHEN list_contains(f.gone, d.a) OR list_contains(f.gone, d.b) THEN f.gone ELSE list_concat(f.gone, d.drops) END FROM f JOIN dr d ON d.page = f.page AND d.k = f.k + 1), l AS (
+  SELECT page, arg_max(gone, k) AS gone FROM f GROUP BY 1)
+SELECT page, box_id, label FROM lb JOIN l USING (page) WHERE NOT small AND NOT list_contains(gone, box_id)""")
 def filtered_boxes(c):
     """Boxes left after the overlap rules."""
     return L.filter_boxes(labelled(c), PAGE, "box_id", min_side=11.0).select("page", "box_id", "label")

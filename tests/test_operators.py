@@ -132,6 +132,19 @@ def test_filtered_and_united_boxes(spark):
     assert pairs.where(layout.B.overlap_min_area(layout.B.box("l_"), layout.B.box("r_")) >= 0.7).count() == 0
 
 
+def test_chain_of_nested_boxes_becomes_one(spark):
+    """A thousand boxes, each in the next larger one, and one apart that the union does not reach."""
+    chain = [(1, i, 0.5, 0.0, 0.0, 10.0 + i, 10.0 + i) for i in range(1000)] + [(1, 5000, 0.9, 2000.0, 0.0, 2010.0, 10.0)]
+    df = spark.createDataFrame(chain, "page long, box_id long, score double, x0 double, y0 double, x1 double, y1 double")
+    assert rows(layout.merge_nested_boxes(df, ["page"], "box_id", 0.7, 4096.0), "box_id") == [(1, 999, 0.5, 0.0, 0.0, 1009.0, 1009.0), (1, 5000, 0.9, 2000.0, 0.0, 2010.0, 10.0)]
+
+
+def test_united_box_meets_a_further_one(spark):
+    boxes_ = [(1, 1, 0.123456, 0.5, 0.0, 10.0, 10.0), (1, 2, 0.2, 1.0, 0.0, 12.0, 12.0), (1, 3, 0.1, 10.0, 9.0, 13.0, 11.0), (2, 1, 0.5, 0.5, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(boxes_, "page long, box_id long, score double, x0 double, y0 double, x1 double, y1 double")
+    assert rows(layout.merge_nested_boxes(df, ["page"], "box_id", 0.6, 64.0), "page", "box_id") == [(1, 2, 0.2, 0.0, 0.0, 13.0, 12.0), (2, 1, 0.5, 0.5, 0.0, 10.0, 10.0)]
+
+
 def test_reading_order_ignores_row_order(spark):
     df, _ = boxes(spark, 30)
     first = rows(layout.xycut_order(df, ["page"], "box_id"), "page", "place")
