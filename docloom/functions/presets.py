@@ -177,8 +177,9 @@ LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ"
 CONTROL_REPLACEMENTS = [("\r\n", ""), ("\u0002", "-")]
 LINE_END_HYPHEN_PATTERN = "[A-Za-z]+[-­‐‑⁃]\\s*$"
 CONTINUATION_END_MARKERS = [
-    "(续)", "(续表)", "(续上表)", "(continued)", "(cont.)", "(cont’d)", "(…continued)", "续表",
+    "(续)", "(续表)", "(续上表)", "(continued)", "(cont.)", "(cont’d)", "(…continued)", "continued", "续表",
 ]
+CONTINUATION_INLINE_MARKERS = ["(continued)"]
 FURNITURE_TYPES = ["header", "footer", "page_number", "aside_text", "page_footnote"]
 
 # --- fixed values: marks that may end a line, marks that may open one ------------------------

@@ -352,8 +352,10 @@ def strip_index_tail(text) -> Column:
 def is_continuation_caption(text) -> Column:
     """Whether a caption says that a table continues."""
     t = F.lower(half_width(F.trim(_col(text))))
-    ends = reduce(lambda a, b: a | b, [F.endswith(t, F.lit(m)) for m in P.CONTINUATION_END_MARKERS])
-    return ends | t.rlike(r"(^|[^\p{L}])continued$") | t.contains("(continued)")
+    # A bare word counts only where no letter stands before it: "discontinued" does not.
+    ends = [F.endswith(t, F.lit(m)) & (~t.rlike(rf"\p{{L}}{m}$") if m.isascii() and m.isalpha() else F.lit(True)) for m in P.CONTINUATION_END_MARKERS]
+    inside = [t.contains(m) for m in P.CONTINUATION_INLINE_MARKERS]
+    return reduce(lambda a, b: a | b, [*ends, *inside])
 
 
 # ---------------------------------------------------------------- sentences, JSON, citations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import boxes as B
+from docloom.operators import captions
 from docloom.operators import layout as L
 from docloom.plans import sql_tables as S
 from docloom.plans.registry import query
@@ -209,10 +210,41 @@ def caption_typing(c):
     return L.type_captions(caption_blocks(c), bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
 
 
-@query("W25", None)
+STACKED = S.BLOCKS + """, fb AS (SELECT doc_id, page_idx, block_idx, x0 + block_idx % 5 * 60 AS x0, y0, x1 + block_idx % 5 * 60 AS x1, y0 + 10 + block_idx % 3 * 3 AS y1, 1 + (block_idx % 6 = 0)::INT AS lines,
+  CASE (doc_id + block_idx) % 11 WHEN 0 THEN 'table' WHEN 5 THEN 'image' WHEN 9 THEN 'page_footnote' WHEN 2 THEN 'caption' WHEN 7 THEN 'caption' WHEN 4 THEN 'footnote' ELSE 'text' END AS type, (doc_id + block_idx) % 11 IN (8, 10) AND block_idx < 6 AS goes_on FROM blocks)"""
+
+
+def fragment_blocks(c):
+    """Blocks of captions, fragments, figures and furniture, some at the head of a page that say a table goes on."""
+    k, i = F.pmod(F.col("doc_id") + F.col("block_idx"), F.lit(11)), F.col("block_idx")
+    kind = F.when(k == 0, "table").when(k == 5, "image").when(k == 9, "page_footnote").when(k.isin(2, 7), "caption").when(k == 4, "footnote").otherwise("text")
+    text = F.when(k.isin(8, 10) & (i < 6), "Table 3 (continued)").otherwise(F.col("text"))
+    return c.blocks().select(
+        "doc_id", "page_idx", "block_idx", (F.col("x0") + i % 5 * 60).alias("x0"), "y0", (F.col("x1") + i % 5 * 60).alias("x1"), (F.col("y0") + 10 + i % 3 * 3).alias("y1"),
+        (1 + (i % 6 == 0).cast("int")).alias("lines"), kind.alias("type"), text.alias("text"),
+    )
+
+
+@query("W25", with_(STACKED) + """, e AS (
+  SELECT *, lag({'t': type, 'y0': y0, 'y1': y1}) OVER w AS p, lead({'t': type, 'y0': y0, 'y1': y1}) OVER w AS n FROM fb WHERE type <> 'page_footnote' WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx)), a AS (
+  SELECT doc_id, page_idx, block_idx, x0, y0, x1, y1, lines, goes_on, CASE WHEN coalesce(type IN ('text', 'footnote') AND p.t = 'caption' AND n.t IN ('table', 'image')
+    AND ((least(y1, p.y1) - greatest(y0, p.y0)) / least(y1 - y0, p.y1 - p.y0) >= 0.6 OR abs((y0 + y1) / 2 - (p.y0 + p.y1) / 2) <= greatest(y1 - y0, p.y1 - p.y0) * 0.5)
+    AND n.y0 - greatest(y1, p.y1) BETWEEN 0 AND greatest(12, 1.5 * greatest(y1 - y0, p.y1 - p.y0)), false) THEN 'caption' ELSE type END AS kind FROM e), t AS (
+  SELECT doc_id, page_idx, block_idx AS ti, x0 AS tx0, y0 AS ty0, x1 AS tx1, greatest(12, 0.03 * (x1 - x0)) AS slack FROM a WHERE kind = 'table'), u AS (
+  SELECT *, coalesce(lag(y0) OVER w, ty0) - y1 AS gap, max(y1 - y0) OVER w AS tall, row_number() OVER w AS z FROM a JOIN t USING (doc_id, page_idx) WHERE kind IN ('caption', 'text', 'footnote') AND y1 <= ty0 AND x1 >= tx0 - slack AND x0 <= tx1 + slack
+  WINDOW w AS (PARTITION BY doc_id, page_idx, ti ORDER BY y0 DESC, block_idx DESC)), v AS (
+  SELECT *, min((gap BETWEEN 0 AND greatest(12, 1.5 * tall))::INT) OVER (PARTITION BY doc_id, page_idx, ti ORDER BY z) AS inside FROM u), x AS (
+  SELECT *, min(CASE WHEN kind = 'caption' THEN z END) OVER (PARTITION BY doc_id, page_idx, ti) AS c FROM v WHERE inside = 1), b AS (
+  SELECT a.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.doc_id = a.doc_id AND x.page_idx = a.page_idx AND x.block_idx = a.block_idx AND z < c AND x.kind IN ('text', 'footnote') AND x.lines <= 1) THEN 'caption' ELSE kind END AS kind) FROM a), h AS (
+  SELECT *, goes_on AND lines <= 1 AND kind IN ('text', 'footnote') AS says, sum((NOT (goes_on AND lines <= 1 AND kind IN ('text', 'footnote')))::INT) OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) AS other FROM b), s AS (
+  SELECT doc_id, page_idx, arg_min({'k': kind, 'x0': x0, 'y0': y0, 'x1': x1}, block_idx) AS f FROM h WHERE NOT says GROUP BY 1, 2), g AS (
+  SELECT h.*, f, coalesce(lag(y0) OVER w, f.y0) - y1 AS gap, max(y1 - y0) OVER w AS tall FROM h JOIN s USING (doc_id, page_idx) WHERE says AND other = 0 AND f.k = 'table' WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx DESC)), i AS (
+  SELECT doc_id, page_idx, block_idx, min((gap BETWEEN -greatest(2, 0.3 * (y1 - y0)) AND greatest(12, 1.5 * tall) AND x1 >= f.x0 - greatest(12, 0.03 * (f.x1 - f.x0)) AND x0 <= f.x1 + greatest(12, 0.03 * (f.x1 - f.x0)))::INT) OVER (PARTITION BY doc_id, page_idx) AS fits FROM g)
+SELECT b.doc_id, b.page_idx, b.block_idx, CASE WHEN i.fits = 1 THEN 'caption' ELSE b.kind END AS new_type FROM b LEFT JOIN i USING (doc_id, page_idx, block_idx)
+UNION ALL SELECT doc_id, page_idx, block_idx, type FROM fb WHERE type = 'page_footnote'""")
 def caption_fallback(c):
-    """Text on a caption's line or at the page head becomes caption."""
-    return L.caption_fragments(caption_blocks(c), ["table", "image"], bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
+    """Text on a caption's line, stacked under one above a table, or at the page head becomes caption."""
+    return captions.caption_fallbacks(fragment_blocks(c), ["table", "image"], bucket=16).select("doc_id", "page_idx", "block_idx", "new_type")
 
 
 @query("J25", with_(S.BLOCKS) + """, f AS (SELECT doc_id, page_idx, block_idx, CASE (doc_id * 3 + block_idx * 7) % 5 WHEN 0 THEN 'equation' WHEN 1 THEN 'formula_number' WHEN 2 THEN 'equation' ELSE 'text' END AS type, CASE WHEN block_idx % 6 = 0 THEN '\\[ \\]' ELSE 'x' || block_idx END AS text FROM blocks),
