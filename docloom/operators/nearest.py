@@ -9,7 +9,7 @@ group. Both give the same exact result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 from docloom.operators.skew import top_k
 
 MAX_SHIPPED_QUERIES = 4096
-VECTOR_BLOCK = 50_000
+#: Questions and items of one group, scores held at a time, cells of a block multiplied as a matrix.
+QUESTION_BLOCK, ITEM_BLOCK = 4096, 16_384
+SCORE_CELLS = 1 << 22
+DENSE_CELLS = 1 << 24
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -36,26 +39,55 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0, length, 1.0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best entries, ties by id."""
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        pool = np.flatnonzero(scores >= bar)
+def _best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best entries of each row, ties by id."""
+    if scores.shape[1] > k:
+        bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(scores >= bar)
     else:
-        pool = np.arange(len(scores))
-    return pool[np.lexsort((ids[pool], -scores[pool]))[:k]]
+        row, col = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(scores.shape[0]))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
 
 
-def _rank_block(qid, qm, ids, vm, k, digits):
-    """Top k of one vector block for each question."""
-    scores = np.round(qm @ vm.T, digits)
-    parts = []
-    for i in range(len(qid)):
-        pick = _best(scores[i], ids, k)
-        parts.append(pd.DataFrame({"query_id": qid[i], "key": ids[pick], "score": scores[i][pick]}))
+def _rank_block(qid: np.ndarray, ids: np.ndarray, k: int, digits: int, score: Callable[[int, int], np.ndarray], width: int | None = None) -> list[pd.DataFrame]:
+    """Top k of one item block for each question; ``score(a, b)`` gives the rows of questions a to b.
+
+    Questions go in steps of at most ``SCORE_CELLS`` scores, so the block's matrix is never whole.
+    """
+    parts, step = [], max(1, SCORE_CELLS // max(width or len(ids), 1))
+    for at in range(0, len(qid), step):
+        scores = np.round(score(at, min(at + step, len(qid))), digits)
+        row, col = _best_rows(scores, ids, k)
+        parts.append(pd.DataFrame({"query_id": qid[at + row], "key": ids[col], "score": scores[row, col]}))
     return parts
 
 
+def _by_blocks(q: DataFrame, v: DataFrame, k: int, rank: Callable[[pd.DataFrame, pd.DataFrame], list[pd.DataFrame]], schema: T.StructType, q_block: int = QUESTION_BLOCK, v_block: int = ITEM_BLOCK) -> DataFrame:
+    """Best k of each (question block, item block) pair, every pair one bounded group.
+
+    Items are written once per question block, questions once per item block. Nothing passes the driver
+    but the two counts; a crowded block cannot be, as rows are dealt by the hash of their id.
+    """
+    q_blocks, v_blocks = (max(1, math.ceil(df.count() / size)) for df, size in ((q, q_block), (v, v_block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = v.withColumn("_vb", F.pmod(F.xxhash64("key"), F.lit(v_blocks))).withColumn("_qb", every(q_blocks))
+    right = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("_vb", every(v_blocks))
+    empty = pd.DataFrame({"query_id": [], "key": [], "score": []})
+
+    def pair(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(rank(qp, vp), ignore_index=True) if len(vp) and len(qp) else empty
+
+    return left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(pair, schema)
+
+
+def _result(q: DataFrame, v: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("key", v.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+
+
 def dense_topk(
     queries: DataFrame,
     vectors: DataFrame,
@@ -74,11 +106,7 @@ def dense_topk(
     unit = metric == "cosine"
     q = queries.select("query_id", F.col(query_vector).alias("qv"))
     v = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vv"))
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("key", v.schema["key"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
+    schema = _result(q, v)
 
     if q.limit(max_shipped + 1).count() <= max_shipped:
         shipped = q.toPandas()
@@ -92,7 +120,8 @@ def dense_topk(
                 if len(batch) == 0 or len(qid) == 0:
                     continue
                 vm = _matrix(batch["vv"])
-                rows = _rank_block(qid, matrix, batch["key"].to_numpy(), _unit(vm) if unit else vm, k, digits)
+                vm = _unit(vm) if unit else vm
+                rows = _rank_block(qid, batch["key"].to_numpy(), k, digits, lambda a, b, vm=vm: matrix[a:b] @ vm.T)
                 merged = pd.concat(rows if held is None else [held, *rows], ignore_index=True)
                 merged = merged.sort_values(["query_id", "score", "key"], ascending=[True, False, True])
                 held = merged.groupby("query_id", sort=False).head(k)
@@ -101,26 +130,12 @@ def dense_topk(
 
         partial = v.mapInPandas(scan, schema)
     else:
-        n_vectors, n_queries = v.count(), q.count()
-        v_blocks = max(1, math.ceil(n_vectors / VECTOR_BLOCK))
-        q_blocks = max(1, math.ceil(n_queries / max_shipped))
-        left = v.withColumn("_vb", F.pmod(F.xxhash64("key"), F.lit(v_blocks))).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long")))
-        )
-        right = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn(
-            "_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long")))
-        )
-
-        def pair(vp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-            empty = pd.DataFrame({"query_id": [], "key": [], "score": []})
-            if len(vp) == 0 or len(qp) == 0:
-                return empty
-            vm, qm = _matrix(vp["vv"]), _matrix(qp["qv"])
-            if unit:
-                vm, qm = _unit(vm), _unit(qm)
-            return pd.concat(_rank_block(qp["query_id"].to_numpy(), qm, vp["key"].to_numpy(), vm, k, digits))
-
-        partial = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb")).applyInPandas(pair, schema)
+
+        def rank(qp: pd.DataFrame, vp: pd.DataFrame) -> list[pd.DataFrame]:
+            vm, qm = (_unit(_matrix(p)) if unit else _matrix(p) for p in (vp["vv"], qp["qv"]))
+            return _rank_block(qp["query_id"].to_numpy(), vp["key"].to_numpy(), k, digits, lambda a, b: qm[a:b] @ vm.T)
+
+        partial = _by_blocks(q, v, k, rank, schema)
 
     ranked = top_k(partial, ["query_id"], [F.desc("score"), F.asc("key")], k)
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
@@ -176,75 +191,102 @@ def similar_pairs(
 
 
 def maxsim_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    key: str,
-    k: int = 50,
-    query_vectors: str = "vectors",
-    vectors: str = "vectors",
-    max_shipped: int = MAX_SHIPPED_QUERIES,
-    digits: int = 6,
+    queries: DataFrame, items: DataFrame, key: str, k: int = 50, query_vectors: str = "vectors", vectors: str = "vectors", digits: int = 6, q_block: int = QUESTION_BLOCK, v_block: int = ITEM_BLOCK
 ) -> DataFrame:
     """Late interaction: sum over question vectors of the best dot product in the item.
 
-    A question batch above the checked size is processed block by block through the same
-    scan, each block shipped on its own.
+    Question blocks meet item blocks in bounded groups. The vectors of a block lie in one matrix; the
+    best per item and the sum per question are taken over its slices. Questions and items without
+    vectors have no score.
     """
-    q = queries.select("query_id", F.col(query_vectors).alias("qv"))
-    v = items.select(F.col(key).alias("key"), F.col(vectors).alias("vv"))
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType),
-        T.StructField("key", v.schema["key"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-    n_blocks = max(1, math.ceil(q.count() / max_shipped))
-    partial = None
-    for b in range(n_blocks):
-        shipped = q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toPandas()
-        box = q.sparkSession.sparkContext.broadcast(
-            (shipped["query_id"].to_numpy(), [_matrix(pd.Series(list(m))) for m in shipped["qv"]])
-        )
-
-        def scan(batches: Iterator[pd.DataFrame], box=box) -> Iterator[pd.DataFrame]:
-            qid, matrices = box.value
-            for batch in batches:
-                if len(batch) == 0:
-                    continue
-                ids = batch["key"].to_numpy()
-                stacked = [_matrix(pd.Series(list(m))) for m in batch["vv"]]
-                flat = np.concatenate(stacked)
-                starts = np.concatenate([[0], np.cumsum([len(m) for m in stacked])[:-1]])
-                for i in range(len(qid)):
-                    best = np.maximum.reduceat(matrices[i] @ flat.T, starts, axis=1)
-                    scores = np.round(best.sum(axis=0), digits)
-                    pick = _best(scores, ids, k)
-                    yield pd.DataFrame({"query_id": qid[i], "key": ids[pick], "score": scores[pick]})
-
-        part = v.mapInPandas(scan, schema)
-        partial = part if partial is None else partial.unionByName(part)
-    ranked = top_k(partial, ["query_id"], [F.desc("score"), F.asc("key")], k)
+    some = lambda c: F.size(F.coalesce(c, F.array())) > 0
+    q = queries.where(some(query_vectors)).select("query_id", F.col(query_vectors).alias("qv"))
+    v = items.where(some(vectors)).select(F.col(key).alias("key"), F.col(vectors).alias("vv"))
+
+    def flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        rows = [_matrix(pd.Series(list(m))) for m in column]
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    def rank(qp: pd.DataFrame, vp: pd.DataFrame) -> list[pd.DataFrame]:
+        (qm, q_start), (vm, v_start) = flat(qp["qv"]), flat(vp["vv"])
+
+        def score(a: int, b: int) -> np.ndarray:
+            best = np.maximum.reduceat(qm[q_start[a] : q_start[b]] @ vm.T, v_start[:-1], axis=1)
+            return np.add.reduceat(best, q_start[a:b] - q_start[a], axis=0)
+
+        most = int(np.diff(q_start).max())
+        return _rank_block(qp["query_id"].to_numpy(), vp["key"].to_numpy(), k, digits, score, width=len(vm) * most)
+
+    ranked = top_k(_by_blocks(q, v, k, rank, _result(q, v), q_block, v_block), ["query_id"], [F.desc("score"), F.asc("key")], k)
     return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
 
 
-def sparse_topk(queries: DataFrame, items: DataFrame, key: str, k: int = 20, digits: int = 6) -> DataFrame:
-    """Dot product of sparse rows (id, index, value) through a join on the index."""
-    q = queries.select("query_id", "index", F.col("value").alias("qv"))
-    v = items.select(key, "index", F.col("value").alias("dv"))
-    scored = v.join(q, "index").groupBy("query_id", key).agg(
-        F.round(F.sum(F.col("qv").cast("double") * F.col("dv").cast("double")), digits).alias("score")
-    )
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc(key)], k)
-
-
-def approximate_topk(queries: DataFrame, vectors: DataFrame, key: str, k: int = 20, bucket_length: float = 0.5, tables: int = 8, vector: str = "vector") -> DataFrame:
-    """Optional approximate variant by random-projection buckets; distances are Euclidean."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    prepare = lambda df, i, c: df.select(F.col(i), array_to_vector(F.transform(F.col(c), lambda x: x.cast("double"))).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=1
-    ).fit(prepare(vectors, key, vector))
-    pairs = model.approxSimilarityJoin(prepare(queries, "query_id", vector), prepare(vectors, key, vector), 2.0, "distance")
-    flat = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{key}").alias(key), "distance")
-    return top_k(flat, ["query_id"], [F.asc("distance"), F.asc(key)], k)
+class SparseRows:
+    """Rows of (index, value) lists over the indices that occur in them, postings by index."""
+
+    def __init__(self, indices: pd.Series, values: pd.Series):
+        self.n = len(indices)
+        lengths = np.array([len(i) for i in indices], np.int64)
+        self.row = np.repeat(np.arange(self.n), lengths)
+        self.index, self.value = np.concatenate([np.asarray(i) for i in indices]), np.concatenate([np.asarray(v, np.float64) for v in values])
+
+    def on(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in ``known``, value) of the entries whose index is known."""
+        at = np.minimum(np.searchsorted(known, self.index), len(known) - 1)
+        hit = known[at] == self.index
+        return self.row[hit], at[hit], self.value[hit]
+
+
+def _sparse_scores(q: SparseRows, v: SparseRows) -> Callable[[int, int], np.ndarray]:
+    """Scores of questions a to b against all items of a block; entries that are not there count nothing.
+
+    Blocks that share few indices, or are mostly filled, are multiplied as matrices. Otherwise the
+    postings of each question's indices are laid end to end and added up per (question, item), so
+    only products of shared indices are formed.
+    """
+    known = np.intersect1d(q.index, v.index)
+    nothing = lambda a, b: np.full((b - a, v.n), -np.inf)
+    if not len(known):
+        return nothing
+    (qr, qi, qx), (vr, vi, vx) = q.on(known), v.on(known)
+    if v.n * len(known) <= min(DENSE_CELLS, 8 * len(vx)) and q.n * len(known) <= DENSE_CELLS:
+        qm, vm = np.zeros((q.n, len(known))), np.zeros((v.n, len(known)))
+        np.add.at(qm, (qr, qi), qx)
+        np.add.at(vm, (vr, vi), vx)
+        qh, vh = (qm != 0).astype(np.float32), (vm != 0).astype(np.float32)
+        full = bool(qh.all() or vh.all())
+        return lambda a, b: (qm[a:b] @ vm.T) if full else np.where(qh[a:b] @ vh.T > 0, qm[a:b] @ vm.T, -np.inf)
+    order = np.argsort(vi, kind="stable")
+    vr, vx = vr[order], vx[order]
+    start = np.searchsorted(vi[order], np.arange(len(known) + 1))
+    first = np.searchsorted(qr, np.arange(q.n + 1))
+
+    def score(a: int, b: int) -> np.ndarray:
+        rows, at, x = (c[first[a] : first[b]] for c in (qr, qi, qx))
+        n = start[at + 1] - start[at]
+        place = np.repeat(start[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        cell = (np.repeat(rows, n) - a) * v.n + vr[place]
+        total = np.bincount(cell, np.repeat(x, n) * vx[place], minlength=(b - a) * v.n)
+        total[np.bincount(cell, minlength=(b - a) * v.n) == 0] = -np.inf
+        return total.reshape(b - a, v.n)
+
+    return score
+
+
+def sparse_topk(queries: DataFrame, items: DataFrame, key: str, k: int = 20, digits: int = 6, q_block: int = QUESTION_BLOCK, v_block: int = ITEM_BLOCK) -> DataFrame:
+    """Best items per question by the dot product of sparse rows (id, index, value).
+
+    The entries of a row are brought together once. Question blocks meet item blocks in bounded
+    groups, each gives back its k best, so no pair but those ever leaves a task and a common
+    index makes no crowded group. Items that share no index with a question are no hits.
+    """
+    listed = lambda df, name, out: df.groupBy(F.col(name).alias(out)).agg(F.collect_list("index").alias("i"), F.collect_list(F.col("value").cast("double")).alias("x"))
+    some = lambda df: df.where(F.col("index").isNotNull() & F.col("value").isNotNull())
+    q, v = listed(some(queries), "query_id", "query_id"), listed(some(items), key, "key")
+
+    def rank(qp: pd.DataFrame, vp: pd.DataFrame) -> list[pd.DataFrame]:
+        parts = _rank_block(qp["query_id"].to_numpy(), vp["key"].to_numpy(), k, digits, _sparse_scores(SparseRows(qp["i"], qp["x"]), SparseRows(vp["i"], vp["x"])))
+        return [p[p["score"] > -np.inf] for p in parts]
+
+    ranked = top_k(_by_blocks(q, v, k, rank, _result(q, v), q_block, v_block), ["query_id"], [F.desc("score"), F.asc("key")], k)
+    return ranked.select("query_id", F.col("key").alias(key), "score", "rank")
