@@ -98,13 +98,22 @@ def table_keywords(title: Column) -> Column:
 def find_tables(asked: DataFrame, tables: DataFrame, keywords: Column | None = None, limit: int = 5) -> tuple[DataFrame, DataFrame]:
     """Tables whose title or number holds a keyword of the wanted title, and the questions
     left without any, which go back to text recall. A wanted title without keywords is
-    answered by any table."""
-    wanted = asked.select("query_id", (table_keywords(F.col("table_title")) if keywords is None else keywords).alias("_k"))
-    words = wanted.select("query_id", F.explode("_k").alias("_keyword"))
+    answered by any table. Where ``asked`` has a standard_id, only tables whose standard_no
+    holds it count."""
+    within = "standard_id" in asked.columns
+    limited = [F.col("standard_id").alias("_standard")] if within else []
+    wanted = asked.select("query_id", (table_keywords(F.col("table_title")) if keywords is None else keywords).alias("_k"), *limited)
+    words = wanted.select("query_id", F.explode("_k").alias("_keyword"), *[c.name for c in wanted.schema if c.name == "_standard"])
     searched = tables.withColumn("_text", F.concat_ws("\u0001", "title", "table_number"))
     hits = contains_join(searched, "_text", words, "_keyword").drop("_text", "_keyword")
-    hits = hits.dropDuplicates(["query_id", "table_id"])
-    open_ended = wanted.where(F.size("_k") == 0).select("query_id")
+    allowed = F.col("_standard").isNull() | F.col("standard_no").contains(F.col("_standard")) if within else F.lit(True)
+    hits = hits.where(allowed).drop("_standard").dropDuplicates(["query_id", "table_id"])
+    open_ended = wanted.where(F.size("_k") == 0)
+    if within:  # a title without keywords but with a standard: the first tables of that standard
+        named = open_ended.where(F.col("_standard").isNotNull())
+        hits = hits.unionByName(contains_join(tables, "standard_no", named, "_standard").select("query_id", *tables.columns))
+        open_ended = open_ended.where(F.col("_standard").isNull())
+    open_ended = open_ended.select("query_id")
     any_table = tables.orderBy("table_id").limit(limit).agg(F.collect_list(F.struct(*tables.columns)).alias("a")).scalar()
     free = open_ended.select("query_id", F.inline(any_table))
     found = top_k(hits.select("query_id", *tables.columns).unionByName(free), ["query_id"], [F.asc("table_id")], limit)

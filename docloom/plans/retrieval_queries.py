@@ -552,3 +552,80 @@ def fast_lane(c):
     fused = recall.reciprocal_rank_fusion(recall.rank_lists(recall_lists(c)))
     retry = search.keyword_topk(c.queries(), document_words(c), "doc_id", 50).withColumnRenamed("doc_id", "chunk_id")
     return run(c.queries(), fused, retry, texts)
+
+
+# ---------------------------------------------------------------- the plan of tools
+def tool_fixture(c):
+    """Plan of three steps per customer, and the chunks, documents and tables its tools look into."""
+    from docloom.operators import tool_plan
+
+    k, number = F.col("c_custkey"), lambda n, m: F.concat(F.lit("GB "), (1000 + F.pmod(n, F.lit(m))).cast("string"))
+    clause = F.concat_ws(".", (F.pmod(k, F.lit(9)) + 1).cast("string"), (F.pmod(k, F.lit(7)) + 1).cast("string"))
+    null = lambda name: F.lit(None).cast(tool_plan.PARAMETERS[name]).alias(name)
+    kind = F.pmod(k, F.lit(4))
+    tools = {
+        1: F.when(kind == 0, "list_related_standards").when(kind == 1, "retrieve_clause").when(kind == 2, "retrieve_table").otherwise("retrieve_standard"),
+        2: F.when(kind == 0, "retrieve_standard").when(kind == 1, "sufficient").when(kind == 2, "zoom").otherwise("retrieve_clause"),
+        3: F.when(kind == 3, "retrieve_table").otherwise("retrieve_clause"),
+    }
+    rows = [
+        c.table("customer").select(
+            k.alias("query_id"), F.lit(n).alias("step"), tool.alias("tool"), F.lit("URGENT high medium").alias("query"),
+            F.when(kind == 3, F.array(number(k, 500), number(k + 1, 500))).alias("standards"), (kind == 0).alias("use_found"), number(k, 500).alias("standard_id"), clause.alias("clause"),
+            F.col("c_mktsegment").alias("keyword"), null("category"), F.concat(F.lit("T"), (F.pmod(k, F.lit(60)) + 1).cast("string"), F.lit(" URGENT list")).alias("table_title"),
+        )
+        for n, tool in tools.items()
+    ]
+    documents = c.table("customer").select(
+        k.alias("doc_id"), number(k, 500).alias("standard_no"), "c_name", "c_mktsegment", F.col("c_mktsegment").alias("category"), F.when(F.pmod(k, F.lit(3)) == 0, "pending").otherwise("completed").alias("process_status")
+    )
+    p = F.col("p_partkey")
+    tables = c.table("part").select(p.alias("table_id"), F.when(F.pmod(p, F.lit(2)) == 0, p).alias("chunk_id"), F.col("p_brand").alias("title"), F.concat(F.lit("T"), F.col("p_size").cast("string")).alias("table_number"), number(p, 500).alias("standard_no"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]), tool_plan.standard_tools(fact_chunks(c), documents, tables, ["c_name", "c_mktsegment"])
+
+
+#: The three steps one by one: names found in the first, chunks of the second, exact clauses, tables and their fallback.
+TOOL_STEPS = with_(FACTS) + r""", p AS (SELECT c_custkey AS query_id, c_custkey % 4 AS kind, 'GB ' || (1000 + c_custkey % 500) AS std, 'GB ' || (1000 + (c_custkey + 1) % 500) AS std2, (c_custkey % 9 + 1) || '.' || (c_custkey % 7 + 1) AS cl,
+    c_mktsegment AS keyword, 'T' || (c_custkey % 60 + 1) AS num FROM customer), done AS (
+  SELECT c_custkey AS doc_id, 'GB ' || (1000 + c_custkey % 500) AS standard_no, c_name || chr(1) || c_mktsegment AS t FROM customer WHERE c_custkey % 3 <> 0), words AS (SELECT DISTINCT keyword FROM p WHERE kind = 0), related AS (
+  SELECT keyword, standard_no, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) AS r FROM done JOIN words ON contains(t, keyword) QUALIFY r <= 5), named AS (
+  SELECT DISTINCT query_id, standard_no FROM p JOIN related USING (keyword) WHERE kind = 0), told AS (
+  SELECT query_id, 2 AS step, ['urgent', 'high', 'medium'] AS q, standard_no FROM named UNION ALL SELECT query_id, 1, ['urgent', 'high', 'medium'], unnest([std, std2]) FROM p WHERE kind = 3), tab AS (
+  SELECT p_partkey AS table_id, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END AS chunk_id, p_brand || chr(1) || 'T' || p_size AS t, 'GB ' || (1000 + p_partkey % 500) AS standard_no FROM part), tq AS (
+  SELECT query_id, CASE kind WHEN 2 THEN 1 ELSE 3 END AS step, std, num FROM p WHERE kind IN (2, 3)), th AS (
+  SELECT query_id, step, table_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY table_id) AS r FROM tq JOIN tab ON (contains(t, num) OR contains(t, 'URGENT')) AND contains(standard_no, std) QUALIFY r <= 5), again AS (
+  SELECT query_id, step, [lower(num), 'urgent', 'list', '表格'] AS q, std AS standard_no FROM tq WHERE query_id NOT IN (SELECT query_id FROM th)), sc AS (
+  SELECT query_id, step, chunk_id, round(len(list_intersect(q, list_distinct(string_split_regex(lower(content), '[^\p{L}\p{N}]+')))) / len(q), 6) AS score
+  FROM (SELECT * FROM told UNION ALL SELECT * FROM again) JOIN facts USING (standard_no)), ch AS (
+  SELECT query_id, step, chunk_id, score, row_number() OVER (PARTITION BY query_id, step ORDER BY score DESC, chunk_id) AS r FROM sc WHERE score > 0 QUALIFY r <= 15), cq AS (
+  SELECT query_id, CASE kind WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS step, std, cl FROM p WHERE kind <> 2), hits AS (
+  SELECT query_id, step, CASE WHEN step = 3 OR query_id % 4 = 2 THEN 'retrieve_table' ELSE 'retrieve_standard' END AS tool, chunk_id, score, r FROM ch
+  UNION ALL SELECT query_id, step, 'retrieve_table', coalesce(chunk_id, table_id), 1.0, r FROM th
+  UNION ALL SELECT query_id, step, 'retrieve_clause', chunk_id, 1.0, 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY position, chunk_id) AS n FROM cq JOIN facts ON standard_no = std AND clause = cl) WHERE n = 1)"""
+
+
+@query("T8 K8 K9 K10", TOOL_STEPS + " SELECT query_id, CAST(step AS INTEGER) AS step, tool, chunk_id, CAST(score AS DOUBLE) AS score, CAST(r AS INTEGER) AS rank FROM hits")
+def plan_hits(c):
+    """What each step of every question's plan of tools finds; a step may use what the one before found."""
+    from docloom.operators import tool_plan
+
+    return tool_plan.run_plan(*tool_fixture(c))[0]
+
+
+@query("T8", TOOL_STEPS + """, taken AS (SELECT query_id, unnest(CASE kind WHEN 0 THEN ['list_related_standards', 'retrieve_standard', 'retrieve_clause'] WHEN 1 THEN ['retrieve_clause'] WHEN 2 THEN ['retrieve_table'] ELSE ['retrieve_standard', 'retrieve_clause', 'retrieve_table'] END) AS tool,
+  unnest(CASE kind WHEN 1 THEN [1] WHEN 2 THEN [1] ELSE [1, 2, 3] END) AS step FROM p)
+SELECT query_id, CAST(step AS INTEGER) AS step, tool, count(chunk_id) AS results FROM taken LEFT JOIN hits USING (query_id, step, tool) GROUP BY 1, 2, 3""")
+def plan_trace(c):
+    """Steps taken by every question, and how much each found."""
+    from docloom.operators import tool_plan
+
+    return tool_plan.run_plan(*tool_fixture(c))[1]
+
+
+@query("T8 U7", TOOL_STEPS + """, f AS (SELECT query_id, chunk_id, score, step FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY step, r) AS z FROM hits) WHERE z = 1)
+SELECT query_id, chunk_id, CAST(score AS DOUBLE) AS score, CAST(step AS INTEGER) AS step, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, step, chunk_id) AS INTEGER) AS rank FROM f) WHERE rank <= 20""")
+def slow_lane(c):
+    """Chunks of a question's whole plan: first occurrences, best first, twenty at most."""
+    from docloom.operators import tool_plan
+
+    return tool_plan.combined(tool_plan.run_plan(*tool_fixture(c))[0])
