@@ -45,11 +45,12 @@ def stream_kpi(c):
 
 @query("X1", "SELECT event_type || '-' || user_id AS upload, count(*) > 0 AS stored FROM events GROUP BY 1")
 def stream_dedup(c):
-    """Uploads stored once per content key, batch by batch."""
+    """Uploads stored once per content key; keys seen are state of the stream."""
     out, state = fresh_folders(c, "uploads")
     uploads = jobs.table_stream(c.spark, c.folder, "events").select(F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("upload"))
-    jobs.run_batches(uploads, jobs.ingest_new(out, "upload"), state)
-    return c.spark.read.parquet(out).select("upload", F.lit(True).alias("stored"))
+    with jobs.state_on_disk(c.spark):
+        stored = jobs.run_to_table(jobs.first_uploads(uploads, "upload"), out, state)
+    return stored.select("upload", F.lit(True).alias("stored"))
 
 
 @query("X3", """WITH RECURSIVE r AS (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS t FROM events),
@@ -64,12 +65,12 @@ def stream_ttl(c):
 
 
 @query("X4", with_(S.QUERY_LOGS) + """, g AS (SELECT user_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS o FROM query_logs WINDOW w AS (PARTITION BY user_id ORDER BY created_at)), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS queries, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, s
-HAVING max(created_at) + INTERVAL 6 HOUR <= (SELECT max(created_at) - INTERVAL 10 MINUTE FROM query_logs)""")
+SELECT user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(created_at) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS queries, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS last_at FROM s GROUP BY user_id, s""")
 def stream_sessions(c):
-    """Sessions of every user as a stream, given out once the watermark has closed them."""
+    """Sessions of every user as a stream: those the watermark has closed, and at the end of the table those still open."""
     out, state = fresh_folders(c, "sessions")
-    done = jobs.run_to_table(jobs.activity_sessions(log_stream(c), gap="6 hours"), out, state)
+    closed = jobs.run_to_table(jobs.activity_sessions(log_stream(c), gap="6 hours"), out, state)
+    done = closed.unionByName(jobs.open_sessions(c.spark, state))
     return done.select("user_id", stamp("session_start"), stamp("session_end"), "queries", stamp("last_at"))
 
 

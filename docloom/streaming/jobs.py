@@ -7,9 +7,9 @@ change, not by the history of the stream.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,28 +73,32 @@ def run_batches_latest(stream: DataFrame, output: str, checkpoint: str, keys: Se
 
 
 # ---------------------------------------------------------------- X1
-def distinct_uploads(stream: DataFrame, key: str, time: str, watermark: str = WATERMARK) -> DataFrame:
-    """First upload of each content hash; hashes are kept for the watermark only."""
-    return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark([key])
+def first_uploads(stream: DataFrame, key: str) -> DataFrame:
+    """First upload of each key, whatever the batch or the restart it comes in.
 
-
-def ingest_new(known: str, key: str = "file_hash"):
-    """Batch function appending uploads whose hash is not stored in the folder ``known`` yet.
-
-    The batch number is part of the path, so a repeated batch overwrites its own output.
+    The keys seen are keyed state of the stream's checkpoint, so a batch looks up its own keys and
+    nothing of what has been stored before is read again; a batch that is repeated after a
+    failure writes the same rows. Uploads without a key count as one. Run it with
+    :func:`state_on_disk`, as the keys of a long history do not fit into memory.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(known).where(F.col("batch") != batch_id).select(key)
-            fresh = fresh.join(stored, key, "left_anti")
-        except AnalysisException as error:  # the folder does not exist before the first batch
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
-
-    return write
+    return stream.dropDuplicates([key])
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB and send its changes, not snapshots, to the checkpoint."""
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 # ---------------------------------------------------------------- X2
@@ -155,6 +159,12 @@ def activity_sessions(logs: DataFrame, by: str = "user_id", time: str = "created
     return out.select(by, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "queries", "last_at")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, by: str = "user_id") -> DataFrame:
+    """Sessions that a stopped stream of :func:`activity_sessions` has not given out yet, from its state store."""
+    held = spark.read.format("statestore").option("path", checkpoint).load().select("value.*")
+    return held.select(by, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), F.col("count").alias("queries"), F.col("max").alias("last_at"))
+
+
 # ---------------------------------------------------------------- X5
 def complete_documents(pages: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Documents whose every page has arrived: rows (doc_id, pages).
