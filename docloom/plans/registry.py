@@ -45,5 +45,5 @@ def oracles() -> dict[str, str]:
 
 def load() -> None:
     from docloom.plans import (  # noqa: F401
-        cell_queries, corpus_queries, layout_queries, log_queries, paragraph_queries, rendering_queries, retrieval_queries, stream_queries, text_queries,
+        cell_queries, corpus_queries, layout_queries, log_queries, multi_recall_queries, paragraph_queries, rendering_queries, retrieval_queries, stream_queries, text_queries,
     )
