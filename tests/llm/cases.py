@@ -90,3 +90,19 @@ def targets(sizes: list[int], weights=(1, 2, 3), most: int = 3) -> list[float]:
         if not over:
             return [fixed.get(i, left * w[i] / mass if mass else 0.0) for i in range(len(sizes))]
         fixed |= {i: float(most * sizes[i]) for i in over}
+
+
+def similar_groups(texts: list[bytes], width: int, least: float) -> list[int]:
+    """Number of the first member that each text reaches over pairs of that Jaccard similarity of word shingles."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both >= least * (len(a) + len(b) - both) and root[i] != root[j]:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return root

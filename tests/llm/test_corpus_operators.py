@@ -22,7 +22,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import cases  # noqa: E402
-from docloom.llm import bpe, exact_dedup, language, licences, mixing, neighbours, registry, repeats, runs, scoring, simhash, spelling, tokens, toxicity  # noqa: E402
+from docloom.llm import bpe, exact_dedup, language, licences, mixing, near_copies, neighbours, registry, repeats, runs, scoring, simhash, spelling, tokens, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -286,6 +286,66 @@ def test_near_dedup_keeps_rows_without_a_copy(spark, ids):
     assert [(r.doc_id is None, r.doc_id or 0) for r in kept if r.text == texts[0]] == [want]
 
 
+@pytest.mark.parametrize("ids", [(None, None, 1, None), (5, 5, 1, 5), (None, None, None, None), (2, 1, 2, 2)])
+def test_near_copies_keep_rows_without_a_copy(spark, ids):
+    """Three unrelated texts stay, whatever their ids, and one of two copies but for a capital."""
+    texts = ["the first text about one thing", "another text that has nothing to do with it", "a third one, as unlike the others", "The first text about one thing"]
+    kept = near_copies.keep_one(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()
+    assert sorted(r.text.lower() for r in kept) == sorted({t.lower() for t in texts})
+    assert [(r.doc_id is None, r.doc_id or 0) for r in kept if r.text.lower() == texts[0]] == [min((i is None, i or 0) for i in (ids[0], ids[3]))]
+
+
+def test_near_copies_on_hard_cases(spark, docs, empty):
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and near_copies.keep_one(empty).count() == 0
+    rows = docs.collect()
+    root = cases.similar_groups([(r["text"] or "").encode() for r in rows], 5, 0.8)
+    want = []
+    for r in set(root):
+        group = [(x["doc_id"] is None, x["doc_id"]) for x, y in zip(rows, root, strict=True) if y == r]
+        want.append(min(group, key=lambda g: (g[0], g[1] or 0))[1])
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want))
+
+
+def test_near_copies_of_edited_texts(spark):
+    """Chains of edits: recall of groups at least 0.9, and no unlike texts are put together."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 400))]
+        for _ in range(rng.choice([1, 2, 5])):
+            texts.append(" ".join(words))
+            words = list(words)
+            for _ in range(max(1, len(words) // rng.choice([50, 60, 100]))):
+                words[rng.randrange(len(words))] = "edit"
+    root = cases.similar_groups([t.encode() for t in texts], 5, 0.8)
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    due = len(texts) - len(set(root))
+    assert set(root) <= kept and len(kept) - len(set(root)) <= 0.1 * due and due > 40
+
+
+def test_crowded_shards_are_dealt_again():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (3, 16), dtype=np.uint8)
+    prints = np.repeat(base, 1200, axis=0)
+    for i in range(len(prints)):
+        for bit in rng.choice(128, 3, replace=False):
+            prints[i, bit // 8] ^= 1 << (bit % 8)
+    words = np.ascontiguousarray(prints).view(np.uint64)
+    root = list(range(len(words)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j, d in near_copies.close(words, 20):
+        assert d == int(np.bitwise_count(words[i] ^ words[j]).sum()) <= 20 and i // 1200 == j // 1200
+        root[find(i)] = find(j)
+    assert len({find(i) for i in range(len(words))}) == 3
+
+
 def test_links_over_many_shards(spark):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(300)}

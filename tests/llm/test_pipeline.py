@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import cases  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from docloom.llm import bpe, simhash, toxicity  # noqa: E402
+from docloom.llm import bpe, toxicity  # noqa: E402
 from docloom.llm.common import stage, table  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,9 +54,10 @@ def test_exact_dedup_keeps_the_longest(stages):
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
+    """Groups by five-word shingles and a similarity of 0.8, all pairs compared."""
     rows = sorted(stages[2][1], key=lambda r: r.doc_id)
-    roots = cases.components([simhash.fingerprint((r.text or "").encode()) for r in rows], simhash.RADIUS)
-    assert sorted(r.doc_id for r in stages[3][1]) == [rows[i].doc_id for i in sorted(set(roots))]
+    root = cases.similar_groups([(r.text or "").encode() for r in rows], 5, 0.8)
+    assert sorted(r.doc_id for r in stages[3][1]) == [rows[i].doc_id for i in sorted(set(root))] and len(set(root)) < len(rows)
 
 
 def test_mix_meets_the_targets(stages):
