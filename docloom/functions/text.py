@@ -382,6 +382,15 @@ def lenient_json(text, schema: str) -> Column:
     return F.from_json(chosen, schema, {**options, "mode": "PERMISSIVE"})
 
 
+def lenient_json_list(text) -> Column:
+    """Array of strings: the whole text as JSON, else its first bracketed part; empty where neither is a list of strings."""
+    t = F.trim(_col(text))
+    first = F.regexp_extract(t, r"(?s)\[.*?\]", 0)
+    listed = lambda x: F.schema_of_variant(F.try_parse_json(x)).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.get_json_object(x, "$[*]"), F.lit("")).contains("null")
+    chosen = F.when(F.coalesce(listed(t), F.lit(False)), t).when(F.coalesce(listed(first), F.lit(False)), first)
+    return F.coalesce(F.from_json(chosen, "array<string>"), F.array().cast("array<string>"))
+
+
 def citation_indices(answer) -> Column:
     """Citation numbers in order of first appearance."""
     found = F.regexp_extract_all(_col(answer), F.lit(P.CITATION_PATTERN), F.lit(1))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import canonical_json, memo_key
 from docloom.operators.nearest import similar_pairs
 from docloom.operators.ordered import position_bucket, scan
+from docloom.operators.recall import page_of
 from docloom.operators.skew import best_row, salted_join, top_k
 
 #: Percentiles of the KPI report are off by at most one rank in this many rows.
@@ -32,6 +33,11 @@ def conversation_list(messages: DataFrame, by: Sequence[str], text: str, order:
     )
 
 
+def conversation_page(conversations: DataFrame, page: int = 1, size: int = 20, by: Sequence[str] = ("conv_id",)) -> DataFrame:
+    """One page of conversations, last active first, with total and has_more."""
+    return page_of(conversations, [F.desc("last_at"), *[F.asc(c) for c in by]], page, size)
+
+
 def latest_turns(messages: DataFrame, key: str, order: str, n: int = 5) -> DataFrame:
     """Latest ``n`` turns per conversation, numbered from the oldest of them."""
     kept = top_k(messages, [key], [F.desc(order)], n, "_back")

@@ -189,6 +189,28 @@ def table_titles(c):
     )
 
 
+MARKUP = r"""CASE WHEN n % 7 = 0 THEN '<table><tr><th colspan="2">Head</th><th>p|q</th></tr><tr><td rowspan="2">' || n || '</td><td>b</td><td>c</td></tr><tr><td colspan="2">' || length(line) || '</td></tr></table>'
+  WHEN n % 7 = 5 AND doc_id % 2 = 0 THEN '表 A' || (n % 5) || ' title' WHEN n % 7 = 6 THEN '' ELSE line END"""
+
+
+@query("T10 W7 W8 C9 C10", with_(S.LINES) + f""", tl AS (SELECT doc_id, line_no, length(line) AS size, {MARKUP.replace('n %', 'line_no %').replace('|| n ||', '|| line_no ||').replace('(n', '(line_no')} AS line FROM lines), w AS (
+  SELECT doc_id, line_no, size, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS total,
+    last_value(nullif(trim(line, ' '), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS above FROM tl), t AS (
+  SELECT *, CASE WHEN regexp_matches(above, '^表 A[0-9] title$') THEN above END AS title FROM w WHERE line_no % 7 = 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS table_index, coalesce(title[3:4], '-') AS table_number, coalesce(title, '-') AS title, CAST(greatest(1, floor(round(off / greatest(total, 1), 6) * 12)) AS INTEGER) AS page,
+  coalesce(title || chr(10) || chr(10), '') || '| Head | Head | p\\|q |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || line_no || ' | b | c |' || chr(10) || '| ' || line_no || ' | ' || size || ' | ' || size || ' |' AS content FROM t""")
+def extracted_tables(c):
+    """Every table of the texts with its number, title and page, as a pipe table with spanning cells repeated."""
+    from docloom.operators import text_tables
+
+    n, size = F.col("line_no"), F.length("line").cast("string")
+    markup = F.concat(F.lit('<table><tr><th colspan="2">Head</th><th>p|q</th></tr><tr><td rowspan="2">'), n.cast("string"), F.lit('</td><td>b</td><td>c</td></tr><tr><td colspan="2">'), size, F.lit("</td></tr></table>"))
+    titled = F.concat(F.lit("表 A"), (n % 5).cast("string"), F.lit(" title"))
+    shown = F.when(n % 7 == 0, markup).when((n % 7 == 5) & (F.col("doc_id") % 2 == 0), titled).when(n % 7 == 6, "").otherwise(F.col("line"))
+    found = text_tables.extract_tables(c.lines().select("doc_id", "line_no", shown.alias("line")), c.table("documents").select("doc_id", F.lit(12).alias("page_count")))
+    return found.select("doc_id", "table_index", F.coalesce("table_number", F.lit("-")).alias("table_number"), F.coalesce("title", F.lit("-")).alias("title"), "page", "content")
+
+
 @query("C10", r"""WITH r AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS a FROM pages),
 c AS (SELECT page_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS col_no, unnest(a) AS cell FROM r)
 SELECT page_id, 0 AS row_no, col_no, CAST(col_no % 3 + 1 AS INTEGER) AS colspan, CAST(1 AS INTEGER) AS rowspan, col_no % 2 = 1 AS is_header, trim(regexp_replace(cell, '<[^>]+>', '', 'g'), ' ') AS text FROM c""")

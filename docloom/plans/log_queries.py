@@ -19,6 +19,13 @@ def conversation_list(c):
     return logs.conversation_list(c.table("conversations"), ["conv_id"], "text", ["turn"])
 
 
+@query("A7 K7", """SELECT conv_id, count(*) AS message_count, min(turn) AS first_at, max(turn) AS last_at, CASE WHEN length(arg_min(text, turn)) > 50 THEN left(arg_min(text, turn), 50) || '...' ELSE arg_min(text, turn) END AS title,
+  (SELECT count(DISTINCT conv_id) FROM conversations) AS total, (SELECT count(DISTINCT conv_id) FROM conversations) > 20 AS has_more FROM conversations GROUP BY 1 ORDER BY last_at DESC, conv_id LIMIT 10 OFFSET 10""")
+def conversation_page(c):
+    """Second page of ten conversations, last active first."""
+    return logs.conversation_page(conversation_list(c), 2, 10)
+
+
 @query("W2", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 5""")
 def latest_turns(c):
     """Five latest turns of every conversation, oldest first."""

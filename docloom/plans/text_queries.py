@@ -293,6 +293,18 @@ def lenient_json(c):
     return c.table("events").select("event_id", F.coalesce(X.lenient_json(raw, "k long")["k"], F.lit(-1)).alias("k"))
 
 
+@query("C27", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type || '|b c' WHEN 1 THEN event_type WHEN 2 THEN 'x|' || event_type ELSE '' END AS items FROM events""")
+def lenient_json_list(c):
+    """Lists of strings found plain or inside prose; anything else gives none."""
+    kind, k = F.col("event_type"), mod("event_id", 6)
+    wrap = lambda a, b: F.concat(F.lit(a), kind, F.lit(b))
+    raw = (
+        F.when(k == 0, wrap('["', '", "b c"]')).when(k == 1, wrap('Sure:\n```json\n["', '"]\n``` [1]')).when(k == 2, wrap(' ["x",\n"', '"] '))
+        .when(k == 3, wrap('{"a": "', '"}')).when(k == 4, wrap('[1, "', '"]')).otherwise(wrap('["', '"'))
+    )
+    return c.table("events").select("event_id", F.array_join(X.lenient_json_list(raw), "|").alias("items"))
+
+
 @query("C28", """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: trim(x, ' ')), lambda x: length(x) >= 10 AND NOT suffix(x, '吗') AND NOT prefix(x, '如果') AND NOT prefix(x, '假设'))[1:5] AS f FROM documents)
 SELECT doc_id, len(f) AS n, array_to_string(f, '|') AS facts FROM s""".replace("len(f) AS n", "CAST(len(f) AS INTEGER) AS n"))
 def factual_sentences(c):
