@@ -135,7 +135,7 @@ def token_budget_groups(c):
     return chunking.token_groups(rows, ["doc_id"], "line_no", "tokens", 200).select("doc_id", "line_no", "group_no")
 
 
-PARAS = """e AS (SELECT label AS doc_id, vec_id // 10 AS para_no, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY label, vec_id // 10 ORDER BY vec_id) AS r FROM embeddings) WHERE r = 1),
+PARAS = """e AS (SELECT label AS doc_id, vec_id AS para_no, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT doc_id, para_no, list_dot_product(v, pv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(pv, pv))) AS sim, f FROM (
    SELECT *, lag(v) OVER w AS pv, min(para_no) OVER (PARTITION BY doc_id) AS f FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY para_no)) WHERE pv IS NOT NULL),
 b AS (SELECT doc_id, avg(sim) - 0.5 * stddev_pop(sim) AS bar FROM s GROUP BY 1),
@@ -148,7 +148,7 @@ g AS (SELECT doc_id, f, pos, i, CASE WHEN pos >= 3 THEN pos ELSE 0 END AS last,
 SELECT doc_id, pos + f AS boundary FROM g WHERE keep""")
 def para_boundaries(c):
     """Where paragraph similarity drops, at least three paragraphs apart."""
-    e = c.table("embeddings").groupBy(F.col("label").alias("doc_id"), F.floor(F.col("vec_id") / 10).alias("para_no")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    e = c.table("embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("para_no"), F.col("embedding").alias("vector"))
     return chunking.semantic_boundaries(e)
 
 

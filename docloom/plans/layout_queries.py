@@ -349,12 +349,12 @@ def title_groups(c):
     return grouped.select("doc_id", "line_no", "title_group", L.offset_title_level(n % 3).alias("level"))
 
 
-@query("A27", with_(S.SPANS) + """, m AS (SELECT doc_id, page_idx, block_idx, avg(CAST(trunc(y1 - y0) AS INTEGER)) AS a FROM spans WHERE span_idx % 2 = 1 GROUP BY 1, 2, 3)
+@query("A27", with_(S.SPANS) + """, m AS (SELECT doc_id, page_idx, block_idx, avg(CAST(trunc(y1 - y0) AS INTEGER)) AS a FROM spans GROUP BY 1, 2, 3)
 SELECT doc_id, page_idx, block_idx, round(coalesce(a, greatest(0, y1 - y0)), 6) AS line_avg_height FROM blocks LEFT JOIN m USING (doc_id, page_idx, block_idx)""")
 def title_heights(c):
     """Mean line height of every block."""
     keys = ["doc_id", "page_idx", "block_idx"]
-    got = L.title_line_height(c.blocks(), c.spans().where(mod("span_idx", 2) == 1).select(*keys, "y0", "y1"), keys)
+    got = L.title_line_height(c.blocks(), c.spans().select(*keys, "y0", "y1"), keys)
     return got.select(*keys, F.round("line_avg_height", 6).alias("line_avg_height"))
 
 

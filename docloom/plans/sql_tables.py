@@ -42,7 +42,7 @@ MASKS = """masks AS (
   SELECT l_orderkey AS key, l_suppkey % 100 AS "start", l_suppkey % 100 + l_linenumber * 3 AS "end" FROM lineitem)"""
 
 CELLS = """cells AS (
-  SELECT l_orderkey % 100 AS sheet_id, CAST(l_linenumber * 2 + l_suppkey % 3 AS BIGINT) AS "row", l_partkey % 12 AS "col",
+  SELECT l_orderkey // 8 AS sheet_id, CAST(l_orderkey % 8 * 16 + l_linenumber * 2 + l_suppkey % 3 AS BIGINT) AS "row", l_partkey % 12 AS "col",
     min(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3)"""
 
 QUERIES = r"""queries AS (

@@ -76,11 +76,11 @@ def hyphen_join(c):
 
 
 @query("C8", with_(S.LINES) + r"""
-SELECT doc_id, line_no, line AS formula, trim('x = ' || line, ' ' || chr(10)) AS code, 'a [' || line || '] b' AS bracketed FROM (SELECT doc_id, line_no, trim(line, ' ') AS line FROM lines) WHERE NOT contains(line, '\') AND line <> ''""")
+SELECT doc_id, line_no, line AS formula, trim('x = ' || line, ' ' || chr(10)) AS code, 'a [' || line || '] b' AS bracketed FROM (SELECT doc_id, line_no, trim(line, ' ') AS line FROM lines) WHERE line <> ''""")
 def formula_and_code(c):
     """Display brackets and code fences taken off."""
     line = F.trim("line")
-    rows = c.lines().select("doc_id", "line_no", line.alias("line")).where((F.col("line") != "") & ~F.col("line").contains("\\"))
+    rows = c.lines().select("doc_id", "line_no", line.alias("line")).where(F.col("line") != "")
     return rows.select(
         "doc_id", "line_no", X.strip_display_formula(F.concat(F.lit("\\[ "), F.col("line"), F.lit(" \\]"))).alias("formula"),
         X.strip_code_fence(F.concat(F.lit("```python\nx = "), F.col("line"), F.lit("\n```"))).alias("code"),
