@@ -324,7 +324,8 @@ def test_near_copies_of_edited_texts(spark):
     assert set(root) <= kept and len(kept) - len(set(root)) <= 0.1 * due and due > 40
 
 
-def test_crowded_shards_are_dealt_again():
+def test_crowded_shards_are_searched_in_blocks(monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST_TOGETHER", 500)
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (3, 16), dtype=np.uint8)
     prints = np.repeat(base, 1200, axis=0)
