@@ -429,13 +429,17 @@ def markdown_documents(c):
     return L.markdown_documents(c.blocks())
 
 
-@query("S10 F10 C34", None)
+ITEMS = with_(S.BLOCKS) + """, it AS (SELECT doc_id, page_idx, line_no, type, text, [CAST(trunc(x0 * 1000 / 600) AS INTEGER), CAST(trunc(y0 * 1000 / 800) AS INTEGER), CAST(trunc(x1 * 1000 / 600) AS INTEGER), CAST(trunc(y1 * 1000 / 800) AS INTEGER)] AS bbox FROM blocks WHERE type <> 'page_number'), li AS (
+  SELECT doc_id, page_idx, line_no, CAST(CASE WHEN type = 'title' THEN to_json({'type': 'text', 'text': text, 'text_level': 1, 'bbox': bbox, 'page_idx': page_idx}) ELSE to_json({'type': type, 'text': text, 'bbox': bbox, 'page_idx': page_idx}) END AS VARCHAR) AS item FROM it)"""
+
+
+@query("S10 F10 C34", ITEMS + " SELECT * FROM li")
 def content_list(c):
     """Typed items of every block as JSON."""
     return L.content_list(c.blocks(), 600.0, 800.0)
 
 
-@query("S10", None)
+@query("S10", ITEMS + " SELECT doc_id, page_idx, '[' || string_agg(item, ',' ORDER BY line_no) || ']' AS items FROM li GROUP BY 1, 2")
 def paged_content_list(c):
     """Typed items of every page as one JSON array."""
     return L.paged_content_list(L.content_list(c.blocks(), 600.0, 800.0))
