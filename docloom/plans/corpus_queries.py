@@ -85,7 +85,7 @@ def marked_lines(c):
     return c.lines().select("doc_id", "line_no", F.concat(mark, F.col("line")).alias("line"))
 
 
-@query("T9 W5 A20 A22", with_(MARKED) + r"""
+CHUNKED = with_(MARKED) + r"""
 , k AS (SELECT doc_id, line_no, trim(line, ' ') AS line FROM marked WHERE trim(line, ' ') <> ''),
 t AS (SELECT *, CASE WHEN regexp_matches(line, '^(#\s+)?第\s*[0-9]+\s*章') OR regexp_matches(line, '^(#{1,2}\s+)?[0-9]+\s+[^0-9.]') THEN 'chapter' WHEN regexp_matches(line, '^(##\s+)?第?\s*[0-9]+\.[0-9]+\s*节') THEN 'section'
    WHEN regexp_matches(line, '^#{2,4}\s+[0-9]+\.[0-9]+') OR regexp_matches(line, '^#{2,4}\s*[0-9]{2,5}') OR regexp_matches(line, '^[0-9]+\.[0-9]+\.[0-9]+\s') OR regexp_matches(line, '^[0-9]+\.[0-9]+\s+[^0-9]') THEN 'clause' ELSE 'content' END AS kind FROM k),
@@ -95,8 +95,10 @@ b AS (SELECT *, sum((kind = 'clause')::INT) OVER (PARTITION BY doc_id, ch ORDER
 c AS (SELECT doc_id, ch, cl, string_agg(line, chr(10) ORDER BY line_no) AS content, 'child' AS chunk_type, max(CASE WHEN kind = 'clause' THEN line END) AS clt, any_value(ct) AS ct FROM b WHERE kind <> 'chapter' AND NOT (kind = 'section' AND hc = 1) GROUP BY 1, 2, 3),
 p AS (SELECT x.doc_id, x.ch, -1 AS cl, x.ct || coalesce(chr(10) || chr(10) || y.body, '') AS content, 'parent' AS chunk_type, NULL AS clt, x.ct FROM (SELECT DISTINCT doc_id, ch, ct FROM b) x
    LEFT JOIN (SELECT doc_id, ch, string_agg(content, chr(10) || chr(10) ORDER BY cl) AS body FROM c GROUP BY 1, 2) y USING (doc_id, ch)),
-u AS (SELECT * FROM c UNION ALL BY NAME SELECT * FROM p)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ch, cl) - 1 AS position, chunk_type, content, coalesce(nullif(regexp_extract(ct, '^#*\s*([0-9]+)\s+', 1), ''), '-') AS chapter,
+u AS (SELECT * FROM c UNION ALL BY NAME SELECT * FROM p)"""
+
+
+@query("T9 W5 A20 A22", CHUNKED + r""" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ch, cl) - 1 AS position, chunk_type, content, coalesce(nullif(regexp_extract(ct, '^#*\s*([0-9]+)\s+', 1), ''), '-') AS chapter,
   coalesce(nullif(regexp_extract(clt, '^#{0,4}\s*([0-9]+\.[0-9]+(\.[0-9]+)?)', 1), ''), '-') AS clause FROM u""")
 def chunk_lines(c):
     """Parent chunk per chapter and child chunk per clause."""
@@ -104,13 +106,16 @@ def chunk_lines(c):
     return chunks.select("doc_id", "position", "chunk_type", "content", F.coalesce("chapter", F.lit("-")).alias("chapter"), F.coalesce("clause", F.lit("-")).alias("clause"))
 
 
-@query("J3 J1", None)
+@query("J3 J1", CHUNKED + r""", f AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ch, cl) - 1 AS position, chunk_type, nullif(regexp_extract(ct, '^#*\s*([0-9]+)\s+', 1), '') AS chapter FROM u)
+SELECT doc_id, source, position, coalesce(chapter, '-') AS chapter, EXISTS (SELECT 1 FROM f p WHERE p.chunk_type = 'parent' AND p.doc_id = f.doc_id AND p.chapter IS NOT DISTINCT FROM f.chapter) AS has_parent FROM f JOIN documents USING (doc_id) WHERE chunk_type = 'child'""")
 def child_parents(c):
     """Child chunks with the parent of their chapter and their document's source."""
     chunks = chunking.chunk_standard(marked_lines(c))
     linked = chunking.parent_of_child(chunks.where("chunk_type = 'parent'"), chunks.where("chunk_type = 'child'"))
     documents = c.table("documents").select("doc_id", "source")
-    return recall.with_documents(linked, documents).select("doc_id", "source", "position", "chapter", F.col("parent_id").isNotNull().alias("has_parent"))
+    return recall.with_documents(linked, documents).select(
+        "doc_id", "source", "position", F.coalesce("chapter", F.lit("-")).alias("chapter"), F.col("parent_id").isNotNull().alias("has_parent")
+    )
 
 
 @query("T9 W6 A21", None)
