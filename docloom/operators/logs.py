@@ -7,6 +7,7 @@ which run as periodic jobs outside the service.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from docloom.operators.ordered import position_bucket, scan
 from docloom.operators.recall import page_of
 from docloom.operators.skew import best_row, salted_join, top_k
 
-#: Percentiles of the KPI report are off by at most one rank in this many rows.
-PERCENTILE_ACCURACY = 100_000
+#: Latency percentiles of the KPI report.
+PERCENTILES = (50, 95, 99)
 
 
 # ---------------------------------------------------------------- conversations
@@ -241,16 +242,28 @@ def bad_case_causes(cases: DataFrame, known_documents: DataFrame, parents: DataF
 def query_kpis(logs: DataFrame, *by: str) -> DataFrame:
     """Lane mix, retries, clarification and latency, with subtotals over ``by``.
 
-    Latency percentiles are exact in rank to one part in ``PERCENTILE_ACCURACY``, the stated error of the report.
+    Latency percentiles are exact: the least value that has at least that share of the rows at
+    or below it. Equal latencies are counted first and summed up by a bucketed scan.
     """
     grouped = logs.rollup(*by) if by else logs.groupBy()
-    return grouped.agg(
+    stats = grouped.agg(
+        (F.grouping_id() if by else F.lit(0)).cast("long").alias("_level"), F.count("total_time").alias("_timed"),
         F.count("*").alias("queries"), F.round(F.avg((F.col("lane") == "slow").cast("double")), 6).alias("slow_share"),
         F.round(F.avg((F.col("retry_count") > 0).cast("double")), 6).alias("retry_rate"),
         F.round(F.avg(F.col("clarified").cast("double")), 6).alias("clarification_rate"),
-        F.percentile_approx("total_time", [0.5, 0.95, 0.99], PERCENTILE_ACCURACY).alias("_p"),
-    ).select(
-        *by, "queries", "slow_share", "retry_rate", "clarification_rate", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"),
+    )
+    key = ["_level", *by]
+    counted, levels = logs.where("total_time IS NOT NULL").groupBy(*by, "total_time").agg(F.count("*").alias("_c")), []
+    for kept in range(len(by), -1, -1):
+        level = counted.groupBy(*by[:kept], "total_time").agg(F.sum("_c").alias("_c"))
+        dropped = [F.lit(None).cast(logs.schema[b].dataType).alias(b) for b in by[kept:]]
+        levels.append(level.select(F.lit((1 << len(by) - kept) - 1).cast("long").alias("_level"), *by[:kept], *dropped, "total_time", "_c"))
+    placed = scan(reduce(DataFrame.unionByName, levels), key, ["total_time"], position_bucket("total_time"), sums={"_upto": F.col("_c")})
+    same = lambda l, r: reduce(lambda x, y: x & y, [F.col(f"{l}.{k}").eqNullSafe(F.col(f"{r}.{k}")) for k in key])
+    sized = placed.alias("v").join(stats.select(*key, "_timed").alias("s"), same("v", "s")).select("v.*", "_timed")
+    ranks = sized.groupBy(*key).agg(*[F.min(F.when(F.col("_upto") * 100 >= F.col("_timed") * p, F.col("total_time"))).alias(f"p{p}") for p in PERCENTILES])
+    return stats.alias("s").join(ranks.alias("v"), same("s", "v"), "left").select(
+        *[F.col(f"s.{b}").alias(b) for b in by], "queries", "slow_share", "retry_rate", "clarification_rate", *[f"p{p}" for p in PERCENTILES],
         (F.col("clarification_rate") > 0.25).alias("clarification_alert"),
     )
 
