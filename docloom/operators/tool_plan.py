@@ -46,9 +46,13 @@ def words_of(text: str) -> Column:
 def in_standards(asked: DataFrame, chunks: DataFrame, k: int = PER_STEP) -> DataFrame:
     """Best chunks of the named standards by the share of the question's words they hold."""
     named = asked.select("query_id", words_of("query").alias("_q"), F.explode(F.array_distinct("standards")).alias("standard_no"))
-    near = salted_join(chunks.select("chunk_id", "standard_no", "content"), named, ["standard_no"], spread_by=["chunk_id"])
-    share = F.size(F.array_intersect("_q", words_of("content"))) / F.greatest(F.size("_q"), F.lit(1))
-    scored = near.select("query_id", "chunk_id", F.round(share, 6).alias("score")).where("score > 0").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    # Chunks are rated once per different wording and standard; a question's best are among those of its standards.
+    on = ["_q", "standard_no"]
+    near = salted_join(chunks.select("chunk_id", "standard_no", words_of("content").alias("_w")), named.select(*on).distinct(), ["standard_no"], spread_by=["chunk_id"])
+    share = F.size(F.array_intersect("_q", "_w")) / F.greatest(F.size("_q"), F.lit(1))
+    rated = near.select(*on, "chunk_id", F.round(share, 6).alias("score")).where("score > 0").groupBy(*on, "chunk_id").agg(F.max("score").alias("score"))
+    best = top_k(rated, on, [F.desc("score"), F.asc("chunk_id")], k, "_r").drop("_r")
+    scored = salted_join(named, best, on, spread_by=["query_id"]).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
