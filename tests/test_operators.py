@@ -35,6 +35,12 @@ def test_salted_join_keeps_every_pair_once(spark):
     assert salted_join(big, small, ["k"], "left_anti").count() == 1
 
 
+def test_salted_join_broadcasts_by_the_size_of_all_copies(spark):
+    big, small = spark.range(10).withColumn("x", F.col("id")), spark.range(20000).withColumn("y", F.col("id"))
+    hash_joins = lambda right: salted_join(big, right, ["id"], "left")._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    assert hash_joins(small) == 0 and hash_joins(small.limit(10)) == 1
+
+
 def test_reciprocal_rank_fusion_numbers(spark):
     hits = [(1, 10, "vector", 0, 0.9), (1, 11, "vector", 0, 0.8), (1, 11, "keyword", 1, 7.0), (1, 12, "keyword", 1, 6.0)]
     df = spark.createDataFrame(hits, "query_id long, chunk_id long, source string, list_no int, score double")
