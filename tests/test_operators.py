@@ -269,3 +269,21 @@ def test_keywords_are_taken_as_written(spark):
     docs = spark.createDataFrame([(1, "c++ C++ c 3.3 393")], "doc_id long, text string")
     found = chunking.keyword_scores(docs, {"language": ["C++"], "level": ["3.3"]}).collect()
     assert [(r["category"], r["score"]) for r in found] == [("language", 2), ("level", 1)]
+
+
+def test_sheets_are_searched_in_one_shuffle_and_large_ones_give_the_same(spark):
+    from docloom.operators import sheets
+
+    rng = np.random.default_rng(5)
+    rows = {(int(s), int(r), int(c)) for s, r, c in zip(rng.integers(0, 8, 300), rng.integers(0, 14, 300), rng.integers(0, 9, 300), strict=True)}
+    wide = {(s, r + (5000 if s % 4 == 0 else 0), c) for s, r, c in rows}
+    frame = lambda cells: spark.createDataFrame(sorted(cells), "sheet_id long, row long, col long").cache()
+    linked = sheets.find_linked(frame(rows)).cache()
+    assert sorted(sheets.find_tables(frame(rows)).collect()) == sorted(linked.collect())
+    assert sorted(sheets.best_tolerance(frame(rows)).collect()) == sorted(sheets.choose_tolerance(linked, frame(rows)).collect())
+    moved = linked.select(*[F.col(c) + F.when((F.col("sheet_id") % 4 == 0) & F.lit("row" in c), 5000).when((F.col("sheet_id") % 4 == 0) & F.lit(c == "table_id"), 5000 * sheets.NODE_WIDTH).otherwise(0) for c in linked.columns])
+    assert sorted(map(tuple, sheets.find_tables(frame(wide)).collect())) == sorted(map(tuple, moved.collect()))
+    for found in (sheets.find_tables(frame(rows)), sheets.best_tolerance(frame(rows))):
+        assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    few = frame({(1, 0, 0), (1, 0, 1), (1, 3, 0)})
+    assert sorted(tuple(r)[2:] for r in sheets.find_tables(few, (1,)).collect()) == [(0, 0, 0, 0, 1, 2), (3 * sheets.NODE_WIDTH, 3, 3, 0, 0, 1)]
