@@ -56,3 +56,22 @@ def test_long_lists_of_words_with_one_start(spark):
     texts = words.select(F.concat(F.lit("x"), "w").alias("t"))
     rows, most = most_rows(spark, lookup.contains_join(texts, "t", words, "w"))
     assert len(rows) == n and all(r["t"] == "x" + r["w"] for r in rows) and most < n * n / 4
+
+
+def test_cascade_ranks_chunks_once_per_request(spark, monkeypatch):
+    from docloom.operators import recall
+
+    n = 600
+    k = F.col("id")
+    asked = spark.range(n).select(k.alias("query_id"), F.when(k % 3 == 0, "GB 100 第1.2条").when(k % 3 == 1, "GB 100").otherwise("第1.2条").alias("query_text"), F.when(k % 2 == 0, "A").alias("category"))
+    chunks = spark.range(n).select(
+        k.alias("chunk_id"), F.lit("GB 1000").alias("standard_no"), F.when(k >= n - 20, "1.2").otherwise("3.4").alias("clause"), F.lit("valid").alias("status"), F.lit("x").alias("content"),
+        F.when(k >= 2, "child").otherwise("parent").alias("chunk_type"), F.lit(5).alias("position"), k.alias("reference_count"), F.when(k % 4 == 0, "A").otherwise("B").alias("category"))
+    rows, most = most_rows(spark, recall.structured_recall(asked, chunks, 3, ["category"]))
+    found = {(r["query_id"] % 6, r["tier"], r["rank"], r["chunk_id"]) for r in rows}
+    by_clause = {0: [580, 584, 588], 3: [580, 581, 582]}
+    expected = {(q, 1, i + 1, c) for q, cs in by_clause.items() for i, c in enumerate(cs)} | {(4, 3, 1, 0), (1, 3, 1, 0), (1, 3, 2, 1)}
+    expected |= {(2, 5, i + 1, c) for i, c in enumerate([596, 592, 588])} | {(5, 5, i + 1, c) for i, c in enumerate([599, 598, 597])}
+    assert found == expected and most < n * n / 8
+    monkeypatch.setattr(recall, "MOST_SHIPPED", 0)
+    assert sorted(recall.structured_recall(asked, chunks, 3, ["category"]).collect()) == sorted(rows)
