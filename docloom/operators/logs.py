@@ -117,8 +117,14 @@ def semantic_lookup(lookups: DataFrame, entries: DataFrame, threshold: float = 0
 
     Both sides carry filters_hash and vector; lookups have lookup_id and asked_at, entries
     entry_id and created_at. Expired entries are out before the best is chosen.
+
+    Time is cut into spans as long as an entry lives, so a lookup meets the entries of its own
+    span and of the one before, never the rest of the cache.
     """
-    pairs = similar_pairs(lookups, entries, ["filters_hash"], "lookup_id", "entry_id", threshold)
+    span = lambda at: F.floor(F.unix_timestamp(at) / max(int(ttl_seconds), 1))
+    asked = lookups.withColumn("_span", span("asked_at")).where(F.col("_span").isNotNull())
+    held = entries.withColumn("_span", F.explode(F.array(span("created_at"), span("created_at") + 1))).where(F.col("_span").isNotNull())
+    pairs = similar_pairs(asked, held, ["filters_hash", "_span"], "lookup_id", "entry_id", threshold).drop("_span")
     timed = pairs.join(lookups.select("lookup_id", "asked_at"), "lookup_id").join(entries.select("entry_id", "created_at"), "entry_id")
     age = F.unix_timestamp("asked_at") - F.unix_timestamp("created_at")
     fresh = timed.where((age >= 0) & (age <= ttl_seconds))
