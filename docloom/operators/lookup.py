@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import bind
 from docloom.operators.skew import best_row, salted_join, top_k
+from docloom.session import cut_lineage
 
 MAX_INLINE_WORDS = 2000
 #: Longer lists of words are looked up by whole words of at most so many lengths, else by their first characters.
 MAX_LENGTHS = 12
 GRAM = 12
+#: Hashes of words that are shipped to the tasks, so that only parts of a text that can be a word leave them.
+MOST_SHIPPED = 500_000
 
 
 def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str, max_inline: int = MAX_INLINE_WORDS) -> DataFrame:
@@ -40,6 +43,9 @@ def contains_join(texts: DataFrame, text: str, words: DataFrame, word: str, max_
             )
         )
         cut = texts.withColumn("_lengths", lengths).withColumn("_gram", F.explode(F.array_distinct(grams))).drop("_lengths")
+        known = keyed.select("_gram").distinct()
+        if known.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED:
+            cut = cut.join(F.broadcast(known), "_gram", "left_semi")
         found = salted_join(cut, keyed, ["_gram"]).where(F.col(text).contains(F.col("_word"))).drop("_gram")
     return found.join(words, found["_word"] == words[word]).drop("_word")
 
@@ -122,8 +128,10 @@ def find_tables(asked: DataFrame, tables: DataFrame, keywords: Column | None = N
     wanted = asked.select("query_id", (table_keywords(F.col("table_title")) if keywords is None else keywords).alias("_k"), *limited)
     # A question's first tables are among the first of each of its keywords, found once per keyword.
     words = wanted.select("query_id", F.explode("_k").alias("_keyword"), *[c.name for c in wanted.schema if c.name == "_standard"])
+    # Titles and numbers repeat, so each different text is searched once.
     searched = tables.withColumn("_text", F.concat_ws("\u0001", "title", "table_number"))
-    held = contains_join(searched, "_text", words.select("_keyword").distinct(), "_keyword").drop("_text")
+    held = contains_join(searched.select("_text").distinct(), "_text", words.select("_keyword").distinct(), "_keyword")
+    held = salted_join(searched, held, ["_text"], spread_by=["table_id"]).drop("_text")
 
     def first_of(some: DataFrame, holding: DataFrame, on: list[str]) -> DataFrame:
         best = top_k(holding.dropDuplicates([*on, "table_id"]), on, [F.asc("table_id")], limit, "_r")
@@ -146,6 +154,7 @@ def find_tables(asked: DataFrame, tables: DataFrame, keywords: Column | None = N
     open_ended = open_ended.select("query_id")
     any_table = tables.orderBy("table_id").limit(limit).agg(F.collect_list(F.struct(*tables.columns)).alias("a")).scalar()
     free = open_ended.select("query_id", F.inline(any_table))
-    found = top_k(hits.select("query_id", *tables.columns).unionByName(free), ["query_id"], [F.asc("table_id")], limit)
+    # At most ``limit`` rows a question, read again to see which questions have none.
+    found = cut_lineage(top_k(hits.select("query_id", *tables.columns).unionByName(free), ["query_id"], [F.asc("table_id")], limit))
     missing = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return found, missing

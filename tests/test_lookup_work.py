@@ -75,3 +75,23 @@ def test_cascade_ranks_chunks_once_per_request(spark, monkeypatch):
     assert found == expected and most < n * n / 8
     monkeypatch.setattr(recall, "MOST_SHIPPED", 0)
     assert sorted(recall.structured_recall(asked, chunks, 3, ["category"]).collect()) == sorted(rows)
+
+
+def test_tables_of_one_text_are_searched_once(spark, monkeypatch):
+    seen, whole = [], lookup.contains_join
+    monkeypatch.setattr(lookup, "contains_join", lambda texts, *more, **named: (seen.append(texts.count()), whole(texts, *more, **named))[1])
+    tables = spark.range(500).select(F.col("id").alias("table_id"), F.when(F.col("id") % 2 == 0, "red").alias("title"), F.lit("T1").alias("table_number"))
+    asked = spark.createDataFrame([(1, ["red"]), (2, ["zz"]), (3, ["T1"])], "query_id long, w array<string>")
+    found, missing = lookup.find_tables(asked, tables, F.col("w"))
+    assert sorted((r["query_id"], r["table_id"]) for r in found.collect()) == [(1, i) for i in (0, 2, 4, 6, 8)] + [(3, i) for i in range(5)]
+    assert [r["query_id"] for r in missing.collect()] == [2] and seen == [2]
+
+
+def test_only_parts_that_can_be_a_word_leave_a_text(spark):
+    n = lookup.MAX_INLINE_WORDS + 1
+    words = spark.range(n).select((F.col("id") + 10000).cast("string").alias("w"))
+    texts = spark.range(2000).select(F.concat_ws(" ", F.repeat(F.lit("abcdef "), 30), (F.col("id") + 10000).cast("string")).alias("t"))
+    found = lookup.contains_join(texts, "t", words, "w")
+    assert found.count() == 2000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
