@@ -61,3 +61,11 @@ def test_lines_are_numbered_by_page_and_solo_spans_stand_alone(spark):
     for page_no, span, line in pages.printed_lines(df, ["page"]).collect():
         got.setdefault(page_no, {})[span] = line
     assert len(got) == 600 and all(g == {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5} for g in got.values())
+
+
+def test_a_box_across_the_columns_is_set_apart(spark):
+    from docloom.operators import layout
+
+    left, right = ([(i, x, 12 * row, x + 40, 12 * row + 10) for row, i in enumerate(ids)] for x, ids in ((0, (1, 2, 3)), (60, (4, 5, 6))))
+    df = spark.createDataFrame([(1, *b) for b in [*left, *right, (7, 0, 11, 100, 12)]], "page long, box_id long, x0 long, y0 long, x1 long, y1 long")
+    assert [r["box_id"] for r in layout.xycut_order(df, ["page"], "box_id").orderBy("place").collect()] == [1, 7, 2, 3, 4, 5, 6]
